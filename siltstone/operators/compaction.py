@@ -139,8 +139,11 @@ def pack(plan: DataFrame, records: DataFrame, folder: str, rows_per_task: int =
     rows = lookup_join(records, members, ["table_uuid", "file_path"], salt_by=["record"])
     headers = members.withColumn("record", F.lit(None).cast("binary"))
     order = ["table_uuid", "part", "container_no", "file_path", "record"]
-    known = plan.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m")).first()
-    tasks = task_count(spark, known["n"] + known["m"], rows_per_task)
+    # members may state records that are not among these, so the smaller count bounds the rows
+    known = plan.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m"), F.count_if(F.col("record_count").isNull()).alias("unknown")).first()
+    given = records.count()
+    rows_at_most = given if known["unknown"] else min(given, known["n"])
+    tasks = task_count(spark, rows_at_most + known["m"], rows_per_task)
     sorted_rows = rows.select(*order).unionByName(headers.select(*order)).repartition(tasks, "table_uuid", "part", "container_no").sortWithinPartitions(*order)
     return sorted_rows.mapInArrow(_blocks(folder), INDEX_SCHEMA)
 
