@@ -1,0 +1 @@
+"""Operators on texts for language-model training data."""

@@ -1,2 +1,51 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""The queries of the text problems."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import leakage, packing
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _capacities(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """The three container sizes, a fixed table."""
+    return [(r[0], r[1]) for r in _table(spark, folder, "pack_capacities").select("pack_name", "capacity_tokens").orderBy("capacity_tokens").collect()]
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every text, or part of one longer than the container, stands."""
+    return packing.pack_texts(_table(spark, folder, "documents"), _capacities(spark, folder))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How many containers of each size are used, and how full they are."""
+    return packing.fill_report(p6_packed(spark, folder), _capacities(spark, folder))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per leaked item: the documents concerned, the longest passage and the longest verbatim run."""
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest_passage"), F.max("longest_run").alias("longest_run"))
+
+
+def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold no passage of an item."""
+    return leakage.remove_leaks(_table(spark, folder, "documents").select("doc_id", "n_chars"), _leaks(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report, p7_clean)}
+
+#: DuckDB SQL where SQL can express the query.
+SQL: dict[str, str] = {}
