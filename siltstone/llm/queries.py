@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, packing
+from siltstone.llm import leakage, packing, privacy
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,7 +45,17 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.remove_leaks(_table(spark, folder, "documents").select("doc_id", "n_chars"), _leaks(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report, p7_clean)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.find_personal(_table(spark, folder, "documents"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    documents = _table(spark, folder, "documents")
+    return privacy.placeholders(documents, privacy.find_personal(documents))
+
+
+QUERIES = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report, p7_clean, p8_found, p8_clean)}
 
 #: DuckDB SQL where SQL can express the query.
 SQL: dict[str, str] = {}
