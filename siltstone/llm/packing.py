@@ -198,7 +198,7 @@ def pack_documents(tokens: DataFrame, capacities: list[tuple[str, int]], key: st
         return pd.concat([o[columns] for o in out if len(o)] or [out[0][columns]])
 
     keyed = tokens.select(F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("grp"), key, "n_tokens")
-    return keyed.groupBy("grp").applyInPandas(pack, schema)
+    return keyed.repartitionByRange(groups, "grp").groupBy("grp").applyInPandas(pack, schema)
 
 
 def fill_report(packed: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
