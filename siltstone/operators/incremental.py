@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.scans import running_max
-from siltstone.table.log import CommitConflict, CommitLog
+from siltstone.table.errors import CommitConflict
+from siltstone.table.log import CommitLog
 
 #: Sequence numbers of one table are cut into blocks of so many, so that a hot table is spread over tasks.
 SEQUENCE_BLOCK = 1024
