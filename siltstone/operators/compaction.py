@@ -36,8 +36,10 @@ def small_files(files: DataFrame, objects: DataFrame, small_bytes: int = SMALL_B
     ``files`` has table_uuid, file_path, part, file_size_in_bytes, record_count (one row
     per file), ``objects`` table_uuid, path, is_put, size_bytes. Only files whose object is
     there count. The size is the file's or, if that is null or not positive, the
-    object's; a file of unknown size is never small.
+    object's; a file of unknown size is never small. Rows without table_uuid or path are no
+    files; other columns are ignored.
     """
+    files = files.select("table_uuid", "file_path", "part", "file_size_in_bytes", "record_count")
     there = objects.where("is_put").select("table_uuid", F.col("path").alias("file_path"), "size_bytes")
     sized = files.join(there, ["table_uuid", "file_path"]).withColumn("size", F.when(F.col("file_size_in_bytes") > 0, F.col("file_size_in_bytes")).otherwise(F.col("size_bytes")))
     small = sized.where(F.col("size") < small_bytes).select("table_uuid", "part", "file_path", F.greatest("size", F.lit(0)).alias("size"), "record_count")
@@ -52,6 +54,7 @@ def plan_containers(members: DataFrame, target_bytes: int = TARGET_BYTES) -> Dat
     equal size: a container exceeds its share by one member at most. Members of
     size 0 stay whole like others. The members must be unique by table_uuid and file_path.
     """
+    members = members.select("table_uuid", "part", "file_path", "size", "record_count")
     placed = prefix_sum(members, ["table_uuid", "part"], ["file_path"], "size", "at")
     count = F.greatest(F.lit(1), F.round(F.col("at_total") / F.lit(target_bytes))).cast("long")
     number = F.when(F.col("at_total") > 0, F.least(count - 1, F.floor(F.col("at") / F.col("at_total") * count))).otherwise(F.lit(0)).cast("long")
@@ -184,7 +187,7 @@ def pack_files(spark: SparkSession, source: str, folder: str, pattern: str = "*"
     No file is split; a container takes about ``target_bytes``. An empty folder gives an empty index.
     """
     listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
-    sizes = listing.select(F.lit("").alias("table_uuid"), F.lit("").alias("part"), F.col("path").alias("file_path"), F.col("length").alias("size"))
+    sizes = listing.select(F.lit("").alias("table_uuid"), F.lit("").alias("part"), F.col("path").alias("file_path"), F.col("length").alias("size"), F.lit(None).cast("long").alias("record_count"))
     plan = materialize(plan_containers(sizes, target_bytes), "files-plan")
     content = listing.select(F.col("path").alias("file_path"), "content")
     joined = lookup_join(content, plan.select("file_path", "container_no"), ["file_path"]).select("container_no", "file_path", "content")

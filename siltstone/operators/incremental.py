@@ -43,7 +43,7 @@ def pending_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
 def successful_runs(run_log: DataFrame, snapshot_sequences: DataFrame) -> DataFrame:
     """table_uuid, above_seq, upto_seq of the runs with status success (any letter case); a null end is that of the snapshot."""
     runs = run_log.where(F.lower(F.trim("status")) == "success").select("table_uuid", "from_sequence_number", "to_sequence_number", F.col("to_snapshot_id").alias("snapshot_id")).distinct()
-    joined = runs.join(snapshot_sequences, ["table_uuid", "snapshot_id"], "left")
+    joined = runs.join(snapshot_sequences.select("table_uuid", "snapshot_id", "snapshot_sequence"), ["table_uuid", "snapshot_id"], "left")
     return joined.select("table_uuid", F.col("from_sequence_number").alias("above_seq"), F.coalesce("to_sequence_number", "snapshot_sequence").alias("upto_seq"))
 
 
@@ -81,7 +81,7 @@ class IncrementalRun:
     def run(self, listing: DataFrame, work: Callable[[DataFrame], DataFrame]) -> str | None:
         """Process what is pending; the batch identifier, or None if nothing is.
 
-        ``work`` gets the pending part of ``listing`` and gives the rows to write. If
+        ``work`` gets the pending part of ``listing`` and gives the rows to write. One run at a time may use a folder. If
         it raises, nothing is committed. If another run commits first, this raises
         :class:`~siltstone.table.log.CommitConflict` and its batch is never read.
         """

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.columns import bound_number, bound_text, matches_whole
 from siltstone.operators.joins import lookup_join
 from siltstone.operators.scans import sums_before
+from siltstone.session import materialize
 
 #: Sequence numbers of one table and field are cut into blocks of so many.
 SEQUENCE_BLOCK = 256
@@ -128,7 +129,51 @@ def _features(df: DataFrame, columns: Sequence[str], bins: int) -> Column:
     return F.array(*[one(c) for c in columns])
 
 
-def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Sequence[str], bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1e-3) -> DataFrame:
+def _fit_jointly(sample: DataFrame, columns: int, folds: int, bins: int, ridge: float, rounds: int) -> np.ndarray:
+    """Logistic regressions of all ablations and folds at once: weights by (model, fold, bin), the intercept last.
+
+    Model 0 has all columns, model i + 1 lacks column i; fold k is fitted on the rows of the other folds. Each round is one
+    job: every task sums gradient and curvature of its rows for all models, the driver adds these sums (their size depends on
+    bins, columns and folds only) and takes a diagonal Newton step, scaled so that no round can overshoot.
+    """
+    models, width = columns + 1, bins * columns
+    weights = np.zeros((models * folds, width + 1))
+    used = np.ones((models * folds, width + 1))
+    for m in range(1, models):
+        used[m * folds : (m + 1) * folds, (m - 1) * bins : m * bins] = 0
+    offsets = np.arange(columns) * bins
+    momentum = np.zeros_like(weights)
+    for _ in range(rounds):
+        w = weights.copy()
+
+        def sums(frames: Iterator[pd.DataFrame], w=w) -> Iterator[pd.DataFrame]:
+            gradient, curvature = np.zeros_like(w), np.zeros_like(w)
+            for f in frames:
+                for at in range(0, len(f), 20_000):
+                    part = f.iloc[at : at + 20_000]
+                    x, y, fold = np.stack(part["x"].to_numpy()) + offsets, part["label"].to_numpy(), part["fold"].to_numpy()
+                    for i in range(len(w)):
+                        rest = fold != i % folds
+                        own = x[rest]
+                        p = 1 / (1 + np.exp(-(w[i][own].sum(axis=1) + w[i, -1])))
+                        r, h = p - y[rest], p * (1 - p)
+                        flat = own.ravel()
+                        gradient[i, :-1] += np.bincount(flat, np.repeat(r, columns), width)
+                        curvature[i, :-1] += np.bincount(flat, np.repeat(h, columns), width)
+                        gradient[i, -1] += r.sum()
+                        curvature[i, -1] += h.sum()
+            yield pd.DataFrame({"g": [gradient.tobytes()], "h": [curvature.tobytes()]})
+
+        parts = sample.mapInPandas(sums, "g binary, h binary").collect()  # a row per task, of a size fixed by the parameters
+        g = sum(np.frombuffer(p["g"]).reshape(w.shape) for p in parts) * used + ridge * w
+        h = sum(np.frombuffer(p["h"]).reshape(w.shape) for p in parts) + ridge
+        step = g / (h * (columns + 1) + 1.0)
+        momentum = 0.7 * momentum - step
+        weights = (weights + momentum) * used
+    return weights.reshape(models, folds, width + 1)
+
+
+def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Sequence[str], bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
     """Classifier two-sample test between the old and the new load: column, auc, auc_drop, rows_old, rows_new.
 
     A logistic regression over the binned columns learns to tell ``is_new`` rows. It
@@ -138,9 +183,6 @@ def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Seque
     full model: 0.5 is no change. Each other row is an ablation: the AUC without that
     column, refitted, and by how much it drops. An empty load gives null figures.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
     spark = df.sparkSession
     rows = df.select(_features(df, columns, bins).alias("x"), F.coalesce(is_new, F.lit(False)).cast("double").alias("label"), F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int").alias("fold"), F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)).alias("u"))
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("new")).first()
@@ -149,21 +191,9 @@ def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Seque
     if not 0 < new < n:
         return spark.createDataFrame([(c, None, None, n - new, new) for c in names], "column string, auc double, auc_drop double, rows_old long, rows_new long")
     width = bins * len(columns)
-
-    def one_hot(x, left_out):
-        at = [i * bins + v for i, v in enumerate(x) if i != left_out]
-        return SparseVector(width, at, [1.0] * len(at))
-
-    sample = rows.where(F.col("u") < int(1_000_000 * min(1.0, fit_rows * folds / (n * max(1, folds - 1)))))
-    sample = sample.select("x", "label", "fold").persist()
-    weights = np.zeros((len(names), folds, width + 1))
-    for m in range(len(names)):
-        vector = F.udf(lambda x, left_out=m - 1: one_hot(x, left_out), VectorUDT())
-        for k in range(folds):
-            fitted = LogisticRegression(maxIter=25, regParam=ridge, standardization=False).fit(sample.where(F.col("fold") != k).select(vector("x").alias("features"), "label"))
-            weights[m, k] = [*fitted.coefficients.toArray(), fitted.intercept]
-    sample.unpersist()
-    flat = weights.astype(np.float32)
+    share = min(1.0, fit_rows * folds / (n * max(1, folds - 1)))
+    sample = materialize(rows.where(F.col("u") < int(1_000_000 * share)).select("x", "label", "fold").repartition(spark.sparkContext.defaultParallelism), "drift-sample")
+    flat = _fit_jointly(sample, len(columns), folds, bins, ridge, rounds).astype(np.float32)
     cells = 2000
 
     def histogram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,10 +204,9 @@ def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Seque
             for k in range(folds):
                 own, y = x[fold == k], label[fold == k]
                 for m in range(len(names)):
-                    use = [i for i in range(len(columns)) if i != m - 1]
-                    z = flat[m, k][own[:, use]].sum(axis=1) + flat[m, k, width]
+                    z = flat[m, k][own].sum(axis=1) + flat[m, k, width]  # weights of a left-out column are 0
                     cell = np.minimum(cells - 1, (cells / (1 + np.exp(-z))).astype(int))
-                    np.add.at(counts[m, k], (cell, y), 1)
+                    counts[m, k] += np.bincount(cell * 2 + y, minlength=2 * cells).reshape(cells, 2)
         m, k, c, y = np.nonzero(counts)
         yield pd.DataFrame({"m": m, "k": k, "c": c, "y": y, "n": counts[m, k, c, y]})
 

@@ -91,10 +91,10 @@ def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """How well the rows loaded in the newest month can be told from those before, and by which columns."""
+    """How well the rows loaded in the newest 90 days can be told from those before, and by which columns."""
     rows = Catalogue(spark, folder).table("task_logs")
-    newest = rows.agg(F.date_trunc("month", F.max("loaded_at")).alias("m")).first()["m"]
-    is_new = F.col("loaded_at") >= F.lit(newest)
+    newest = rows.agg(F.max("loaded_at").alias("m")).first()["m"]
+    is_new = F.col("loaded_at") >= F.lit(newest) - F.expr("INTERVAL 90 DAYS")
     columns = [c for c in TASK_COLUMNS if c not in ("started_at", "completed_at")]
     return profile.load_drift(rows, is_new, columns, ["table_uuid", "file_path", "task_id", "started_at"])
 
