@@ -181,35 +181,60 @@ def read_members(index: DataFrame, verify: bool = True) -> DataFrame:
     return rows.mapInPandas(read, "table_uuid string, file_path string, record string")
 
 
-def pack_files(spark: SparkSession, source: str, folder: str, pattern: str = "*", target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Pack the files below ``source`` byte for byte into containers; gives the index (block_path, file_path, offset, length, sha256).
+def list_files(spark: SparkSession, source: str) -> DataFrame:
+    """file_path, size of all files below a folder, empty ones too: its folders on the driver, what is below them in tasks."""
+    system, root = _filesystem(source)
+    top = system.get_file_info(pafs.FileSelector(root, recursive=False))
+    here = [(i.path, i.size) for i in top if i.type == pafs.FileType.File]
+    folders = [(i.path,) for i in top if i.type == pafs.FileType.Directory]
+    found = spark.createDataFrame(here, "file_path string, size long")
+    if not folders:
+        return found
+
+    def below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = _filesystem(source)
+        for frame in frames:
+            for folder in frame["folder"]:
+                infos = [i for i in system.get_file_info(pafs.FileSelector(folder, recursive=True)) if i.type == pafs.FileType.File]
+                yield pd.DataFrame({"file_path": [i.path for i in infos], "size": [i.size for i in infos]}).astype({"size": "int64", "file_path": "object"})
+
+    tasks = min(len(folders), 4 * spark.sparkContext.defaultParallelism)
+    return found.unionByName(spark.createDataFrame(folders, "folder string").repartition(tasks).mapInPandas(below, "file_path string, size long"))
+
+
+def pack_files(spark: SparkSession, source: str, folder: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Pack all files below ``source`` byte for byte into containers; gives the written index (block_path, file_path, offset, length, sha256).
 
-    No file is split; a container takes about ``target_bytes``. An empty folder gives an empty index.
+    No file is split; a container takes about ``target_bytes``. Only paths are shuffled: the task that writes a
+    container reads its members, a piece at a time. An empty folder gives an empty index.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
-    sizes = listing.select(F.lit("").alias("table_uuid"), F.lit("").alias("part"), F.col("path").alias("file_path"), F.col("length").alias("size"), F.lit(None).cast("long").alias("record_count"))
-    plan = materialize(plan_containers(sizes, target_bytes), "files-plan")
-    content = listing.select(F.col("path").alias("file_path"), "content")
-    joined = lookup_join(content, plan.select("file_path", "container_no"), ["file_path"]).select("container_no", "file_path", "content")
+    listing = list_files(spark, source).select(F.lit("").alias("table_uuid"), F.lit("").alias("part"), "file_path", "size", F.lit(None).cast("long").alias("record_count"))
+    plan = materialize(plan_containers(materialize(listing, "listing"), target_bytes), "files-plan")
     last = plan.agg(F.max("container_no")).first()[0] or 0
-    rows = joined.repartition(int(last) + 1, "container_no").sortWithinPartitions("container_no", "file_path")
+    rows = plan.select("container_no", "file_path").repartition(int(last) + 1, "container_no").sortWithinPartitions("container_no", "file_path")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
+        origin, _ = _filesystem(source)
         system.create_dir(root, recursive=True)
         number, sink, block, at = None, None, "", 0
         for batch in batches:
             found: dict[str, list] = {"block_path": [], "file_path": [], "offset": [], "length": [], "sha256": []}
-            for n, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for n, path in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if n != number:
                     if sink is not None:
                         sink.close()
                     block, at, number = f"{root}/{uuid.uuid4().hex}.block", 0, n
                     sink = system.open_output_stream(block)
-                sink.write(content)
-                for k, v in zip(found, (block, path, at, len(content), hashlib.sha256(content).hexdigest()), strict=True):
+                digest, length = hashlib.sha256(), 0
+                with origin.open_input_stream(path) as member:
+                    while piece := member.read(1 << 22):
+                        sink.write(piece)
+                        digest.update(piece)
+                        length += len(piece)
+                for k, v in zip(found, (block, path, at, length, digest.hexdigest()), strict=True):
                     found[k].append(v)
-                at += len(content)
+                at += length
             yield pa.RecordBatch.from_pydict(found)
         if sink is not None:
             sink.close()
