@@ -187,7 +187,7 @@ def _search(test: TestIndex, min_words: int):
         edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.empty(0, np.int64)
         total = np.add.reduceat(n, edges) if len(edges) else edges
         out = []
-        for e, stop, t in zip(edges, [*edges[1:], len(doc)], total, strict=True):
+        for e, stop, t in zip(edges, [*edges[1:], len(doc)][: len(edges)], total, strict=True):
             if t >= MIN_SHARE * min_words - SEED:
                 d = doc[e]
                 hit = _passages([(int(a - starts[d]), int(test.offset[b]), int(c)) for a, b, c in zip(p[e:stop], q[e:stop], n[e:stop], strict=True)], min_words)
@@ -223,7 +223,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
     accents, punctuation and hyphenation do not count; altered or missing words may
     stand between verbatim runs, and up to MAX_BETWEEN foreign words (headers, paragraph numbers).
     ``words`` is the length of the longest passage, item_start and doc_start count words.
-    Null or empty texts match nothing; repeated documents give a row each, as do repeated items with different ids.
+    Null or empty texts and rows without id match nothing; repeated documents give a row each, as do repeated items with different ids.
     The items are read in blocks of at most BLOCK_WORDS words, each searched against all documents.
     """
     result, block, size = None, [], 0

@@ -47,7 +47,7 @@ def _encoding(path: str):
 
 
 def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """key, n_tokens of each text (whole, however long). A null text has 0 tokens, like an empty one."""
+    """key, n_tokens of each text (whole, however long). A null text has 0 tokens, like an empty one; a row without key is no text and left out."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(vocabulary).encode_ordinary
@@ -55,7 +55,7 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
             yield pd.DataFrame({key: f[key], "n_tokens": [len(encode(t)) if t else 0 for t in f[text]]})
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInPandas(count, f"{key} {kind}, n_tokens long")
+    return documents.select(key, text).where(F.col(key).isNotNull()).mapInPandas(count, f"{key} {kind}, n_tokens long")
 
 
 def _differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -87,30 +87,60 @@ def _differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
+def _relieved(windows: list[list[int]], sizes: list[int], capacity: int, all_of_them: bool = True) -> list[list[int]] | None:
+    """The windows after those above capacity have given an item to, or exchanged one with, windows that have the room.
+
+    If one can't be relieved: None, or with ``all_of_them`` unset it stays as it is.
+    """
+    windows = [list(w) for w in windows]
+    used = [sum(sizes[i] for i in w) for w in windows]
+    for over in sorted(range(len(windows)), key=lambda w: -used[w]):
+        while used[over] > capacity:
+            excess, best = used[over] - capacity, None
+            for other, u in enumerate(used):
+                room = capacity - u
+                if other == over or room < excess:
+                    continue
+                for a in windows[over]:
+                    for b in (None, *windows[other]):
+                        d = sizes[a] - (0 if b is None else sizes[b])
+                        if excess <= d <= room and (best is None or d < best[0]):
+                            best = (d, other, a, b)
+                if best and best[0] == excess:
+                    break
+            if best is None:
+                if all_of_them:
+                    return None
+                break
+            d, other, a, b = best
+            windows[over].remove(a)
+            windows[other].append(a)
+            if b is not None:
+                windows[other].remove(b)
+                windows[over].append(b)
+            used[over] -= d
+            used[other] += d
+    return [w for w in windows if w]
+
+
 def _fitting(sizes: list[int], capacity: int) -> list[list[int]]:
-    """The fewest windows of near equal size that differencing manages with none above capacity."""
+    """The fewest windows that differencing, with exchanges from windows above capacity, manages."""
     if not sizes:
         return []
     k = max(1, -(-sum(sizes) // capacity))
-    low, best = k, None
-    step = 1
+    low, best, step = k, None, 1
     while best is None:  # rise until it fits
-        windows = _differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
-            best = [w for w in windows if w]
-        elif k >= len(sizes):
-            best = [[i] for i in range(len(sizes))]
-        else:
+        best = [[i] for i in range(len(sizes))] if k >= len(sizes) else _relieved(_differencing(sizes, k), sizes, capacity)
+        if best is None:
             low, k, step = k + 1, min(len(sizes), k + step), step * 2
     high = len(best)
     while low < high:  # then back to the least that fits
         k = (low + high) // 2
-        windows = _differencing(sizes, k)
-        if max(sum(sizes[i] for i in w) for w in windows) <= capacity:
-            best = [w for w in windows if w]
-            high = min(k, len(best))
-        else:
+        found = _relieved(_differencing(sizes, k), sizes, capacity)
+        if found is None:
             low = k + 1
+        else:
+            best, high = found, min(k, len(found))
     return best
 
 
@@ -119,7 +149,8 @@ def _filled(sizes: list[int], capacity: int, well_filled: float) -> tuple[list[l
     left, kept = list(range(len(sizes))), []
     while left:
         k = -(-sum(sizes[i] for i in left) // capacity)
-        found = [[left[j] for j in w] for w in _differencing([sizes[i] for i in left], k)]
+        own = [sizes[i] for i in left]
+        found = [[left[j] for j in w] for w in _relieved(_differencing(own, k), own, capacity, False)]
         good = [w for w in found if well_filled * capacity <= sum(sizes[i] for i in w) <= capacity]
         if not good:
             break
@@ -137,14 +168,20 @@ def pack_sizes(sizes: np.ndarray, capacity: int, windows: int = WINDOWS) -> np.n
     """The window number of each item; every size must be from 1 to ``capacity``.
 
     Items are dealt by size into groups of about ``windows`` windows with the same mix,
-    and each group is differenced by itself. Differencing into the least number of windows
-    leaves them around the capacity, some just above: in each pass the well-filled ones
-    that fit are kept, and the items of all others are pooled and dealt anew. What is left
-    in the end is spread over as many windows as it takes.
+    and each group is differenced by itself, in two ways of which the one with fewer windows
+    counts. Differencing into the least number of windows leaves them around the capacity,
+    some just above: either the number rises until all fit; or, in each of several passes, the
+    well-filled ones that fit are kept and the items of all others are pooled and dealt
+    anew, before what is left is spread over as many windows as it takes.
     """
+    ways = [_packed(sizes, capacity, windows, shares) for shares in ((), PASSES)]
+    return min(ways, key=lambda numbers: numbers.max(initial=-1))
+
+
+def _packed(sizes: np.ndarray, capacity: int, windows: int, shares: tuple[float, ...]) -> np.ndarray:
     out = np.zeros(len(sizes), np.int64)
     number, pool = 0, np.argsort(-sizes, kind="stable")
-    for share in (*PASSES, None):
+    for share in (*shares, None):
         if not len(pool):
             break
         groups = max(1, int(round(sizes[pool].sum() / (windows * capacity))))
