@@ -40,11 +40,12 @@ _ROLES = {"registry", "info", "office", "contact", "enquiries", "inquiries", "ad
 
 _UP = "".join(chr(c) for c in range(0x41, 0x180) if chr(c).isupper())
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_WORD = rf"(?:[OD]['’])?[{_UP}][{_LETTER}]+(?:-(?:[OD]['’])?[{_UP}][{_LETTER}]+)*"
+_TAIL = rf"[{_LETTER}]+(?:-(?:[OD]['’])?[{_UP}][{_LETTER}]+)*"
+_WORD = rf"[{_UP}](?:{_TAIL}|['’][{_UP}]{_TAIL})"
 _PART = r"(?:[vV][ao]n(?:\s+de[rn])?|[dD]e(?:\s+la)?|[dD]el|[dD]er|[dD]u|[dD][ai])"
-_LEAD = rf"(?:[{_UP}]\.|{_WORD})"
+_LEAD = rf"[{_UP}](?:{_TAIL}|\.|['’][{_UP}]{_TAIL})"
 #: A run of capitalised words, initials and particles; a comma only between two single words. Particles before it are added when it is judged.
-_RUN = re.compile(rf"{_LEAD}(?:(?:\s+|(?<=\.))(?:{_PART}\s+)?{_LEAD})*(?:,\s+{_WORD}(?![{_LETTER}])(?=\s*(?:,|\(|\n|\s[a-z]|$)))?")
+_RUN = re.compile(rf"{_LEAD}(?:(?:\s+|(?<=\.))(?=[{_UP}vd])(?:{_PART}\s+)?{_LEAD})*(?:,\s+{_WORD}(?![{_LETTER}])(?=\s*(?:,|\(|\n|\s[a-z]|$)))?")
 _PIECE = re.compile(rf"{_PART}(?=\s)|{_WORD}|[{_UP}]\.")
 
 #: What stands before a protected slot, as the last word before it, and what separates the sides of a case.
@@ -63,7 +64,7 @@ _CITED_NAMES = re.compile(rf"(?:\b(?:In\s+)?Re\s+)?{_WORD}(?:\s+{_WORD})*(?:\s+v
 _AT = re.compile(r"@|[\[(]at[\])]")
 _MAIL = re.compile(r"[A-Za-z0-9][\w.+-]*\s?(?:@|\[at\]|\(at\))\s?[A-Za-z0-9][\w-]*(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[A-Za-z0-9][\w-]*)+")
 #: Where a phone or identity number can be: at least seven signs of digits and what separates them.
-_DIGITS = re.compile(r"[+(]?\d[\d\s()./+-]{5,}\d")
+_DIGITS = re.compile(r"\d[\d\s()./+-]{5,}\d")
 #: Identity numbers by form, then by the label before them.
 _ID_FORMS = (
     re.compile(r"\d{3}[-\s]\d{2}[-\s]\d{4}\b|\d{2}[\s.]?\d{3}[\s.]?\d{3}[\s.]?\d{3}\b|\d{6}[-/\s]?\d{4}\b"),
@@ -122,7 +123,7 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, in
                 if local not in _ROLES:
                     found.append(("email", _one_line(m[0])))
                 break
-    numbers = [m.span() for m in _DIGITS.finditer(text)]
+    numbers = [(max(0, m.start() - 1), m.end()) for m in _DIGITS.finditer(text)]  # with a plus sign or bracket before it
     for a, b in numbers:
         for m in _ID_FORMS[0].finditer(text, a, b):
             if not text[m.start() - 1 : m.start()].isalnum() and _ID_LABEL.search(text, max(0, m.start() - 45), m.start()):
@@ -173,7 +174,7 @@ def _masked(text: str, taken: list[tuple[int, int]]) -> str:
     """The text with citations and other matches blotted out, places kept."""
     marks = list(taken)
     for m in _CITED.finditer(text):
-        names = _CITED_NAMES.search(text, max(0, m.start() - 90), m.start())
+        names = _CITED_NAMES.search(text, max(0, m.start() - 60), m.start())
         marks.append((names.start() if names else m.start(), m.end()))
     out, at = [], 0
     for a, b in sorted(marks):
