@@ -22,13 +22,13 @@ def processed_manifest(files: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``files``: table_uuid, file_path, seq, file_size_in_bytes, checksum; ``runs``: table_uuid, above_seq,
     upto_seq of successful runs. A run covers above_seq < seq <= upto_seq; runs with a
-    null bound cover nothing, and files without a sequence number are never covered.
+    null bound cover nothing, and files without a table or sequence number are never covered.
     Runs and files are merged in order of the sequence number (no join on ranges): a
     file is covered if the largest upto_seq of the runs that begin below it reaches it.
     """
-    ends = runs.where("above_seq is not null and upto_seq is not null").groupBy("table_uuid", "above_seq").agg(F.max("upto_seq").alias("upto"))
+    ends = runs.where("table_uuid is not null and above_seq is not null and upto_seq is not null").groupBy("table_uuid", "above_seq").agg(F.max("upto_seq").alias("upto"))
     starts = ends.select("table_uuid", F.col("above_seq").alias("pos"), F.lit(1).alias("side"), "upto", F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("checksum"))
-    points = files.where("seq is not null").select("table_uuid", F.col("seq").alias("pos"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("upto"), "file_path", F.col("file_size_in_bytes").alias("size"), "checksum")
+    points = files.where("table_uuid is not null and seq is not null").select("table_uuid", F.col("seq").alias("pos"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("upto"), "file_path", F.col("file_size_in_bytes").alias("size"), "checksum")
     merged = running_max(starts.unionByName(points), ["table_uuid"], "pos", ["side"], F.col("upto"), "reach", SEQUENCE_BLOCK)
     return merged.where("side = 0 and reach >= pos").select("table_uuid", "file_path", "size", "checksum")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -33,11 +35,16 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_pos:
 
     Both sides are merged in one sort by position; hot keys are cut into blocks of
     ``width`` positions. Ties of the right side go to the largest values. A left
-    row without match, or with a null position, gets nulls.
+    row without match, with a null position or a null key, gets nulls.
     """
     names = left.columns
+    known = functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
+    right = right.where(known)
+    nulls = left.where(~known).select(*names, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
+    left = left.where(known)
     l = left.select(*keys, F.col(left_pos).alias("__pos"), F.lit(1).alias("__side"), F.struct(*names).alias("__row"), F.lit(None).cast(right.select(F.struct(right_pos, *values)).schema[0].dataType).alias("__found"))
     r = right.where(F.col(right_pos).isNotNull()).select(*keys, F.col(right_pos).alias("__pos"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*names)).schema[0].dataType).alias("__row"), F.struct(right_pos, *values).alias("__found"))
     merged = running_max(l.unionByName(r), keys, "__pos", ["__side"], F.col("__found"), "__last", width)
     hit = merged.where("__side = 1")
-    return hit.select(*[F.col(f"__row.{n}").alias(n) for n in names], *[F.when(F.col("__pos").isNotNull(), F.col(f"__last.{v}")).alias(v) for v in values])
+    found = hit.select(*[F.col(f"__row.{n}").alias(n) for n in names], *[F.when(F.col("__pos").isNotNull(), F.col(f"__last.{v}")).alias(v) for v in values])
+    return found.unionByName(nulls)

@@ -16,7 +16,7 @@ _BLOCK = "__block"
 
 
 def _blocked(df: DataFrame, pos: str, width: int) -> DataFrame:
-    return df.withColumn(_BLOCK, F.coalesce(F.floor(F.col(pos) / F.lit(width)), F.lit(-(2**62))).cast("long"))
+    return df.withColumn(_BLOCK, F.coalesce(F.expr(f"`{pos}` div {width}"), F.lit(-(2**62))))
 
 
 def running_max(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[str], value: Column, out: str, width: int) -> DataFrame:
@@ -24,27 +24,20 @@ def running_max(df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[st
 
     Rows of a group (``keys``) are ordered by ``pos`` and then ``order``; ``width``
     positions make a block. Adds ``out`` and ``out + "_all"``. A null ``pos``
-    comes before all others; null values are passed over.
+    comes before all others; null values are passed over. Keys may not be null. The join
+    with the carried totals and the window inside a block share one shuffle of the rows.
     """
     rows = _blocked(df.withColumn("__value", value), pos, width)
     group = Window.partitionBy(*keys)
     before = group.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, _BLOCK).agg(F.max("__value").alias("__total"))
-    carried = totals.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(_BLOCK).alias("__b"),
-        F.max("__total").over(before).alias("__carry"),
-        F.max("__total").over(group).alias("__all"),
-    )
-    same = F.col(_BLOCK) == F.col("__b")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    carried = totals.select(*keys, _BLOCK, F.max("__total").over(before).alias("__carry"), F.max("__total").over(group).alias("__all"))
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(F.col(pos).asc_nulls_first(), *order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.join(carried, same, "left")
+        rows.join(carried, [*keys, _BLOCK])
         .withColumn(out, F.greatest(F.max("__value").over(inside), F.col("__carry")))
         .withColumn(out + "_all", F.col("__all"))
-        .drop("__value", _BLOCK, "__carry", "__all", "__b", *[f"__k{i}" for i in range(len(keys))])
+        .drop("__value", _BLOCK, "__carry", "__all")
     )
 
 

@@ -172,8 +172,8 @@ class Table:
         to_column(expressions, schema)
         return [f for f in sn.files_of(self.root, self._snapshot(state, snapshot_id)) if may_match(expressions, schema, f)]
 
-    def _plan(self, columns: list[str] | None, filter: dict | None, verify: bool | None, snapshot_id: int | None, default_verify: bool) -> tuple[DataFrame, list[tf.DataFile]]:
-        """The scan as a DataFrame with the file path and row number of each row kept in ``__file`` and ``__row``; and its files."""
+    def _plan(self, columns: list[str] | None, filter: dict | None, verify: bool | None, snapshot_id: int | None, default_verify: bool, place: bool) -> tuple[DataFrame, list[tf.DataFile]]:
+        """The scan as a DataFrame, with ``place`` also the file path and number of each row in ``__file`` and ``__row``; and its files."""
         state = self.state()
         schema = Schema(state["schema"], state["schema_id"])
         expressions = parse_filter_dict(filter)
@@ -192,12 +192,11 @@ class Table:
         quoted = [F.col(f"`{c}`") for c in names]
         if not files:
             empty = self.spark.createDataFrame([], schema.struct())
-            return empty.select(*quoted, F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")), []
+            return empty.select(*quoted, *([F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")] if place else [])), []
         rows = self.spark.read.schema(schema.struct()).parquet(*[f"file://{tf.safe_join(self.root, f.path)}" for f in files])
-        place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
         if condition is not None:
             rows = rows.where(condition)
-        return rows.select(*quoted, *place), files
+        return rows.select(*quoted, *([F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")] if place else [])), files
 
     def scan_df(self, columns: list[str] | None = None, filter: dict | None = None, verify_checksums: bool | None = None, snapshot_id: int | None = None) -> DataFrame:
         """The scan as a DataFrame: files pruned by their bounds here, columns and filter pushed to Parquet by Spark.
@@ -205,15 +204,15 @@ class Table:
         ``snapshot_id`` reads an older snapshot. Checksums are verified only if asked for (here, or by
         the configuration ``spark.siltstone.verifyChecksums``), as that reads the pruned files once more.
         """
-        rows, _ = self._plan(columns, filter, verify_checksums, snapshot_id, False)
-        return rows.drop("__file", "__row")
+        rows, _ = self._plan(columns, filter, verify_checksums, snapshot_id, False, False)
+        return rows
 
     def to_df(self, snapshot_id: int | None = None) -> DataFrame:
         """The whole table as a DataFrame. Filters on it reach Parquet but do not prune files by the manifests; :meth:`scan_df` does."""
         return self.scan_df(snapshot_id=snapshot_id)
 
     def _ordered(self, columns, filter, verify, snapshot_id):
-        rows, files = self._plan(columns, filter, verify, snapshot_id, True)
+        rows, files = self._plan(columns, filter, verify, snapshot_id, True, True)
         place = {os.path.realpath(tf.safe_join(self.root, f.path)): i for i, f in enumerate(files)}
         return rows, place
 
@@ -237,7 +236,7 @@ class Table:
         """Batches of at most ``batch_size`` dicts, none empty, none spanning files; one partition is on the driver at a time."""
         if batch_size < 1:
             raise ValueError("batch_size must be positive")
-        rows, _ = self._plan(columns, filter, verify_checksums, None, True)
+        rows, _ = self._plan(columns, filter, verify_checksums, None, True, True)
         names = [c for c in rows.columns if c not in ("__file", "__row")]
         batch, file = [], None
         for r in rows.toLocalIterator(prefetchPartitions=True):
