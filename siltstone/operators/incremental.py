@@ -35,7 +35,7 @@ def processed_manifest(files: DataFrame, runs: DataFrame) -> DataFrame:
 
 def pending_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     """Anti-join of the listing against the manifest by table, path, size and checksum; a null size or checksum equals a null one."""
-    done = manifest.select(*[F.col(c).alias(f"__{c}") for c in ("table_uuid", "file_path", "size", "checksum")]).distinct()
+    done = manifest.select(*[F.col(c).alias(f"__{c}") for c in ("table_uuid", "file_path", "size", "checksum")])
     same = (F.col("table_uuid") == F.col("__table_uuid")) & (F.col("file_path") == F.col("__file_path")) & F.col("file_size_in_bytes").eqNullSafe(F.col("__size")) & F.col("checksum").eqNullSafe(F.col("__checksum"))
     return listing.join(done, same, "left_anti")
 
