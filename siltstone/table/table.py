@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import time
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +20,28 @@ from siltstone.session import local_path
 from siltstone.table import files as tf
 from siltstone.table import maintenance
 from siltstone.table import snapshots as sn
-from siltstone.table.errors import CommitConflict, ConcurrentModificationException, TableExistsError
+from siltstone.table.errors import CommitConflict, ConcurrentModificationException, CorruptDataError, TableExistsError
 from siltstone.table.log import CommitLog
-from siltstone.table.predicates import may_match, parse_filter_dict, to_column
+from siltstone.table.predicates import FilterExpression, check_types, may_match, parse_filter_dict, to_arrow, to_column
 from siltstone.table.transaction import Transaction
 from siltstone.table.types import PartitionSpec, Schema
 
 VERIFY_CONF = "spark.siltstone.verifyChecksums"
+#: Scans whose result goes to the driver read so many files of so many bytes there, without a Spark job.
+LOCAL_FILES, LOCAL_BYTES = 32, 32 * 1024 * 1024
+
+
+@dataclass
+class _Plan:
+    schema: Schema
+    expressions: list[FilterExpression]
+    names: list[str]
+    files: list[tf.DataFile]
+    verify: bool
+
+    @property
+    def is_small(self) -> bool:
+        return len(self.files) <= LOCAL_FILES and sum(f.size for f in self.files) <= LOCAL_BYTES
 
 
 class MetadataStore:
@@ -172,31 +192,39 @@ class Table:
         to_column(expressions, schema)
         return [f for f in sn.files_of(self.root, self._snapshot(state, snapshot_id)) if may_match(expressions, schema, f)]
 
-    def _plan(self, columns: list[str] | None, filter: dict | None, verify: bool | None, snapshot_id: int | None, default_verify: bool, place: bool) -> tuple[DataFrame, list[tf.DataFile]]:
-        """The scan as a DataFrame, with ``place`` also the file path and number of each row in ``__file`` and ``__row``; and its files."""
+    def _plan(self, columns: list[str] | None, filter: dict | None, verify: bool | None, snapshot_id: int | None, default_verify: bool) -> _Plan:
+        """What a scan reads, and whether checksums are to be verified."""
         state = self.state()
         schema = Schema(state["schema"], state["schema_id"])
         expressions = parse_filter_dict(filter)
-        condition = to_column(expressions, schema)
+        check_types(expressions, schema)
         names = schema.names if columns is None else list(columns)
         unknown = [c for c in names if c not in schema.by_name]
         if unknown:
             raise ValueError(f"unknown columns {unknown}")
         files = [f for f in sn.files_of(self.root, self._snapshot(state, snapshot_id)) if may_match(expressions, schema, f)]
-        if any(f.type == "time" or f.type == "list<time>" for f in schema.fields):
-            self.spark.conf.set("spark.sql.timeType.enabled", "true")
         if verify is None:
-            verify = self.spark.conf.get(VERIFY_CONF, "true" if default_verify else "false").lower() == "true"
-        if verify:
-            tf.verify(self.spark, self.root, files)
-        quoted = [F.col(f"`{c}`") for c in names]
-        if not files:
-            empty = self.spark.createDataFrame([], schema.struct())
-            return empty.select(*quoted, *([F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")] if place else [])), []
-        rows = self.spark.read.schema(schema.struct()).parquet(*[f"file://{tf.safe_join(self.root, f.path)}" for f in files])
+            verify = self.spark_conf(VERIFY_CONF, "true" if default_verify else "false").lower() == "true"
+        return _Plan(schema, expressions, names, files, verify)
+
+    def spark_conf(self, key: str, default: str) -> str:
+        return self.spark.conf.get(key, default) if self.spark is not None else default
+
+    def _spark_rows(self, plan: _Plan, place: bool) -> DataFrame:
+        """The scan as a DataFrame, with ``place`` also the file path and number of each row in ``__file`` and ``__row``."""
+        if any("time" in (f.type, f.type.removeprefix("list<").rstrip(">")) for f in plan.schema.fields):
+            self.spark.conf.set("spark.sql.timeType.enabled", "true")
+        if plan.verify:
+            tf.verify(self.spark, self.root, plan.files)
+        quoted = [F.col(f"`{c}`") for c in plan.names]
+        if not plan.files:
+            empty = self.spark.createDataFrame([], plan.schema.struct())
+            return empty.select(*quoted, *([F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")] if place else []))
+        rows = self.spark.read.schema(plan.schema.struct()).parquet(*[f"file://{tf.safe_join(self.root, f.path)}" for f in plan.files])
+        condition = to_column(plan.expressions, plan.schema)
         if condition is not None:
             rows = rows.where(condition)
-        return rows.select(*quoted, *([F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")] if place else [])), files
+        return rows.select(*quoted, *([F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")] if place else []))
 
     def scan_df(self, columns: list[str] | None = None, filter: dict | None = None, verify_checksums: bool | None = None, snapshot_id: int | None = None) -> DataFrame:
         """The scan as a DataFrame: files pruned by their bounds here, columns and filter pushed to Parquet by Spark.
@@ -204,47 +232,72 @@ class Table:
         ``snapshot_id`` reads an older snapshot. Checksums are verified only if asked for (here, or by
         the configuration ``spark.siltstone.verifyChecksums``), as that reads the pruned files once more.
         """
-        rows, _ = self._plan(columns, filter, verify_checksums, snapshot_id, False, False)
-        return rows
+        return self._spark_rows(self._plan(columns, filter, verify_checksums, snapshot_id, False), False)
 
     def to_df(self, snapshot_id: int | None = None) -> DataFrame:
         """The whole table as a DataFrame. Filters on it reach Parquet but do not prune files by the manifests; :meth:`scan_df` does."""
         return self.scan_df(snapshot_id=snapshot_id)
 
-    def _ordered(self, columns, filter, verify, snapshot_id):
-        rows, files = self._plan(columns, filter, verify, snapshot_id, True, True)
-        place = {os.path.realpath(tf.safe_join(self.root, f.path)): i for i, f in enumerate(files)}
-        return rows, place
+    def _local_tables(self, plan: _Plan) -> Iterator[pa.Table]:
+        """The rows of each file, read on the driver; a file that is verified is read once, hashed and parsed."""
+        condition = to_arrow(plan.expressions, plan.schema)
+        wanted = pa.schema([f for f in plan.schema.arrow() if f.name in plan.names])
+        needed = list(dict.fromkeys([*plan.names, *(e.column for e in plan.expressions)]))
+        for f in plan.files:
+            path = tf.safe_join(self.root, f.path)
+            source: pa.Buffer | str = path
+            if plan.verify and f.checksum:
+                with open(path, "rb") as opened:
+                    content = opened.read()
+                if hashlib.sha256(content).hexdigest() != f.checksum:
+                    raise CorruptDataError(f"{f.path} does not have its checksum")
+                source = pa.BufferReader(content)
+            rows = pq.read_table(source, columns=needed, partitioning=None)
+            if condition is not None:
+                rows = rows.filter(condition)
+            yield rows.select(plan.names).cast(pa.schema([wanted.field(n) for n in plan.names]))
+
+    def _arrow(self, columns, filter, verify, snapshot_id) -> pa.Table:
+        """The scan's rows on the driver, in the order of manifests, files and rows."""
+        plan = self._plan(columns, filter, verify, snapshot_id, True)
+        if plan.is_small:
+            tables = list(self._local_tables(plan))
+            return pa.concat_tables(tables) if tables else pa.schema([plan.schema.arrow().field(n) for n in plan.names]).empty_table()
+        found = self._spark_rows(plan, True).toArrow()
+        place = {os.path.realpath(tf.safe_join(self.root, f.path)): i for i, f in enumerate(plan.files)}
+        paths = found["__file"].combine_chunks().dictionary_encode()
+        ranks = pa.array([place[os.path.realpath(_plain(p))] for p in paths.dictionary.to_pylist()], pa.int32())
+        ordered = found.append_column("__rank", pc.take(ranks, paths.indices)).sort_by([("__rank", "ascending"), ("__row", "ascending")])
+        return ordered.select(plan.names)
 
     def scan(self, columns: list[str] | None = None, filter: dict | None = None, parallel: bool | int = False, verify_checksums: bool | None = None, snapshot_id: int | None = None) -> list[dict]:
-        """The rows as dicts, in the order of manifests, files and rows. Spark reads in parallel whatever ``parallel`` says."""
-        rows, place = self._ordered(columns, filter, verify_checksums, snapshot_id)
-        found = rows.toArrow().to_pylist()
-        found.sort(key=lambda r: (place[os.path.realpath(_plain(r["__file"]))], r["__row"]))
-        return [{k: v for k, v in r.items() if k not in ("__file", "__row")} for r in found]
+        """The rows as dicts, in the order of manifests, files and rows.
+
+        If the pruned files are few and small (:data:`LOCAL_FILES`, :data:`LOCAL_BYTES`) the driver, where the rows must come anyway,
+        reads them itself; else Spark does, in parallel whatever ``parallel`` says.
+        """
+        return self._arrow(columns, filter, verify_checksums, snapshot_id).to_pylist()
 
     def to_pandas(self, columns: list[str] | None = None, filter: dict | None = None, parallel: bool | int = False, verify_checksums: bool | None = None, snapshot_id: int | None = None) -> pd.DataFrame:
-        """The rows as a pandas frame; order as in :meth:`scan`."""
-        rows, place = self._ordered(columns, filter, verify_checksums, snapshot_id)
-        frame = rows.toPandas()
-        if len(frame):
-            frame["__file"] = [place[os.path.realpath(_plain(p))] for p in frame["__file"]]
-            frame = frame.sort_values(["__file", "__row"], kind="stable")
-        return frame.drop(columns=["__file", "__row"]).reset_index(drop=True)
+        """The rows as a pandas frame; order and reading as in :meth:`scan`."""
+        return self._arrow(columns, filter, verify_checksums, snapshot_id).to_pandas()
 
     def scan_batches(self, batch_size: int = 10_000, columns: list[str] | None = None, filter: dict | None = None, verify_checksums: bool | None = None) -> Iterator[list[dict]]:
-        """Batches of at most ``batch_size`` dicts, none empty, none spanning files; one partition is on the driver at a time."""
+        """Batches of at most ``batch_size`` dicts, none empty, none spanning files; one file or partition is on the driver at a time."""
         if batch_size < 1:
             raise ValueError("batch_size must be positive")
-        rows, _ = self._plan(columns, filter, verify_checksums, None, True, True)
-        names = [c for c in rows.columns if c not in ("__file", "__row")]
+        plan = self._plan(columns, filter, verify_checksums, None, True)
+        if plan.is_small:
+            for rows in self._local_tables(plan):
+                yield from (b.to_pylist() for b in rows.combine_chunks().to_batches(max_chunksize=batch_size) if b.num_rows)
+            return
         batch, file = [], None
-        for r in rows.toLocalIterator(prefetchPartitions=True):
+        for r in self._spark_rows(plan, True).toLocalIterator(prefetchPartitions=True):
             if batch and (len(batch) >= batch_size or r["__file"] != file):
                 yield batch
                 batch = []
             file = r["__file"]
-            batch.append({n: r[n] for n in names})
+            batch.append({n: r[n] for n in plan.names})
         if batch:
             yield batch
 

@@ -20,6 +20,13 @@ PEOPLE = Schema([Field(1, "id", "long", True), Field(2, "name", "string"), Field
 ROWS = [{"id": 1, "name": "Alice", "age": 30, "score": 95.5}, {"id": 2, "name": "Bob", "age": 25, "score": 82.0}, {"id": 3, "name": None, "age": 35, "score": 88.5}]
 
 
+@pytest.fixture(autouse=True, params=["driver", "spark"])
+def reader(request, monkeypatch):
+    """Scans run once read by the driver and once by Spark."""
+    if request.param == "spark":
+        monkeypatch.setattr("siltstone.table.table.LOCAL_FILES", -1)
+
+
 @pytest.fixture
 def table(spark, tmp_path):
     return create_table(spark, str(tmp_path / "t"), PEOPLE)
