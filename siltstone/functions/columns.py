@@ -40,9 +40,10 @@ def partition_key(values: Column) -> Column:
 
 
 def bound_text(bound: Column) -> Column:
-    """The text of a column bound written as ``{"t": ..., "v": ...}`` or bare; null if unreadable JSON."""
+    """The text of a column bound written as ``{"t": ..., "v": ...}`` or bare; of a value that is no valid JSON, such as NaN, what stands there. Null if there is none."""
     tagged = bound.rlike(r'^\s*\{\s*"t"\s*:')
-    return F.when(tagged, F.get_json_object(bound, "$.v")).otherwise(bound)
+    raw = F.nullif(F.nullif(F.regexp_extract(bound, r'"v"\s*:\s*([^"\s{}]+)\s*\}\s*$', 1), F.lit("null")), F.lit(""))
+    return F.when(tagged, F.coalesce(F.get_json_object(bound, "$.v"), raw)).otherwise(bound)
 
 
 def bound_number(text: Column, kind: Column) -> tuple[Column, Column]:

@@ -139,7 +139,7 @@ def pack(plan: DataFrame, records: DataFrame, folder: str, rows_per_task: int =
     """
     spark = plan.sparkSession
     members = plan.select("table_uuid", "file_path", "part", "container_no")
-    rows = lookup_join(records, members, ["table_uuid", "file_path"], salt_by=["record"])
+    rows = lookup_join(records, members, ["table_uuid", "file_path"])  # a small file has few records, so no key is hot
     headers = members.withColumn("record", F.lit(None).cast("binary"))
     order = ["table_uuid", "part", "container_no", "file_path", "record"]
     # members may state records that are not among these, so the smaller count bounds the rows

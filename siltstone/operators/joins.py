@@ -13,7 +13,7 @@ from siltstone.operators.scans import running_max
 from siltstone.session import BROADCAST_LIMIT, planned_bytes
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salt_by: Sequence[str] = (), salts: int = 16, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salt_by: Sequence[str] = (), salts: int = 8, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Join many ``rows`` with a smaller ``table`` on equal ``keys`` (inner, left, left_semi or left_anti).
 
     The table is broadcast if the size Spark plans for it is at most ``limit``

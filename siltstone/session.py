@@ -10,8 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A side is broadcast only if its measured size is at most this many bytes.
-BROADCAST_LIMIT = 16 * 1024 * 1024
+#: A side is broadcast only if its planned size is at most this many bytes. Written tables count compressed; in memory they take up to some ten times that.
+BROADCAST_LIMIT = 4 * 1024 * 1024
 
 _local_roots: dict[str, str] = {}
 

@@ -200,13 +200,13 @@ def test_check_statistics(spark):
 
     cases = [
         entry("good"), entry("good"), entry("negative", v2=-1), entry("nulls_over", n2=101), entry("required", n1=1), entry("count", count=99), entry("nocount", count=None), entry("nan", l1='{"t": "float", "v": NaN}'), entry("wide", h1=str(2**31)),
-        entry("text", l1="abc"), entry("crossed", l1="10"), entry("crossed_text", h2="aa"), entry("pattern", h2="b1"), entry("line_end", h2="b\n"), entry("no_bounds", l1=None, h1=None), ("t", "no_maps", 1, 5, None, None, None, None, 0, "x"), ("t", "other_field", 1, 1, {"9": 5}, {"9": 9}, None, None, 0, "x"), (None, "x", 1, 1, {"2": 1}, {"2": 2}, None, None, 0, "x"),
+        entry("text", l1="abc"), entry("crossed", l1="10"), entry("crossed_text", h2="aa"), entry("pattern", h2="b1"), entry("line_end", h2="b\n"), entry("text_nan", l2='{"t": "float", "v": NaN}', h2='{"t": "float", "v": NaN}'), entry("text_null", l2='{"t": "str", "v": null}'), entry("no_bounds", l1=None, h1=None), ("t", "no_maps", 1, 5, None, None, None, None, 0, "x"), ("t", "other_field", 1, 1, {"9": 5}, {"9": 9}, None, None, 0, "x"), (None, "x", 1, 1, {"2": 1}, {"2": 2}, None, None, 0, "x"),
     ]
     fields = spark.createDataFrame([("t", 1, "int", True, None, "q"), ("t", 2, "string", False, "^[a-z]+$", "q")], FIELDS)
     got = {(r["file_path"], r["field_id"]): r["violations"] for r in profile.check_statistics(spark.createDataFrame(cases, ENTRY), fields).collect()}
     assert got == {
         ("negative", 2): ["bad_count", "count_mismatch"], ("nulls_over", 2): ["bad_count"], ("required", 1): ["bad_count"], ("count", 1): ["count_mismatch"], ("count", 2): ["count_mismatch"], ("nan", 1): ["unreadable_bound"], ("wide", 1): ["unreadable_bound"], ("text", 1): ["unreadable_bound"],
-        ("crossed", 1): ["crossed_bounds"], ("crossed_text", 2): ["crossed_bounds"], ("pattern", 2): ["pattern"], ("line_end", 2): ["pattern"],
+        ("crossed", 1): ["crossed_bounds"], ("crossed_text", 2): ["crossed_bounds"], ("pattern", 2): ["pattern"], ("line_end", 2): ["pattern"], ("text_nan", 2): ["pattern"], ("text_null", 2): ["unreadable_bound"],
     }
     assert profile.check_statistics(spark.createDataFrame([], ENTRY), fields).count() == 0
 
