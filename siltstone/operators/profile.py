@@ -79,7 +79,7 @@ def check_statistics(entries: DataFrame, fields: DataFrame, min_values: int = 10
     flags = [F.max(F.coalesce(flag, F.lit(False))).alias(name) for name, flag in broken.items()]
     counts = F.struct(F.coalesce("seq", F.lit(2**62)).alias("s"), "n_values", "n_nulls")
     files = stats.groupBy("table_uuid", "file_path", "field_id").agg(F.min("seq").alias("first_seq"), F.min(counts).alias("c"), *flags)
-    files = files.withColumns({"n_values": F.col("c.n_values"), "n_nulls": F.col("c.n_nulls")}).drop("c")
+    files = materialize(files.withColumns({"n_values": F.col("c.n_values"), "n_nulls": F.col("c.n_nulls")}).drop("c"), "statistics")  # read three times below
     sound = files.where("n_nulls between 0 and n_values").select("table_uuid", "field_id", "first_seq", F.lit(0).alias("probe"), "n_values", "n_nulls")
     probes = files.where("first_seq is not null").select("table_uuid", "field_id", "first_seq", F.lit(1).alias("probe"), F.lit(0).cast("long").alias("n_values"), F.lit(0).cast("long").alias("n_nulls"))
     pool = sums_before(sound.unionByName(probes), ["table_uuid", "field_id"], "first_seq", ["n_values", "n_nulls"], SEQUENCE_BLOCK)
