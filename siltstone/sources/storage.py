@@ -1,0 +1,145 @@
+"""Storage behind a small interface: local folders, and what Arrow's file systems reach."""
+
+from __future__ import annotations
+
+import os
+import uuid
+from abc import ABC, abstractmethod
+from typing import BinaryIO
+
+from pyarrow import fs as pafs
+
+from siltstone.session import local_path
+from siltstone.table.errors import CommitConflict
+from siltstone.table.files import safe_join
+
+
+class Storage(ABC):
+    """Files below one root; paths are relative to it, and none leads outside (``ValueError``)."""
+
+    @abstractmethod
+    def open(self, path: str) -> BinaryIO:
+        """A seekable reader; ``FileNotFoundError`` if there is no such file. Remote ones fetch only the ranges that are read."""
+
+    @abstractmethod
+    def write(self, path: str, content: bytes) -> None:
+        """Write or replace a file, all or nothing."""
+
+    @abstractmethod
+    def create(self, path: str, content: bytes) -> None:
+        """Write a file that must not exist; :class:`CommitConflict` if it does."""
+
+    @abstractmethod
+    def list(self, path: str = "") -> list[str]:
+        """The paths of all files below a folder; a folder that does not exist has none."""
+
+    @abstractmethod
+    def delete(self, path: str) -> bool:
+        """Remove a file; False if it wasn't there."""
+
+    @abstractmethod
+    def info(self, path: str) -> tuple[int, float] | None:
+        """Size and time of last change of a file; None if there is no such file."""
+
+    def read(self, path: str) -> bytes:
+        with self.open(path) as f:
+            return f.read()
+
+    def exists(self, path: str) -> bool:
+        return self.info(path) is not None
+
+
+class LocalStorage(Storage):
+    """A folder of this machine or of a mounted file system with hard links."""
+
+    def __init__(self, root: str):
+        self.root = os.path.abspath(local_path(root))
+
+    def _at(self, path: str) -> str:
+        return safe_join(self.root, path)
+
+    def open(self, path: str) -> BinaryIO:
+        return open(self._at(path), "rb")
+
+    def _temporary(self, path: str, content: bytes) -> tuple[str, str]:
+        final = self._at(path)
+        os.makedirs(os.path.dirname(final), exist_ok=True)
+        temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+        with open(temporary, "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        return final, temporary
+
+    def write(self, path: str, content: bytes) -> None:
+        final, temporary = self._temporary(path, content)
+        os.replace(temporary, final)
+
+    def create(self, path: str, content: bytes) -> None:
+        final, temporary = self._temporary(path, content)
+        try:
+            os.link(temporary, final)
+        except FileExistsError:
+            raise CommitConflict(path) from None
+        finally:
+            os.unlink(temporary)
+
+    def list(self, path: str = "") -> list[str]:
+        base = os.path.realpath(self.root)
+        return sorted(os.path.relpath(os.path.join(at, n), base) for at, _, names in os.walk(self._at(path)) for n in names)
+
+    def delete(self, path: str) -> bool:
+        try:
+            os.unlink(self._at(path))
+        except FileNotFoundError:
+            return False
+        return True
+
+    def info(self, path: str) -> tuple[int, float] | None:
+        at = self._at(path)
+        return (os.path.getsize(at), os.path.getmtime(at)) if os.path.isfile(at) else None
+
+
+class ArrowStorage(Storage):
+    """What an Arrow file system reaches (s3, gs, hdfs URIs). Reading, writing and listing; no commits, which need a conditional put."""
+
+    def __init__(self, uri: str):
+        self.system, self.root = pafs.FileSystem.from_uri(uri)
+
+    def _at(self, path: str) -> str:
+        parts = [p for p in path.split("/") if p]
+        if ".." in parts:
+            raise ValueError(f"path traversal: {path!r}")
+        return "/".join([self.root.rstrip("/"), *parts])
+
+    def open(self, path: str) -> BinaryIO:
+        return self.system.open_input_file(self._at(path))
+
+    def write(self, path: str, content: bytes) -> None:
+        at = self._at(path)
+        self.system.create_dir(os.path.dirname(at), recursive=True)
+        with self.system.open_output_stream(at) as f:
+            f.write(content)
+
+    def create(self, path: str, content: bytes) -> None:
+        raise NotImplementedError("this store has no conditional put here; keep the commit log on a file system with hard links")
+
+    def list(self, path: str = "") -> list[str]:
+        base = self._at(path)
+        infos = self.system.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
+        return sorted(i.path[len(self.root.rstrip("/")) + 1 :] for i in infos if i.type == pafs.FileType.File)
+
+    def delete(self, path: str) -> bool:
+        if not self.exists(path):
+            return False
+        self.system.delete_file(self._at(path))
+        return True
+
+    def info(self, path: str) -> tuple[int, float] | None:
+        i = self.system.get_file_info(self._at(path))
+        return (i.size, i.mtime_ns / 1e9 if i.mtime_ns is not None else 0.0) if i.type == pafs.FileType.File else None
+
+
+def open_storage(uri: str) -> Storage:
+    """Storage by the URI's scheme: none or ``file`` is local, others go through Arrow."""
+    return LocalStorage(uri) if "://" not in uri or uri.startswith("file:") else ArrowStorage(uri)
