@@ -29,10 +29,11 @@ def check_references(references: DataFrame, events: DataFrame, grace_ms: int = 0
     references, events = (d.withColumn("table_uuid", F.coalesce("table_uuid", F.lit(""))) for d in (references, events))
     refs = references.where("path is not null and path <> ''").groupBy("source_table", "table_uuid", "path", "ref_ms").agg(F.count(F.lit(1)).alias("n_refs"))
     log = events.where("path is not null and event_ms is not null").select("table_uuid", "path", "event_ms", F.coalesce("is_put", F.lit(False)).alias("is_put"))
-    state = F.struct("event_ms", "is_put")
+    # an event as one number that orders by time and then puts last; numbers aggregate by hash, structs would be sorted
+    state = F.greatest(F.lit(-_END // 2), F.least(F.lit(_END // 2), F.col("event_ms"))) * 2 + F.col("is_put").cast("long")
     left = log.select("table_uuid", "path", F.col("event_ms").alias("pos"), F.lit(0).alias("side"), state.alias("event"), F.lit(None).cast("string").alias("source_table"), F.lit(None).cast("long").alias("ref_ms"), F.lit(0).cast("long").alias("n_refs"))
-    right = refs.select("table_uuid", "path", F.coalesce(F.col("ref_ms") + grace_ms, F.lit(_END)).alias("pos"), F.lit(1).alias("side"), F.lit(None).cast("struct<event_ms:bigint,is_put:boolean>").alias("event"), "source_table", "ref_ms", "n_refs")
+    right = refs.select("table_uuid", "path", F.coalesce(F.col("ref_ms") + grace_ms, F.lit(_END)).alias("pos"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event"), "source_table", "ref_ms", "n_refs")
     merged = running_max(left.unionByName(right), ["table_uuid", "path"], "pos", ["side"], F.col("event"), "then", SLICE_MS).where("side = 1")
-    at_ref, at_end = F.coalesce("then.is_put", F.lit(False)), F.coalesce("then_all.is_put", F.lit(False))
+    at_ref, at_end = (F.coalesce(F.pmod(F.col(c), F.lit(2)) == 1, F.lit(False)) for c in ("then", "then_all"))
     verdict = F.when(F.col("then_all").isNull(), "missing").when(~at_end, "deleted").when(~at_ref, "late").otherwise("ok")
     return merged.select("source_table", F.nullif("table_uuid", F.lit("")).alias("table_uuid"), "path", "ref_ms", "n_refs", verdict.alias("state"))
