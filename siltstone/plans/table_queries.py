@@ -352,6 +352,67 @@ def udf_vectorised(spark, folder):
     return l.groupBy("l_linestatus").agg(F.sum(cents("l_extendedprice", F.lit(0.5))).alias("cents"))
 
 
+def join_hints(spark, folder):
+    """The same join by sort-merge, shuffled hash and broadcast of the 25 nations; right and inner."""
+    s, n, r = (_df(spark, folder, t) for t in ("supplier", "nation", "region"))
+    merged = s.hint("merge").join(n, s.s_nationkey == n.n_nationkey)
+    hashed = merged.join(r.hint("shuffle_hash"), merged.n_regionkey == r.r_regionkey, "right")
+    return hashed.groupBy("r_name").agg(F.count("s_suppkey").alias("suppliers"), _total("s_acctbal").alias("balance"))
+
+
+def agg_percentiles(spark, folder):
+    return _df(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.5).alias("median_qty"), F.expr("max_by(l_orderkey, struct(l_extendedprice, l_orderkey))").alias("dearest"), F.count_if(F.col("l_discount") > 0.05).alias("discounted"))
+
+
+def window_frames(spark, folder):
+    """Sum of the last three orders of a customer, and of those within 100 keys before."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    return _df(spark, folder, "orders").select("o_orderkey", F.sum(price).over(w.rowsBetween(-2, 0)).cast("double").alias("last3"), F.sum(price).over(w.rangeBetween(-100, 0)).cast("double").alias("near"))
+
+
+def window_sessions(spark, folder):
+    """Sessions of a user with gaps below six hours: their number of events."""
+    e = _df(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
+    sessions = e.groupBy("user_id", F.session_window("t", "6 hours")).agg(F.count("*").alias("n"))
+    return sessions.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+def formats_roundtrip(spark, folder):
+    """A scan written as ORC, JSON and CSV and read back, together."""
+    rows = _df(spark, folder, "nation")
+    back = []
+    for name in ("orc", "json", "csv"):
+        path = new_path(spark, f"format-{name}")
+        rows.write.format(name).save(path)
+        back.append(spark.read.format(name).schema(rows.schema).load(path))
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+def udtf_pairs(spark, folder):
+    """A table function: one row per word of a part's name."""
+
+    @F.udtf(returnType="place int, word string")
+    class Words:
+        def eval(self, text: str):
+            yield from enumerate((text or "").split(" "))
+
+    spark.udtf.register("siltstone_words", Words)
+    _df(spark, folder, "part").createOrReplaceTempView("siltstone_part")
+    return spark.sql("SELECT p_partkey, w.place, w.word FROM siltstone_part, LATERAL siltstone_words(p_name) w")
+
+
+def stream_state(spark, folder):
+    """A custom stateful operator over the events as a stream: the last value and number of events of each user."""
+    from siltstone.streaming.ingest import latest_per_key
+
+    staged = local_path(new_path(spark, "stream_source"))
+    df = _source(spark, folder, "events").select("event_id", "user_id")
+    df.repartitionByRange(4, "event_id").write.parquet("file://" + staged)
+    source = spark.readStream.schema("event_id long, user_id long").option("maxFilesPerTrigger", 1).parquet("file://" + staged)
+    return latest_per_key(source, "user_id", "event_id", new_path(spark, "stream_latest"))
+
+
 def stream_append(spark, folder):
     """The events as a stream into a table, in micro-batches that each commit once; read back as counts per day."""
     from siltstone.streaming.ingest import stream_into
@@ -384,7 +445,8 @@ QUERIES = {
         scan_all_region, project_orders, filter_conjunction, project_without_filter_col, pruned_range_lineitem, array_roundtrip, row_count_meta, file_stats, multi_append_union, adopt_files,
         delete_file_effect, asof_scan, snapshot_lineage, expire_keeps_data, delete_snapshot_repoint, compaction_keeps_rows, batches_roundtrip, checksum_report, gc_orphan, failed_avg_duration,
         groupby_count, groupby_sum, join_inner, join_left, join_full, join_semi, join_anti, join_asof, join_range, agg_rollup, agg_cube, agg_grouping_sets, window_rank, window_lag, sort_top,
-        set_operations, predicate_mix, scalar_functions, json_fields, subquery_scalar, udf_vectorised, stream_append, stream_window,
+        set_operations, predicate_mix, scalar_functions, json_fields, subquery_scalar, udf_vectorised, join_hints, agg_percentiles, window_frames,
+        window_sessions, formats_roundtrip, udtf_pairs, stream_append, stream_window, stream_state,
     )
 }
 _FILTERS = {
@@ -451,6 +513,13 @@ SQL = {
     "json_fields": "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1",
     "subquery_scalar": "SELECT o_orderkey FROM orders o WHERE o_totalprice::decimal(18,2) > (SELECT sum(i.o_totalprice::decimal(18,2)) / count(*) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "udf_vectorised": "SELECT l_linestatus, sum(round_even(l_extendedprice * 1.5::double * 100, 0)::bigint)::bigint AS cents FROM lineitem GROUP BY 1",
+    "join_hints": "SELECT r_name, count(s_suppkey) AS suppliers, sum(s_acctbal::decimal(18,2))::double AS balance FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1",
+    "agg_percentiles": "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS median_qty, arg_max(l_orderkey, struct_pack(a := l_extendedprice, b := l_orderkey)) AS dearest, count(*) FILTER (l_discount > 0.05::double) AS discounted FROM lineitem GROUP BY 1",
+    "window_frames": "SELECT o_orderkey, sum(o_totalprice::decimal(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::double AS last3, sum(o_totalprice::decimal(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW)::double AS near FROM orders",
+    "window_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
+    "formats_roundtrip": "SELECT * FROM nation UNION ALL SELECT * FROM nation UNION ALL SELECT * FROM nation",
+    "udtf_pairs": "SELECT p_partkey, (i - 1)::int AS place, string_split(p_name, ' ')[i] AS word FROM part, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS t(i)",
+    "stream_state": "SELECT user_id, max(event_id) AS latest, count(*) AS n FROM events GROUP BY 1",
     "stream_append": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
     "stream_window": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
     "filter_between_ts": "SELECT event_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 12:00:00' AND TIMESTAMP '2024-01-20 06:00:00' AND event_type IN ('error', 'purchase')",

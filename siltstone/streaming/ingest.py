@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,3 +43,30 @@ def windowed_counts(stream: DataFrame, folder: str, size: str = "1 hour", late:
     query = rows.writeStream.outputMode("append").option("checkpointLocation", folder + "-state").format("parquet").option("path", folder).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema("start timestamp_ntz, event_type string, n long").parquet(folder)
+
+
+def latest_per_key(stream: DataFrame, key: str, value: str, folder: str) -> DataFrame:
+    """The largest value and the number of rows of each key of what the stream has now: key, latest, n.
+
+    State of one pair of numbers per key is kept between micro-batches; every batch writes the keys it
+    changed with their new state, and the result takes the furthest state of each key. Null keys are left out.
+    """
+
+    def update(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        latest, n = state.get if state.exists else (None, 0)
+        for f in frames:
+            top = int(f[value].max())
+            latest, n = top if latest is None else max(latest, top), n + len(f)
+        state.update((latest, n))
+        yield pd.DataFrame({key: [keys[0]], "latest": [latest], "n": [n]})
+
+    schema = f"{key} long, latest long, n long"
+    changed = stream.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).applyInPandasWithState(update, schema, "latest long, n long", "update", "NoTimeout")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")  # a repeated batch replaces itself
+
+    query = changed.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", folder + "-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = stream.sparkSession.read.schema(schema + ", batch int").parquet(folder)
+    return states.groupBy(key).agg(F.max("latest").alias("latest"), F.max("n").alias("n"))
