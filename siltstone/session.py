@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_LIMIT = 4 * 1024 * 1024
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="siltstone-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package, archive = Path(__file__).parent, os.path.join(folder, "siltstone.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -37,11 +56,25 @@ def work_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; removed at exit if it is a local one."""
     path = f"{work_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     if path.startswith(("file:", "/")):
         atexit.register(shutil.rmtree, local_path(path), ignore_errors=True)
     return path
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete every folder :func:`new_path` has named in this application; how many there were.
+
+    For long sessions: results that have not been written elsewhere can't be read any more afterwards.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
+
+
 def local_path(uri: str) -> str:
     """``file:`` URI or plain path as a plain path."""
     if uri.startswith("file://"):
