@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import importlib.util
 import os
 from collections.abc import Iterator
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.joins import lookup_join
@@ -90,7 +90,6 @@ _ADDRESS = re.compile(
 _HOUSE = re.compile(rf"House,\s+{_ENGLISH_STREET}|Cottage,\s+{_ENGLISH_STREET}|Lodge,\s+{_ENGLISH_STREET}|Villa,\s+{_ENGLISH_STREET}")
 #: What may stand before that: flat, house name, number sign, German street.
 _UNIT_BEFORE = re.compile(r"(?:(?:Flat|Apartment|Apt\.?|Unit)\s+\d+[A-Za-z]?,\s+)?(?:No\.\s+)?$")
-_FLAT_NUMBER = re.compile(r"(?:Flat|Apartment|Apt\.?|Unit)\s+$")
 _HOUSE_BEFORE = re.compile(rf"(?:(?:Flat|Apartment|Apt\.?|Unit)\s+\d+[A-Za-z]?,\s+)?(?:{_WORD}\s+)?{_WORD}\s+$")
 _GERMAN_BEFORE = re.compile(rf"{_WORD}(?:strasse|straße|weg|allee|gasse|platz|ufer|ring|damm)\s+$")
 _NOT_PRIVATE_BEFORE = re.compile(r"(?:[Nn]otices\s+go\s+to|[Rr]egistry\s*:?|[Ss]itz\s*:?|[Rr]egistered\s+office\s*:?)\s+$")
@@ -163,7 +162,7 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, in
         before = text[max(0, m.start() - 45) : m.start()]
         if any(a < m.end() and m.start() < b for a, b in taken) or _NOT_PHONE.search(before) or not _PHONE_CUE.search(before):
             continue
-        if _PUBLIC.search(_line_of(text, m.start())[:200]) and _PUBLIC.search(before):
+        if _PUBLIC.search(before):
             continue
         taken.append(m.span())
         found.append(("phone", _one_line(m[0])))
@@ -388,6 +387,11 @@ def _names_in(run: str, slot: str, bits: dict[str, float]) -> list[str]:
     return out
 
 
+def _split_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield f.assign(term=[[term_of(p) for p in _PIECE.findall(s)] for s in f["surface"]]).explode("term").dropna()
+
+
 def _judge_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         rows = []
@@ -410,8 +414,7 @@ def find_personal(documents: DataFrame) -> DataFrame:
     bits = materialize(disclosure(rows.where("what = 't'")), "terms")
     runs = rows.where("what = 'r'").select("doc_id", "kind", "surface")
     distinct = runs.select("surface", "kind").distinct()
-    split = F.udf(lambda s: [term_of(p) for p in _PIECE.findall(s)], "array<string>")
-    words = distinct.select("surface", "kind", F.explode(split("surface")).alias("term"))
+    words = distinct.mapInPandas(_split_runs, "surface string, kind string, term string")
     known = lookup_join(words, bits, ["term"], "left", salt_by=["surface"]).groupBy("surface", "kind").agg(F.collect_list("term").alias("terms"), F.collect_list(F.coalesce("bits", F.lit(0.0))).alias("bits"))
     names = materialize(known.mapInPandas(_judge_runs, "surface string, kind string, name string"), "names")
     hits = lookup_join(runs, names, ["surface", "kind"], salt_by=["doc_id"]).select("doc_id", F.lit("name").alias("kind"), F.col("name").alias("surface"))
