@@ -47,7 +47,7 @@ class CommitLog:
         temporary = os.path.join(self.folder, f".{uuid.uuid4().hex}.tmp")
         try:
             with open(temporary, "w", encoding="utf-8") as f:
-                json.dump(document, f)
+                f.write(json.dumps(document))
                 f.flush()
                 os.fsync(f.fileno())
             try:
