@@ -45,7 +45,7 @@ _WORD = rf"[{_UP}](?:{_TAIL}|['’][{_UP}]{_TAIL})"
 _PART = r"(?:[vV][ao]n(?:\s+de[rn])?|[dD]e(?:\s+la)?|[dD]el|[dD]er|[dD]u|[dD][ai])"
 _LEAD = rf"[{_UP}](?:{_TAIL}|\.|['’][{_UP}]{_TAIL})"
 #: A run of capitalised words, initials and particles; a comma only between two single words. Particles before it are added when it is judged.
-_RUN = re.compile(rf"{_LEAD}(?:(?:\s+|(?<=\.))(?=[{_UP}vd])(?:{_PART}\s+)?{_LEAD})*(?:,\s+{_WORD}(?![{_LETTER}])(?=\s*(?:,|\(|\n|\s[a-z]|$)))?")
+_RUN = re.compile(rf"{_LEAD}(?:(?:\s+|(?<=\.))(?=[{_UP}vd])(?:{_PART}\s+)?{_LEAD})*(?:,\s+{_WORD}(?![{_LETTER}])(?=\s*(?:,|\(|\n|\s[a-z]|$)|\s+(?:V\.?|AGAINST|\./\.)\s))?")
 _PIECE = re.compile(rf"{_PART}(?=\s)|{_WORD}|[{_UP}]\.")
 
 #: What stands before a protected slot, as the last word before it, and what separates the sides of a case.
@@ -58,6 +58,9 @@ _AFTER = re.compile(
     re.MULTILINE,
 )
 _SIDE_AFTER = re.compile(r"\s+(?:[vV]\.?|\./\.|against|AGAINST|gegen|contre)\s")
+#: A line that is no running text: a label, docket, signature or case name.
+_LABELLED = re.compile(rf"\s*(?:(?:{'|'.join(sorted(_CUES))}|registry)\s*:|docket\b|judge\b)", re.IGNORECASE)
+_CASE_NAME = re.compile(r".*\s(?:[vV]\.?|\./\.|against|AGAINST|gegen|contre)\s")
 _CITED = re.compile(r"\[\d{4}\]\s")
 _CITED_NAMES = re.compile(rf"(?:\b(?:In\s+)?Re\s+)?{_WORD}(?:\s+{_WORD})*(?:\s+v\.?\s+{_WORD}(?:\s+{_WORD})*)?(?:\s+\(No\s+\d+\))?\s+$")
 
@@ -185,12 +188,13 @@ def _masked(text: str, taken: list[tuple[int, int]]) -> str:
 
 
 def _lines(text: str, run: str, start: int) -> Iterator[tuple[int, int]]:
-    """The parts of a run of several lines: a line that was not filled ends what stands on it."""
+    """The parts of a run of several lines: what stands on a line of a heading, or on a short one, ends there; running text goes on."""
     a, open_at = start, None
     for line in run.split("\n"):
         b = a + len(line)
         first = a if open_at is None else open_at
-        if b - (text.rfind("\n", 0, b) + 1) >= 45 and b < start + len(run):
+        whole = text[text.rfind("\n", 0, b) + 1 : b]
+        if b < start + len(run) and len(whole) >= 30 and not _LABELLED.match(whole) and (len(whole) >= 100 or not _CASE_NAME.match(whole)):
             open_at = first
         else:
             yield first, b
@@ -201,7 +205,7 @@ def _lines(text: str, run: str, start: int) -> Iterator[tuple[int, int]]:
 def _is_side(text: str, a: int, b: int) -> bool:
     """Whether a single V. at a .. b separates the sides of a case rather than being an initial."""
     line = _line_of(text, a)
-    return len(line) < 100 and not line.rstrip().endswith((".", ",")) and not _SIDE_AFTER.search(line.replace("V.", ""))
+    return len(line) < 100 and not _LABELLED.match(line) and not line.rstrip().endswith((".", ",")) and not _SIDE_AFTER.search(line.replace("V.", ""))
 
 
 def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, str]]:
@@ -293,6 +297,8 @@ def _sides(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     at = a
     if text.startswith(("AGAINST ", "GEGEN ", "CONTRE "), a):
         at = text.index(" ", a) + 1
+    elif text.startswith("V. ", a) and a and text[a - 1] == " " and _is_side(text, a, a + 2):
+        at = a + 3
     for m in _SIDES.finditer(text[a:b]):
         if "V" not in m[0] or _is_side(text, a + m.start(), a + m.end()):
             yield at, a + m.start()
