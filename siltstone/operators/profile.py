@@ -89,6 +89,28 @@ def check_statistics(entries: DataFrame, fields: DataFrame, min_values: int = 10
     return joined.select("table_uuid", "file_path", "field_id", F.array_compact(F.array(*named)).alias("violations")).where("size(violations) > 0")
 
 
+def profile_statistics(entries: DataFrame, fields: DataFrame) -> DataFrame:
+    """A profile of each table's fields from file statistics alone: no data is read.
+
+    Gives table_uuid, field_id, files, n_values, n_nulls, null_rate, min_number, max_number, min_text, max_text. Only counts with 0 <= nulls <= values are summed,
+    only bounds that can be read in the field's type make the range. A file counts once; if its entries differ, with the smallest counts
+    and the widest range. Fields that are not listed in ``fields`` (see :func:`check_statistics`) are left out.
+    """
+    stats = lookup_join(file_statistics(entries), fields.select("table_uuid", "field_id", "field_type"), ["table_uuid", "field_id"], salt_by=["file_path"])
+    numbers = {side: F.coalesce(*[n.cast("double") for n in bound_number(F.col(side), F.col("field_type"))]) for side in ("lower", "upper")}
+    texts = {side: F.when(F.col("field_type") == "string", F.col(side)) for side in ("lower", "upper")}
+    sound = F.col("n_nulls").between(0, F.col("n_values"))
+    one = stats.groupBy("table_uuid", "file_path", "field_id").agg(
+        F.min(F.when(sound, F.col("n_values"))).alias("n_values"), F.min(F.when(sound, F.col("n_nulls"))).alias("n_nulls"),
+        F.min(numbers["lower"]).alias("min_number"), F.max(numbers["upper"]).alias("max_number"), F.min(texts["lower"]).alias("min_text"), F.max(texts["upper"]).alias("max_text"),
+    )
+    out = one.groupBy("table_uuid", "field_id").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_values"), F.lit(0)).alias("n_values"), F.coalesce(F.sum("n_nulls"), F.lit(0)).alias("n_nulls"),
+        F.min("min_number").alias("min_number"), F.max("max_number").alias("max_number"), F.min("min_text").alias("min_text"), F.max("max_text").alias("max_text"),
+    )
+    return out.select("table_uuid", "field_id", "files", "n_values", "n_nulls", F.when(F.col("n_values") > 0, F.col("n_nulls") / F.col("n_values")).alias("null_rate"), "min_number", "max_number", "min_text", "max_text")
+
+
 def profile_columns(df: DataFrame, columns: Sequence[str], patterns: dict[str, str] | None = None) -> DataFrame:
     """Exact base aggregates of each column: column, rows, nulls, null_rate, distinct_values, min_value, max_value, top_count, pattern_violations.
 

@@ -83,6 +83,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return profile.check_statistics(entries, _table_fields(catalogue)).select("table_uuid", "file_path", "field_id")
 
 
+def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Null rate and range of every field of every catalogued table, from the files' statistics."""
+    catalogue = Catalogue(spark, folder)
+    entries = catalogue.with_sequence(catalogue.data_files().where("file_path <> ''"))
+    return profile.profile_statistics(entries, _table_fields(catalogue))
+
+
 def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Exact base aggregates of every column of the records."""
     rows = Catalogue(spark, folder).table("task_logs")
@@ -118,4 +125,4 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy(F.col("id").alias("snapshot_id")).agg(F.count(F.lit(1)).alias("descendants"), F.max("distance").cast("int").alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_records, p2_found, p2_report, p3_found, p4_found, p4_profile, p4_drift, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_records, p2_found, p2_report, p3_found, p4_found, p4_statistics, p4_profile, p4_drift, p5_found, p5_paths, p5_descendants)}

@@ -33,6 +33,15 @@ link AS (SELECT n.id, p.id AS parent FROM node n LEFT JOIN node p ON n.parent =
 down AS (SELECT id, id AS root, 0 AS depth, id::varchar AS path FROM link WHERE parent IS NULL UNION ALL SELECT l.id, d.root, d.depth + 1, d.path || '/' || l.id FROM link l JOIN down d ON l.parent = d.id)
 """
 
+_BOUNDS = f"""WITH {_BASE},
+ex AS (SELECT d.table_uuid, d.file_path, d.seq, d.record_count, k.key::int AS field_id, t.field_type, t.required, t.value_pattern,
+ d.value_counts[k.key] AS v, d.null_value_counts[k.key] AS n, d.lower_bounds[k.key] AS lo, d.upper_bounds[k.key] AS hi
+ FROM df d JOIN table_metadata m USING (table_uuid), unnest(map_keys(d.value_counts)) AS k(key) JOIN table_fields t ON t.schema_id = m.current_schema_id AND t.field_id = k.key::int),
+tx AS (SELECT *, CASE WHEN lo LIKE '{{"t":%' THEN CASE WHEN json_valid(lo) THEN json_extract_string(lo, '$.v') END ELSE lo END AS lt, CASE WHEN hi LIKE '{{"t":%' THEN CASE WHEN json_valid(hi) THEN json_extract_string(hi, '$.v') END ELSE hi END AS ht FROM ex),
+ty AS (SELECT *, CASE WHEN field_type = 'int' THEN TRY_CAST(lt AS int)::double WHEN field_type = 'long' THEN TRY_CAST(lt AS bigint)::double WHEN field_type = 'double' AND lower(lt) <> 'nan' THEN TRY_CAST(lt AS double) END AS ln,
+ CASE WHEN field_type = 'int' THEN TRY_CAST(ht AS int)::double WHEN field_type = 'long' THEN TRY_CAST(ht AS bigint)::double WHEN field_type = 'double' AND lower(ht) <> 'nan' THEN TRY_CAST(ht AS double) END AS hn FROM tx),
+"""
+
 SQL = {
     "p1_found": _SMALL + "SELECT * FROM found",
     "p1_records": _SMALL + f"SELECT DISTINCT t.table_uuid, t.file_path, {_COLUMNS} FROM task_logs t JOIN found USING (table_uuid, file_path)",
@@ -52,18 +61,16 @@ FROM judged WHERE unknown OR NOT is_put OR NOT was GROUP BY ALL""",
 lf AS (SELECT table_uuid, file_path, max(seq) AS seq FROM le GROUP BY ALL),
 ok AS (SELECT DISTINCT r.table_uuid, r.from_sequence_number AS a, coalesce(r.to_sequence_number, s.sequence_number) AS b FROM run_log r LEFT JOIN sn s ON s.table_uuid = r.table_uuid AND s.snapshot_id = r.to_snapshot_id WHERE lower(r.status) = 'success')
 SELECT table_uuid, file_path FROM lf WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.table_uuid = lf.table_uuid AND lf.seq > ok.a AND lf.seq <= ok.b)""",
-    "p4_found": f"""WITH {_BASE},
-ex AS (SELECT d.table_uuid, d.file_path, d.seq, d.record_count, k.key::int AS field_id, t.field_type, t.required, t.value_pattern,
- d.value_counts[k.key] AS v, d.null_value_counts[k.key] AS n, d.lower_bounds[k.key] AS lo, d.upper_bounds[k.key] AS hi
- FROM df d JOIN table_metadata m USING (table_uuid), unnest(map_keys(d.value_counts)) AS k(key) JOIN table_fields t ON t.schema_id = m.current_schema_id AND t.field_id = k.key::int),
-tx AS (SELECT *, CASE WHEN lo LIKE '{{"t":%' THEN CASE WHEN json_valid(lo) THEN json_extract_string(lo, '$.v') END ELSE lo END AS lt, CASE WHEN hi LIKE '{{"t":%' THEN CASE WHEN json_valid(hi) THEN json_extract_string(hi, '$.v') END ELSE hi END AS ht FROM ex),
-ty AS (SELECT *, CASE WHEN field_type = 'int' THEN TRY_CAST(lt AS int)::double WHEN field_type = 'long' THEN TRY_CAST(lt AS bigint)::double WHEN field_type = 'double' AND lower(lt) <> 'nan' THEN TRY_CAST(lt AS double) END AS ln,
- CASE WHEN field_type = 'int' THEN TRY_CAST(ht AS int)::double WHEN field_type = 'long' THEN TRY_CAST(ht AS bigint)::double WHEN field_type = 'double' AND lower(ht) <> 'nan' THEN TRY_CAST(ht AS double) END AS hn FROM tx),
-fl AS (SELECT table_uuid, file_path, field_id, min(seq) AS seq, any_value(v) AS v, any_value(n) AS n, bool_or(coalesce(v < 0 OR n < 0 OR n > v OR (required AND n > 0), false) OR coalesce(record_count <> v, false)
+    "p4_found": _BOUNDS
+    + """fl AS (SELECT table_uuid, file_path, field_id, min(seq) AS seq, any_value(v) AS v, any_value(n) AS n, bool_or(coalesce(v < 0 OR n < 0 OR n > v OR (required AND n > 0), false) OR coalesce(record_count <> v, false)
  OR (field_type <> 'string' AND ((lo IS NOT NULL AND ln IS NULL) OR (hi IS NOT NULL AND hn IS NULL))) OR coalesce(CASE WHEN field_type = 'string' THEN lt > ht ELSE ln > hn END, false)
  OR coalesce(value_pattern IS NOT NULL AND (NOT regexp_full_match(lt, value_pattern) OR NOT regexp_full_match(ht, value_pattern)), false)) AS bad FROM ty GROUP BY ALL),
 pr AS (SELECT *, sum(CASE WHEN n BETWEEN 0 AND v THEN n END) OVER w AS pn, sum(CASE WHEN n BETWEEN 0 AND v THEN v END) OVER w AS pv FROM fl WINDOW w AS (PARTITION BY table_uuid, field_id ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT table_uuid, file_path, field_id FROM pr WHERE bad OR (v >= 100 AND pv >= 500 AND abs(n / v - pn / pv) > 0.4)""",
+    "p4_statistics": _BOUNDS
+    + """fl AS (SELECT table_uuid, file_path, field_id, min(CASE WHEN n BETWEEN 0 AND v THEN v END) AS v, min(CASE WHEN n BETWEEN 0 AND v THEN n END) AS n, min(ln) AS ln, max(hn) AS hn,
+ min(CASE WHEN field_type = 'string' THEN lt END) AS lt, max(CASE WHEN field_type = 'string' THEN ht END) AS ht FROM ty GROUP BY ALL)
+SELECT table_uuid, field_id, count(*) AS files, coalesce(sum(v), 0)::bigint AS n_values, coalesce(sum(n), 0)::bigint AS n_nulls, CASE WHEN sum(v) > 0 THEN sum(n) / sum(v) END AS null_rate, min(ln) AS min_number, max(hn) AS max_number, min(lt) AS min_text, max(ht) AS max_text FROM fl GROUP BY ALL""",
     "p4_profile": "WITH c AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::varchar AS value, {f'{c}::double' if c in ('started_at', 'completed_at', 'duration_ms') else 'NULL::double'} AS number, {f'NOT regexp_full_match({c}, {chr(39)}{p}{chr(39)})' if p else 'false'} AS bad FROM task_logs" for c, p in (("task_id", "task-[0-9]{10}"), ("workflow_id", "wf-[a-z]+-[0-9]{4}"), ("status", ""), ("started_at", ""), ("completed_at", ""), ("duration_ms", ""), ("error_message", ""), ("worker_id", "worker-[0-9]{4}")))
     + """), g AS (SELECT col, value, any_value(number) AS number, count(*) AS n, any_value(bad) AS bad FROM c GROUP BY col, value)

@@ -220,6 +220,19 @@ def test_null_shift(spark):
     assert {r["file_path"] for r in found.collect()} == {"b", "same_seq"}
 
 
+def test_profile_statistics(spark):
+    fields = spark.createDataFrame([("t", 1, "long", False, None, ""), ("t", 2, "string", False, None, "")], FIELDS)
+    entries = [
+        ("t", "a", 1, 9, {"1": 10, "2": 10}, {"1": 2, "2": 0}, {"1": "9", "2": "b"}, {"1": "10", "2": "c"}, 0, ""), ("t", "a", 1, 9, {"1": 10, "2": 10}, {"1": 2, "2": 0}, {"1": "9", "2": "b"}, {"1": "10", "2": "c"}, 0, ""),
+        ("t", "b", 2, 9, {"1": 30, "2": 5}, {"1": 31, "2": None}, {"1": "oops", "2": None}, {"1": '{"t": "int", "v": 7}'}, 0, ""), ("t", "c", 2, 9, None, None, None, None, 0, ""), (None, "d", 2, 9, {"1": 1}, {"1": 1}, None, None, 0, ""),
+    ]
+    got = {r["field_id"]: r for r in profile.profile_statistics(spark.createDataFrame(entries, ENTRY), fields).collect()}
+    assert set(got) == {1, 2}
+    assert tuple(got[1])[2:] == (2, 10, 2, 0.2, 9.0, 10.0, None, None)
+    assert tuple(got[2])[2:] == (2, 10, 0, 0.0, None, None, "b", "c")
+    assert profile.profile_statistics(spark.createDataFrame([], ENTRY), fields).count() == 0
+
+
 def test_profile_columns(spark):
     df = spark.createDataFrame([(1, "a", None), (10, "b1", None), (9, None, None), (9, "a", None)], "n long, s string, void string")
     got = {r["column"]: r for r in profile.profile_columns(df, ["n", "s", "void"], {"s": "[a-z]"}).collect()}
