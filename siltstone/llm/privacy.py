@@ -79,9 +79,40 @@ _ID_LABEL = re.compile(
     r"(?:\s+(?:no\.?|Nr\.?|number|numéro))?\s*:?\s+$"
 )
 _PHONE = re.compile(r"\+\d{1,3}(?:[\s./-]\(?\d{2,7}\)?){2,5}|\(0\d{2,4}\)[\s-]?\d{2,4}(?:[\s-]?\d{2,4}){1,3}|00\d{1,3}(?:[\s/.-]\d{2,7}){2,4}|0\d{2,4}(?:[\s/-]\d{2,6}){1,3}|0\d{8,10}|(?:\(555\)\s?)?555-\d{4}")
-_PHONE_CUE = re.compile(r"(?:t[eé]l(?:ephone|efon|éphone)?\.?(?:\s*(?:no|Nr)\.?)?\s*:?|[Pp]hone\s*:?|[Mm]obile?\s*:?|[Cc]all(?:er)?\b[^.;]{0,30}?|\bused|\bunder|\bunter|\bau|\bvon|\bnuméro|\breached\s+(?:at|on|under)|\bAnruf\w*)\s*$", re.IGNORECASE)
-_NOT_PHONE = re.compile(r"(?:docket|account|policy|invoice|konto|compte|line)\s*:?\s*$", re.IGNORECASE)
+#: What says of a number right after it that it is a phone number; others are told by their form, unless their sentence speaks of other numbers.
+_PHONE_CUE = re.compile(r"(?:t[eé]l(?:ephone|efon|éphone)?\.?(?:\s*(?:no|Nr)\.?)?\s*:?|[Pp]hone\s*:?|[Mm]obile?\s*:?|[Cc]all(?:er)?\b[^.;]{0,30}?|\bused|\bunder|\bunter|\bau|\bvon|\bvenait\s+du|\bnuméro|\breached\s+(?:at|on|under)|\bAnruf\w*)\s*$", re.IGNORECASE)
+_OTHER_NUMBER = r"(?:docket|account|policy|invoice|konto|compte|line|ligne|aktenzeichen|rechnung|facture|dossier|iban)"
+_NOT_PHONE = re.compile(rf"{_OTHER_NUMBER}(?:\s+(?:no\.?|Nr\.?|number|nummer|numéro|n°))?\s*:?\s*$", re.IGNORECASE)
+_NOT_PHONE_NEAR = re.compile(rf"\b{_OTHER_NUMBER}\b", re.IGNORECASE)
+#: Between numbers that are named together.
+_LISTED = re.compile(r"\s*(?:,|;|/|&|(?:,\s*)?(?:and|or|und|oder|et|ou))\s*")
 _PUBLIC = re.compile(r"\b(?:registry|enquiries|greffe|geschäftsstelle|switchboard)\b", re.IGNORECASE)
+#: Where the sentence before a number begins: after a stop that is not of a label, a blank line, or at a line with a paragraph number or label.
+_SENTENCE_END = re.compile(r"(?:(?<!\bno)(?<!\bnr)(?<!\btel)(?<!\btél)\.|[;!?])\s|\n\s*\n|(?<!,)\n(?=\s*(?:§|Rn\.|[\[(]?\d{1,3}[\]).]?\s|—|[^\W\d]+:\s))", re.IGNORECASE)
+#: The number of a paragraph on the line after a phone number, before its text.
+_PARAGRAPH = re.compile(r"\n\(?\d{1,3}(?:(?P<tab>\)?\.?\t)|(?:\)|\.)\s+\S)")
+
+
+def _phone_end(text: str, a: int, b: int) -> int:
+    """Where the phone number at a .. b ends: before a paragraph number on the next line, if what stands before that can be whole."""
+    line = text.rfind("\n", a, b)
+    paragraph = _PARAGRAPH.match(text, line) if line >= 0 else None
+    if paragraph is None:
+        return b
+    digits = sum(c.isdigit() for c in text[a:line])
+    whole = 10 if text.startswith(("+", "00"), a) else 9
+    return line if digits >= (7 if paragraph["tab"] else whole) else b
+
+
+def _is_phone(before: str) -> bool:
+    """Whether a number of the form of a phone number, after this text, is one of a person."""
+    if _NOT_PHONE.search(before):
+        return False
+    ends = [m.end() for m in _SENTENCE_END.finditer(before)]
+    sentence = before[ends[-1] :] if ends else before
+    return not _PUBLIC.search(sentence) and bool(_PHONE_CUE.search(before) or not _NOT_PHONE_NEAR.search(sentence))
+
+
 _TOWN = rf"[{_UP}][^\W\d_]+(?:-[^\W\d_]+)*"
 _ENGLISH_STREET = rf"{_WORD}(?:\s+{_WORD})?\s+(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Court|Ct|Quay|Square|Sq|Drive|Place|Terrace|Row|Hill|Way|Gardens)\b\.?,?\s+(?:\d{{5}}\s+)?{_TOWN}(?:,?\s+\d{{5}}\b)?"
 #: Addresses from the last digit of their first number on: English streets, French streets, and the number and town of a German street.
@@ -158,17 +189,19 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, in
             taken.append((start, m.end()))
             if not _NOT_PRIVATE_BEFORE.search(text, max(0, start - 30), start) and not _NOT_PRIVATE_AFTER.match(text, m.end()):
                 found.append(("address", _one_line(text[start : m.end()])))
+    number_end, personal = 0, False  # what stands before another number is not this one's label, unless they are listed together
     for m in (m for a, b in numbers for m in _PHONE.finditer(text, a, b)):
-        around = text[m.start() - 1 : m.start()] + text[m.end() : m.end() + 1]
-        if any(c.isalnum() or c in "+/-" for c in around) or text[m.end() : m.end() + 2].startswith(".") and text[m.end() + 1 : m.end() + 2].isdigit():
-            continue
-        before = text[max(0, m.start() - 45) : m.start()]
-        if any(a < m.end() and m.start() < b for a, b in taken) or _NOT_PHONE.search(before) or not _PHONE_CUE.search(before):
+        start, end = m.start(), _phone_end(text, *m.span())
+        around = text[start - 1 : start] + text[end : end + 1]
+        if any(c.isalnum() or c in "+/-" for c in around) or text[end : end + 2].startswith(".") and text[end + 1 : end + 2].isdigit():
             continue
-        if _PUBLIC.search(before):
+        if not (number_end and _LISTED.fullmatch(text, number_end, start)):
+            personal = _is_phone(text[max(number_end, start - 80) : start])
+        number_end = end
+        if not personal or any(a < end and start < b for a, b in taken):
             continue
-        taken.append(m.span())
-        found.append(("phone", _one_line(m[0])))
+        taken.append((start, end))
+        found.append(("phone", _one_line(text[start:end])))
     return found, taken
 
 

@@ -58,3 +58,24 @@ def test_repeats_long_texts_and_nothing(spark):
     assert {tuple(r) for r in privacy.find_personal(docs).collect()} == {(1, "name", "Jorlinano"), (2, "name", "Jorlinano")}
     assert privacy.find_personal(docs.limit(0)).count() == 0
     assert privacy.placeholders(docs.limit(0), privacy.find_personal(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "phones"),
+    [
+        ("L'appel venait du (01632) 960-995.\n(7) Le tribunal relève", {"(01632) 960-995"}),
+        ("L'appel venait\ndu 555-0103. Le compte 01632-960 est clos.", {"555-0103"}),
+        ("Pour la joindre, composer le 0734 877 111.", {"0734 877 111"}),
+        ("Enquiries: info@harlow.example. tel. 00999 72/079132 The insurer asserts", {"00999 72/079132"}),
+        ("The registry closed. Phone: 01632 960192", {"01632 960192"}),
+        ("Registry: registry@courts.example, tel. +999 20 0100 82\n\nPhone: 555-0101", {"555-0101"}),
+        ("Nono v Land Registry Office\nCoram: Nono Ordenano\n§ 1 tel. 01632 960079 The hearing", {"01632 960079"}),
+        ("The policy holder could be reached under 0762 185 204 only.", {"0762 185 204"}),
+        ("tel. +1.555.555.0188\n15\tNothing in the Act", {"+1.555.555.0188"}),
+        ("tel. 01632 960632\n15. Nothing in the Act", {"01632 960632"}),
+        ("The caller used +44 1632 960\n406. The file", {"+44 1632 960 406"}),
+        ("See docket no. 555-0123 and 555-0124. The account held 01632-960 then.", set()),
+    ],
+)
+def test_phones_by_form_and_sentence(text, phones):
+    assert {s for kind, s in privacy._plain_matches(text)[0] if kind == "phone"} == phones
