@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.columns import bound_number, bound_text, matches_whole
+from siltstone.functions.columns import bound_number, bound_text, epoch_millis, matches_whole
 from siltstone.operators.joins import lookup_join
 from siltstone.operators.scans import sums_before
 from siltstone.session import materialize
@@ -137,7 +137,17 @@ def profile_columns(df: DataFrame, columns: Sequence[str], patterns: dict[str, s
     return full.select("column", "rows", "nulls", F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).alias("null_rate"), "distinct_values", "min_value", "max_value", "top_count", "pattern_violations")
 
 
-def _features(df: DataFrame, columns: Sequence[str], bins: int) -> Column:
+def time_feature(value: Column, loaded_at: Column) -> Column:
+    """What of an epoch time can be compared between loads: its number of digits (the unit) and the magnitude of its distance from ``loaded_at``; null stays null.
+
+    The distance takes out the plain passage of time, which would tell any two loads apart; frozen values move away from ``loaded_at``.
+    """
+    seconds = (F.unix_millis(loaded_at.cast("timestamp")) - epoch_millis(value)) / 1000
+    distance = F.round(F.signum(seconds) * F.log1p(F.abs(seconds)) * 2).cast("long")
+    return F.when(value.isNotNull(), F.concat_ws("/", F.length(F.abs(value).cast("string")), F.coalesce(distance.cast("string"), F.lit("?"))))
+
+
+def _features(df: DataFrame, columns: Sequence[str], bins: int) -> list[Column]:
     """Each column as the number of one of its bins: null, or by magnitude and leading digits (numbers), or by hash (text)."""
     kinds = dict(df.dtypes)
 
@@ -148,103 +158,150 @@ def _features(df: DataFrame, columns: Sequence[str], bins: int) -> Column:
             return F.when(v.isNull() | F.isnan(v), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(scaled), F.lit(bins - 1))).cast("int")
         return F.when(F.col(c).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(bins - 1))).cast("int")
 
-    return F.array(*[one(c) for c in columns])
+    return [one(c).alias(f"x{i}") for i, c in enumerate(columns)]
+
+
+def _arrays(batch: pa.RecordBatch, columns: int) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
+    """The bins of each column, and the other columns by name."""
+    cells = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+    return cells, {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("period", "fold", "u")}
+
 
+def _logits(w: np.ndarray, cells: list[np.ndarray], bins: int) -> np.ndarray:
+    z = np.full(len(cells[0]), w[-1])
+    for c, x in enumerate(cells):
+        z += w[c * bins : (c + 1) * bins][x]
+    return z
 
-def _fit_jointly(sample: DataFrame, columns: int, folds: int, bins: int, ridge: float, rounds: int) -> np.ndarray:
-    """Logistic regressions of all ablations and folds at once: weights by (model, fold, bin), the intercept last.
 
-    Model 0 has all columns, model i + 1 lacks column i; fold k is fitted on the rows of the other folds. Each round is one
-    job: every task sums gradient and curvature of its rows for all models, the driver adds these sums (their size depends on
-    bins, columns and folds only) and takes a diagonal Newton step, scaled so that no round can overshoot.
+def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], columns: int, folds: int, bins: int, ridge: float, rounds: int) -> np.ndarray:
+    """Logistic regressions of all comparisons, ablations and folds at once: weights by (pair, model, fold, bin), the intercept last.
+
+    ``pairs`` has the old and the new period and the bound of ``u`` below which a row is in the pair's sample. Model 0 has all columns, model i + 1 lacks
+    column i; fold k is fitted on the rows of the other folds. Each round is one job: every task sums gradient and curvature of its rows for all models, the
+    driver adds these sums (their size depends on pairs, bins, columns and folds only) and takes a diagonal Newton step, scaled so that no round can overshoot.
     """
     models, width = columns + 1, bins * columns
-    weights = np.zeros((models * folds, width + 1))
-    used = np.ones((models * folds, width + 1))
+    weights = np.zeros((len(pairs), models, folds, width + 1))
+    used = np.ones_like(weights)
     for m in range(1, models):
-        used[m * folds : (m + 1) * folds, (m - 1) * bins : m * bins] = 0
-    offsets = np.arange(columns) * bins
+        used[:, m, :, (m - 1) * bins : m * bins] = 0
     momentum = np.zeros_like(weights)
     for _ in range(rounds):
         w = weights.copy()
 
-        def sums(frames: Iterator[pd.DataFrame], w=w) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
             gradient, curvature = np.zeros_like(w), np.zeros_like(w)
-            for f in frames:
-                for at in range(0, len(f), 20_000):
-                    part = f.iloc[at : at + 20_000]
-                    x, y, fold = np.stack(part["x"].to_numpy()) + offsets, part["label"].to_numpy(), part["fold"].to_numpy()
-                    for i in range(len(w)):
-                        rest = fold != i % folds
-                        own = x[rest]
-                        p = 1 / (1 + np.exp(-(w[i][own].sum(axis=1) + w[i, -1])))
-                        r, h = p - y[rest], p * (1 - p)
-                        flat = own.ravel()
-                        gradient[i, :-1] += np.bincount(flat, np.repeat(r, columns), width)
-                        curvature[i, :-1] += np.bincount(flat, np.repeat(h, columns), width)
-                        gradient[i, -1] += r.sum()
-                        curvature[i, -1] += h.sum()
-            yield pd.DataFrame({"g": [gradient.tobytes()], "h": [curvature.tobytes()]})
-
-        parts = sample.mapInPandas(sums, "g binary, h binary").collect()  # a row per task, of a size fixed by the parameters
+            for batch in batches:
+                cells, by = _arrays(batch, columns)
+                for i, (old, new, below) in enumerate(pairs):
+                    inside = ((by["period"] == old) | (by["period"] == new)) & (by["u"] < below)
+                    for f in range(folds):
+                        at = np.flatnonzero(inside & (by["fold"] == f))
+                        if not len(at):
+                            continue
+                        own, y = [x[at] for x in cells], by["period"][at] == new
+                        for m in range(models):
+                            for k in range(folds):
+                                if k == f and folds > 1:
+                                    continue
+                                p = 1 / (1 + np.exp(-_logits(w[i, m, k], own, bins)))
+                                r, h = p - y, p * (1 - p)
+                                g, v = gradient[i, m, k], curvature[i, m, k]
+                                for c, x in enumerate(own):
+                                    if c != m - 1:
+                                        g[c * bins : (c + 1) * bins] += np.bincount(x, r, bins)
+                                        v[c * bins : (c + 1) * bins] += np.bincount(x, h, bins)
+                                g[-1] += r.sum()
+                                v[-1] += h.sum()
+            yield pa.RecordBatch.from_pydict({"g": [gradient.tobytes()], "h": [curvature.tobytes()]})
+
+        parts = sample.mapInArrow(sums, "g binary, h binary").collect()  # a row per task, of a size fixed by the parameters
         g = sum(np.frombuffer(p["g"]).reshape(w.shape) for p in parts) * used + ridge * w
         h = sum(np.frombuffer(p["h"]).reshape(w.shape) for p in parts) + ridge
         step = g / (h * (columns + 1) + 1.0)
         momentum = 0.7 * momentum - step
         weights = (weights + momentum) * used
-    return weights.reshape(models, folds, width + 1)
+    return weights
 
 
-def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Sequence[str], bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
-    """Classifier two-sample test between the old and the new load: column, auc, auc_drop, rows_old, rows_new.
+_DRIFT = "period_old long, period_new long, column string, auc double, auc_drop double, rows_old long, rows_new long"
+
+
+def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Sequence[str], features: dict[str, Column] | None = None, bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
+    """Classifier two-sample test between each period with rows and the next: period_old, period_new, column, auc, auc_drop, rows_old, rows_new.
 
-    A logistic regression over the binned columns learns to tell ``is_new`` rows. It
-    is fitted per fold on at most about ``fit_rows`` rows (a sample by hash of ``key``; the
+    ``period`` is a whole number, of which there are few; rows where it is null are left out. ``features`` has columns whose values are
+    compared in another form (see :func:`time_feature`). A logistic regression over the binned columns learns to tell the rows of the later period. It
+    is fitted per fold on at most about ``fit_rows`` rows of each comparison (a sample by hash of ``key``; the
     only part that does not see all rows) and scores *all* rows of the other folds,
     so the discrimination is cross-fitted. The row with column ``*`` has the AUC of the
     full model: 0.5 is no change. Each other row is an ablation: the AUC without that
-    column, refitted, and by how much it drops. An empty load gives null figures.
+    column, refitted, and by how much it drops. Fewer than two periods give null figures and a null period_old.
     """
     spark = df.sparkSession
-    rows = df.select(_features(df, columns, bins).alias("x"), F.coalesce(is_new, F.lit(False)).cast("double").alias("label"), F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int").alias("fold"), F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)).alias("u"))
-    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("new")).first()
-    n, new = sizes["n"], int(sizes["new"])
     names = ["*", *columns]
-    if not 0 < new < n:
-        return spark.createDataFrame([(c, None, None, n - new, new) for c in names], "column string, auc double, auc_drop double, rows_old long, rows_new long")
-    width = bins * len(columns)
-    share = min(1.0, fit_rows * folds / (n * max(1, folds - 1)))
-    sample = materialize(rows.where(F.col("u") < int(1_000_000 * share)).select("x", "label", "fold").repartition(spark.sparkContext.defaultParallelism), "drift-sample")
-    flat = _fit_jointly(sample, len(columns), folds, bins, ridge, rounds).astype(np.float32)
+    own = df.withColumns({f"_f{i}": (features or {}).get(c, F.col(c)) for i, c in enumerate(columns)})
+    rows = own.select(*_features(own, [f"_f{i}" for i in range(len(columns))], bins), period.cast("long").alias("period"), F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int").alias("fold"), F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1_000_000)).alias("u")).where("period is not null")
+    rows = materialize(rows, "drift-rows")  # read by three jobs
+    sizes = {r["period"]: r["n"] for r in rows.groupBy("period").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = sorted(sizes)
+    pairs = [(a, b, int(1_000_000 * min(1.0, fit_rows * folds / ((sizes[a] + sizes[b]) * max(1, folds - 1))))) for a, b in zip(order, order[1:], strict=False)]
+    if not pairs:
+        only = order[0] if order else None
+        return spark.createDataFrame([(None, only, c, None, None, 0, sizes.get(only, 0)) for c in names], _DRIFT)
+    bound: dict[int, int] = {}
+    for a, b, below in pairs:
+        bound |= {a: max(below, bound.get(a, 0)), b: below}
+    chosen = F.lit(False)
+    for at, below in bound.items():
+        chosen |= (F.col("period") == at) & (F.col("u") < below)
+    sample = materialize(rows.where(chosen).repartition(spark.sparkContext.defaultParallelism), "drift-sample")
+    weights = _fit_jointly(sample, pairs, len(columns), folds, bins, ridge, rounds).astype(np.float32)
     cells = 2000
 
-    def histogram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((len(names), folds, cells, 2), np.int64)
-        for f in frames:
-            x = np.stack(f["x"].to_numpy()) + np.arange(len(columns)) * bins
-            label, fold = f["label"].to_numpy().astype(int), f["fold"].to_numpy()
-            for k in range(folds):
-                own, y = x[fold == k], label[fold == k]
-                for m in range(len(names)):
-                    z = flat[m, k][own].sum(axis=1) + flat[m, k, width]  # weights of a left-out column are 0
-                    cell = np.minimum(cells - 1, (cells / (1 + np.exp(-z))).astype(int))
-                    counts[m, k] += np.bincount(cell * 2 + y, minlength=2 * cells).reshape(cells, 2)
-        m, k, c, y = np.nonzero(counts)
-        yield pd.DataFrame({"m": m, "k": k, "c": c, "y": y, "n": counts[m, k, c, y]})
-
-    scored = rows.select("x", "label", "fold").mapInPandas(histogram, "m long, k long, c long, y long, n long")
-    table = scored.groupBy("m", "k", "c", "y").agg(F.sum("n").alias("n")).toPandas()  # at most models x folds x cells x 2 rows
-    aucs = []
-    for m in range(len(names)):
-        parts = []
-        for k in range(folds):
-            h = np.zeros((cells, 2))
-            own = table[(table.m == m) & (table.k == k)]
-            h[own.c, own.y] = own.n
-            below = np.concatenate([[0], np.cumsum(h[:, 0])[:-1]])
-            pairs = h[:, 0].sum() * h[:, 1].sum()
-            if pairs:
-                parts.append((float((h[:, 1] * (below + h[:, 0] / 2)).sum() / pairs), h.sum()))
-        aucs.append(float(np.average([a for a, _ in parts], weights=[w for _, w in parts])) if parts else None)
-    out = [(c, a, None if i == 0 or a is None else aucs[0] - a, n - new, new) for i, (c, a) in enumerate(zip(names, aucs, strict=True))]
-    return spark.createDataFrame(out, "column string, auc double, auc_drop double, rows_old long, rows_new long")
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(pairs), len(names), folds, cells, 2), np.int64)
+        for batch in batches:
+            x, by = _arrays(batch, len(columns))
+            for i, (old, new, _) in enumerate(pairs):
+                inside = (by["period"] == old) | (by["period"] == new)
+                for k in range(folds):
+                    at = np.flatnonzero(inside & (by["fold"] == k))
+                    if not len(at):
+                        continue
+                    part, y = [c[at] for c in x], by["period"][at] == new
+                    for m in range(len(names)):  # weights of a left-out column are 0
+                        cell = np.minimum(cells - 1, (cells / (1 + np.exp(-_logits(weights[i, m, k], part, bins)))).astype(int))
+                        counts[i, m, k] += np.bincount(cell * 2 + y, minlength=2 * cells).reshape(cells, 2)
+        found = np.nonzero(counts)
+        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip("imkcyn", [*found, counts[found]], strict=True)})
+
+    scored = rows.mapInArrow(histogram, "i long, m long, k long, c long, y long, n long")
+    table = scored.groupBy("i", "m", "k", "c", "y").agg(F.sum("n").alias("n")).toPandas()  # at most pairs x models x folds x cells x 2 rows
+    counts = np.zeros((len(pairs), len(names), folds, cells, 2))
+    counts[table.i, table.m, table.k, table.c, table.y] = table.n
+    out = []
+    for i, (old, new, _) in enumerate(pairs):
+        aucs = []
+        for m in range(len(names)):
+            parts = []
+            for h in counts[i, m]:
+                below = np.concatenate([[0], np.cumsum(h[:, 0])[:-1]])
+                compared = h[:, 0].sum() * h[:, 1].sum()
+                if compared:
+                    parts.append((float((h[:, 1] * (below + h[:, 0] / 2)).sum() / compared), h.sum()))
+            aucs.append(float(np.average([a for a, _ in parts], weights=[w for _, w in parts])) if parts else None)
+        out += [(old, new, c, a, None if m == 0 or a is None else aucs[0] - a, sizes[old], sizes[new]) for m, (c, a) in enumerate(zip(names, aucs, strict=True))]
+    return spark.createDataFrame(out, _DRIFT)
+
+
+def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Sequence[str], bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
+    """:func:`period_drift` between two loads, the rows with ``is_new`` and the others: column, auc, auc_drop, rows_old, rows_new. An empty load gives null figures."""
+    label = F.coalesce(is_new, F.lit(False)).cast("long")
+    found = period_drift(df, label, columns, key, None, bins, fit_rows, folds, ridge, rounds)
+    one = found.where("period_old is null").first()
+    if one is not None:
+        new = one["rows_new"] if one["period_new"] == 1 else 0
+        found = found.withColumns({"rows_old": F.lit(one["rows_new"] - new).cast("long"), "rows_new": F.lit(new).cast("long")})
+    return found.drop("period_old", "period_new")

@@ -98,12 +98,12 @@ def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_drift(spark: SparkSession, folder: str) -> DataFrame:
-    """How well the rows loaded in the newest 90 days can be told from those before, and by which columns."""
+    """How well the rows loaded in each 90 days can be told from those of the 90 days with rows before, over all tables, and by which columns. Periods are counted back from the newest row; the newest is 0."""
     rows = Catalogue(spark, folder).table("task_logs")
     newest = rows.agg(F.max("loaded_at").alias("m")).first()["m"]
-    is_new = F.col("loaded_at") >= F.lit(newest) - F.expr("INTERVAL 90 DAYS")
-    columns = [c for c in TASK_COLUMNS if c not in ("started_at", "completed_at")]
-    return profile.load_drift(rows, is_new, columns, ["table_uuid", "file_path", "task_id", "started_at"])
+    period = -F.floor((F.unix_millis(F.lit(newest).cast("timestamp")) - F.unix_millis(F.col("loaded_at").cast("timestamp"))) / (90 * 86_400_000))
+    times = {c: profile.time_feature(F.col(c), F.col("loaded_at")) for c in ("started_at", "completed_at")}
+    return profile.period_drift(rows, period, TASK_COLUMNS, ["table_uuid", "file_path", "task_id", "started_at"], times)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

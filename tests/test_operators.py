@@ -255,6 +255,35 @@ def test_load_drift(spark):
     assert [r["auc"] for r in one] == [None, None]
 
 
+def test_period_drift_of_times_between_older_loads(spark):
+    rng = np.random.default_rng(2)
+    t0, day, data = 1_700_000_000_000, 86_400_000, []
+    for i in range(4000):
+        period = i % 4
+        loaded = t0 + period * 90 * day + int(rng.integers(0, 90 * day))
+        started = loaded - int(rng.integers(60_000, 600_000))
+        completed = None if period >= 2 and rng.random() < 0.5 else started + 1000
+        data.append((i, period, started // 1000 if period == 1 and rng.random() < 0.8 else started, completed, loaded))
+    df = spark.createDataFrame(data, "id long, period int, started_at long, completed_at long, at long").withColumn("loaded_at", F.timestamp_millis("at"))
+    columns = ["started_at", "completed_at"]
+    times = {c: profile.time_feature(F.col(c), F.col("loaded_at")) for c in columns}
+    got = {(r["period_old"], r["period_new"], r["column"]): r for r in profile.period_drift(df, F.col("period"), columns, ["id"], times).collect()}
+    assert {k[:2] for k in got} == {(0, 1), (1, 2), (2, 3)} and len(got) == 9
+    assert got[0, 1, "started_at"]["auc_drop"] > 0.3 and abs(got[0, 1, "completed_at"]["auc_drop"]) < 0.05  # a change of unit
+    assert got[1, 2, "completed_at"]["auc_drop"] > 0.02 and got[1, 2, "*"]["auc"] > 0.9  # nulls rise
+    assert abs(got[2, 3, "*"]["auc"] - 0.5) < 0.06  # time passes, nothing else
+    one = profile.period_drift(df.where("period = 1"), F.col("period"), columns, ["id"], times).collect()
+    assert [(r["period_old"], r["period_new"], r["auc"], r["rows_new"]) for r in one] == [(None, 1, None, 1000)] * 3
+
+
+def test_p4_drift_has_all_columns_and_periods(spark, data):
+    from siltstone.plans import pipeline_queries
+
+    found = pipeline_queries.p4_drift(spark, data).collect()
+    assert {r["column"] for r in found} == {"*", *pipeline_queries.TASK_COLUMNS}
+    assert all(r["period_old"] is None or r["period_old"] < r["period_new"] for r in found)
+
+
 # ---- problem 5 ----
 
 
