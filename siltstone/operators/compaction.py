@@ -173,7 +173,7 @@ def read_members(index: DataFrame, verify: bool = True) -> DataFrame:
                 packed = source.read(m.length)
                 if verify and hashlib.sha256(packed).hexdigest() != m.sha256:
                     raise ValueError(f"member {m.file_path} of {m.block_path} does not have its checksum")
-                lines = unpress.decompress(packed, max_output_size=m.raw_length).decode().splitlines()
+                lines = unpress.decompress(packed, max_output_size=m.raw_length).decode().removesuffix("\n").split("\n")  # splitlines would also split at U+2028 and U+0085 within a record
                 yield pd.DataFrame({"table_uuid": m.table_uuid, "file_path": m.file_path, "record": lines})
 
     rows = index.select("block_path", "offset", "table_uuid", "file_path", "length", "raw_length", "sha256").where("length > 0")

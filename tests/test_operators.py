@@ -119,6 +119,15 @@ def test_pack_and_read(spark):
         compaction.read_members(index).count()
 
 
+def test_records_with_separators_of_lines_come_back_whole(spark):
+    texts = ["a\u2028b", "c\u0085d", "e\u2029f\x0b\x0c\x1c\r\n", "g"]
+    plan = spark.createDataFrame([("t", "p", 0, "f", 4)], "table_uuid string, part string, container_no long, file_path string, record_count long")
+    records = spark.createDataFrame([("t", "f", t) for t in texts], "table_uuid string, file_path string, error_message string")
+    index = materialize(compaction.pack(plan, records.select("table_uuid", "file_path", compaction.record_bytes(["error_message"]).alias("record")), new_path(spark, "test-lines")))
+    back = compaction.read_members(index).select(F.from_json("record", "array<string>")[0]).collect()
+    assert sorted(r[0] for r in back) == sorted(texts)
+
+
 def test_pack_files_round_trip(spark, tmp_path):
     contents = {f"d{i % 3}/f{i}.bin": os.urandom(i * 37 % 500) for i in range(40)}
     for name, content in contents.items():
