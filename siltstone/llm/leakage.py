@@ -139,17 +139,36 @@ def _verbatim_runs(test: TestIndex, words: np.ndarray) -> tuple[np.ndarray, np.n
     return p, q, length
 
 
-def _passages(runs: list[tuple[int, int, int]], min_words: int) -> tuple[int, int, int, int, int] | None:
+def _filled(item: list[int], corpus: list[int]) -> int | None:
+    """How many words of a gap of the item stand in order in the gap of the corpus (the longest common subsequence), or None if more than MAX_ALTERED in a row don't."""
+    if 3 * len(set(item) & set(corpus)) < len(item) - MAX_ALTERED and 3 * sum(w in corpus for w in item) < len(item) - MAX_ALTERED:
+        return None
+    # the most words matched, by the place reached in the corpus and the item's altered words in a row
+    states = {(0, 0): 0}
+    for w in item:
+        then: dict[tuple[int, int], int] = {}
+        for (at, altered), n in states.items():
+            if altered < MAX_ALTERED:
+                then[at, altered + 1] = max(n, then.get((at, altered + 1), 0))
+            if w > 0 and w in corpus[at:]:
+                to = corpus.index(w, at) + 1
+                then[to, 0] = max(n + 1, then.get((to, 0), 0))
+        states = then
+    return max(states.values()) if states else None
+
+
+def _passages(runs: list[tuple[int, int, int]], min_words: int, item: np.ndarray | list[int] | None = None, corpus: np.ndarray | list[int] | None = None) -> tuple[int, int, int, int, int] | None:
     """The longest passage in the runs (corpus position, item position, length) of one document and item.
 
-    Runs are chained where the item leaves out at most MAX_ALTERED words and the corpus
-    has at most MAX_BETWEEN others. (item words spanned, of these verbatim, item start, corpus start, longest run), or None.
+    Runs are chained where the item leaves out at most MAX_ALTERED words and the corpus has at most MAX_BETWEEN others; with the words of the
+    ``item`` and the ``corpus``, wider gaps are filled word by word. Of the chains that end in a run, the run alone among them, all are kept of which no other
+    is at least as long with as many words to spare over MIN_SHARE. (item words spanned, of these verbatim, item start, corpus start, longest run), or None.
     """
     runs = sorted(runs, key=lambda r: (r[1], r[0]))
-    best: list[tuple[int, int, int, int]] = []  # (item start, verbatim, corpus start, longest run) of the best chain that ends here
+    chains: list[list[tuple[int, int, int, int]]] = []  # (item start, verbatim, corpus start, longest run) of the chains that end here
     found = None
     for j, (p, q, n) in enumerate(runs):
-        mine = (q, n, p, n)
+        mine = [(q, n, p, n)]
         for i in range(j - 1, -1, -1):
             pi, qi, ni = runs[i]
             if qi + ni < q - MAX_ALTERED - 200:
@@ -158,14 +177,26 @@ def _passages(runs: list[tuple[int, int, int]], min_words: int) -> tuple[int, in
             if lap > 3 or n - lap < 2:
                 continue
             skipped, between = q + lap - (qi + ni), p + lap - (pi + ni)
-            if 0 <= skipped <= MAX_ALTERED and 0 <= between <= MAX_BETWEEN:
-                start, verbatim, corpus, longest = best[i]
-                if (verbatim + n - lap) > mine[1]:
-                    mine = (start, verbatim + n - lap, corpus, max(longest, n))
-        best.append(mine)
-        span = q + n - mine[0]
-        if span >= min_words and mine[1] >= MIN_SHARE * span and (found is None or span > found[0]):
-            found = (span, mine[1], mine[0], mine[2], mine[3])
+            filled: int | None = 0
+            if not (0 <= skipped and 0 <= between <= MAX_BETWEEN):
+                continue
+            if skipped > MAX_ALTERED:
+                if item is None or corpus is None or skipped > MAX_BETWEEN:
+                    continue
+                filled = _filled(list(item[qi + ni : q + lap]), list(corpus[pi + ni : p + lap]))
+            if filled is not None:
+                mine += [(start, verbatim + filled + n - lap, at, max(longest, n)) for start, verbatim, at, longest in chains[i]]
+        best, spare = [], None
+        for chain in sorted(mine, key=lambda c: (c[0], -c[1])):  # the longest first
+            over = chain[1] - MIN_SHARE * (q + n - chain[0])
+            if spare is None or over > spare:
+                best.append(chain)
+                spare = over
+        chains.append(best)
+        for start, verbatim, at, longest in best:
+            span = q + n - start
+            if span >= min_words and verbatim >= MIN_SHARE * span and (found is None or span > found[0]):
+                found = (span, verbatim, start, at, longest)
     return found
 
 
@@ -188,9 +219,9 @@ def _search(test: TestIndex, min_words: int):
         total = np.add.reduceat(n, edges) if len(edges) else edges
         out = []
         for e, stop, t in zip(edges, [*edges[1:], len(doc)][: len(edges)], total, strict=True):
-            if t >= MIN_SHARE * min_words - SEED:
+            if t >= MIN_SHARE * min_words - 2 * SEED:  # the rest can be words that fill gaps
                 d = doc[e]
-                hit = _passages([(int(a - starts[d]), int(test.offset[b]), int(c)) for a, b, c in zip(p[e:stop], q[e:stop], n[e:stop], strict=True)], min_words)
+                hit = _passages([(int(a - starts[d]), int(test.offset[b]), int(c)) for a, b, c in zip(p[e:stop], q[e:stop], n[e:stop], strict=True)], min_words, test.ids[q[e] - test.offset[q[e]] :], texts[d])
                 if hit:
                     span, verbatim, item_start, doc_start, longest = hit
                     out.append((keys[d], int(item[e]), span, verbatim, longest, item_start, doc_start))

@@ -94,3 +94,14 @@ def test_leaks_of_the_tables(spark, data):
             plain |= {(d, i) for i in grams.get(tuple(w[k : k + 18]), ())}
     found = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")).collect()}
     assert plain <= found and len(found) < 2 * len(plain) + 5
+
+
+def test_a_run_alone_and_gaps_filled_word_by_word():
+    # 34 of 42 words in all
+    runs = [(a, a, n) for a, n in ((0, 4), (6, 4), (12, 4), (18, 4), (24, 18))]
+    found = leakage._passages(runs, 18)
+    assert found is not None and found[0] >= 18 and found[1] >= leakage.MIN_SHARE * found[0]
+    corpus = [0 if w in (11, 13) else w for w in range(1, 31)]  # one word between two altered ones
+    assert leakage._passages([(0, 0, 10), (13, 13, 17)], 28, list(range(1, 31)), corpus) == (30, 28, 0, 0, 17)
+    corpus = [0 if w in (11, 12, 13) else w for w in range(1, 31)]
+    assert leakage._passages([(0, 0, 10), (13, 13, 17)], 28, list(range(1, 31)), corpus) is None
