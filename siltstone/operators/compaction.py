@@ -27,7 +27,10 @@ SMALL_BYTES = 16 * 1024 * 1024
 MIN_FILES = 4
 TARGET_BYTES = 128 * 1024 * 1024
 
-INDEX_SCHEMA = "table_uuid string, part string, container_no long, block_path string, file_path string, offset long, length long, raw_length long, records long, sha256 string"
+#: Hash buckets of a partition's members while they are placed; a partition that holds most of them is spread over so many tasks.
+_BUCKETS = 16
+
+_BLOCK_SCHEMA = "table_uuid string, part string, container_no long, block_path string, file_path string, offset long, length long, sha256 string"
 
 
 def small_files(files: DataFrame, objects: DataFrame, small_bytes: int = SMALL_BYTES, min_files: int = MIN_FILES) -> DataFrame:
@@ -43,82 +46,80 @@ def small_files(files: DataFrame, objects: DataFrame, small_bytes: int = SMALL_B
     there = objects.where("is_put").select("table_uuid", F.col("path").alias("file_path"), "size_bytes")
     sized = files.join(there, ["table_uuid", "file_path"]).withColumn("size", F.when(F.col("file_size_in_bytes") > 0, F.col("file_size_in_bytes")).otherwise(F.col("size_bytes")))
     small = sized.where(F.col("size") < small_bytes).select("table_uuid", "part", "file_path", F.greatest("size", F.lit(0)).alias("size"), "record_count")
+    small = materialize(small, "small-files")  # read twice
     crowded = small.groupBy("table_uuid", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_files).select("table_uuid", "part")
     return lookup_join(small, crowded, ["table_uuid", "part"], "left_semi", salt_by=["file_path"])
 
 
 def plan_containers(members: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Assign each member of a partition to a container: adds container_no, planned_offset.
+    """Assign each member of a table to a container by its bytes: table_uuid, part, file_path, container_no.
 
-    A partition of T bytes gets round(T / target) containers, at least one, of near
-    equal size: a container exceeds its share by one member at most. Members of
-    size 0 stay whole like others. The members must be unique by table_uuid and file_path.
+    ``members``: table_uuid, part, file_path (unique with the table), size; other columns are ignored. A table of T bytes gets
+    ceil(T / target) containers, at least one, of near equal size: a container exceeds its share by one member at most. The members of a partition
+    follow each other, so it lies in few containers. A null size counts as 0.
     """
-    members = members.select("table_uuid", "part", "file_path", "size", "record_count")
-    placed = prefix_sum(members, ["table_uuid", "part"], ["file_path"], "size", "at")
-    count = F.greatest(F.lit(1), F.round(F.col("at_total") / F.lit(target_bytes))).cast("long")
+    members = members.select("table_uuid", "part", "file_path", F.coalesce("size", F.lit(0)).alias("size"))
+    placed = prefix_sum(members, ["table_uuid"], ["file_path"], "size", "at", ["part"], _BUCKETS)
+    count = F.greatest(F.lit(1), F.ceil(F.col("at_total") / F.lit(target_bytes))).cast("long")
     number = F.when(F.col("at_total") > 0, F.least(count - 1, F.floor(F.col("at") / F.col("at_total") * count))).otherwise(F.lit(0)).cast("long")
-    return placed.withColumn("container_no", number).withColumnRenamed("at", "planned_offset").drop("at_total")
+    return placed.select("table_uuid", "part", "file_path", number.alias("container_no"))
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
 
 
-def _blocks(folder: str):
-    """A mapInArrow function: rows sorted by container, member and record become blocks; gives index rows.
+def _spool(folder: str, distinct: bool):
+    """A mapInArrow function: rows sorted by member and record become the members' bytes, one file a task; gives where each member stands.
 
-    A block is written under a name of its task attempt; only rows of a task that
-    succeeded reach the index, so blocks of lost attempts are never read.
+    A file is written under a name of its task attempt; only rows of a task that
+    succeeded come back, so files of lost attempts are never read.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _filesystem(folder)
-        system.create_dir(root, recursive=True)
         press = zstandard.ZstdCompressor(level=3)
-        columns: dict[str, list] = {name: [] for name in ("table_uuid", "part", "container_no", "block_path", "file_path", "offset", "length", "raw_length", "records", "sha256")}
-        container, member, sink, block, at = None, None, None, "", 0
+        kinds = {"table_uuid": pa.string(), "part": pa.string(), "file_path": pa.string(), "path": pa.string(), "at": pa.int64(), "length": pa.int64(), "raw_length": pa.int64(), "records": pa.int64()}
+        columns: dict[str, list] = {name: [] for name in kinds}
+        member, last, at, sink, path = None, None, 0, None, ""
         lines: list[bytes] = []
-        last: bytes | None = None
 
         def close_member() -> None:
-            nonlocal at
+            nonlocal at, sink, path
             if member is None:
                 return
             raw = b"\n".join(lines) + (b"\n" if lines else b"")
             packed = press.compress(raw) if lines else b""
-            sink.write(packed)
-            for name, value in zip(columns, (container[0], container[1], container[2], block, member, at, len(packed), len(raw), len(lines), hashlib.sha256(packed).hexdigest()), strict=True):
+            if packed and sink is None:
+                system, root = _filesystem(folder)
+                system.create_dir(root, recursive=True)
+                path = f"{root}/{uuid.uuid4().hex}.spool"
+                sink = system.open_output_stream(path)
+            if packed:
+                sink.write(packed)
+            for name, value in zip(columns, (*member, path if packed else None, at, len(packed), len(raw), len(lines)), strict=True):
                 columns[name].append(value)
             at += len(packed)
 
-        def index() -> pa.RecordBatch:
-            kinds = {"container_no": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "raw_length": pa.int64(), "records": pa.int64()}
-            out = pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in columns.items()], names=list(columns))
+        def found() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in columns.items()], names=list(columns))
             for v in columns.values():
                 v.clear()
             return out
 
         for batch in batches:
-            tables, parts, numbers, files, records = (batch.column(i).to_pylist() for i in range(5))
-            for key, file, record in zip(zip(tables, parts, numbers, strict=True), files, records, strict=True):
-                if key != container or file != member:
+            for *key, record in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != member:
                     close_member()
-                    if key != container:
-                        if sink is not None:
-                            sink.close()
-                        block, at = f"{root}/{uuid.uuid4().hex}.block", 0
-                        sink, container = system.open_output_stream(block), key
-                    member, lines, last = file, [], None
-                if record is not None and record != last:
+                    member, lines, last = key, [], None
+                if record is not None and not (distinct and record == last):
                     last = record
                     lines.append(record)
-            if len(columns["offset"]) >= 1000:
-                yield index()
+            if len(columns["at"]) >= 10_000:
+                yield found()
+        close_member()
         if sink is not None:
-            close_member()
             sink.close()
-            yield index()
+        yield found()
 
     return write
 
@@ -128,27 +129,112 @@ def record_bytes(columns: list[str]) -> Column:
     return F.encode(F.to_json(F.array(*[F.col(c).cast("string") for c in columns]), {"ignoreNullFields": "false"}), "UTF-8")
 
 
-def pack(plan: DataFrame, records: DataFrame, folder: str, rows_per_task: int = 400_000) -> DataFrame:
-    """Write each planned member's records into its container and give the index.
+def encode_members(members: DataFrame, records: DataFrame, folder: str, distinct: bool = False) -> DataFrame:
+    """The bytes of each member, its records as compressed lines, spooled to ``folder``: table_uuid, part, file_path, path, at, length, raw_length, records.
 
-    ``plan`` has table_uuid, part, container_no, file_path (a written table, see
-    :func:`siltstone.session.materialize`), ``records`` table_uuid, file_path, record
-    (binary). Equal records of a member are one record delivered again and are kept
-    once. A member without records gets an index row of length 0. Records of files
-    that are not in the plan are left alone.
+    ``members`` has table_uuid, file_path (unique), part; ``records`` table_uuid, file_path, record (binary, without line feeds). With
+    ``distinct`` equal records of a member are one record delivered again and are kept once; else each is kept. A member without
+    records has length 0 and no path; null records are none. Records of files that are not members are left alone.
     """
-    spark = plan.sparkSession
-    members = plan.select("table_uuid", "file_path", "part", "container_no")
-    rows = lookup_join(records, members, ["table_uuid", "file_path"])  # a small file has few records, so no key is hot
+    members = members.select("table_uuid", "file_path", "part")
+    rows = lookup_join(records.select("table_uuid", "file_path", "record"), members, ["table_uuid", "file_path"])  # a small file has few records, so no key is hot
+    order = ["table_uuid", "part", "file_path", "record"]
     headers = members.withColumn("record", F.lit(None).cast("binary"))
-    order = ["table_uuid", "part", "container_no", "file_path", "record"]
-    # members may state records that are not among these, so the smaller count bounds the rows
-    known = plan.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("m"), F.count_if(F.col("record_count").isNull()).alias("unknown")).first()
-    given = records.count()
-    rows_at_most = given if known["unknown"] else min(given, known["n"])
-    tasks = task_count(spark, rows_at_most + known["m"], rows_per_task)
-    sorted_rows = rows.select(*order).unionByName(headers.select(*order)).repartition(tasks, "table_uuid", "part", "container_no").sortWithinPartitions(*order)
-    return sorted_rows.mapInArrow(_blocks(folder), INDEX_SCHEMA)
+    by_member = rows.select(*order).unionByName(headers.select(*order)).repartition("table_uuid", "file_path").sortWithinPartitions("table_uuid", "file_path", "record")
+    return by_member.mapInArrow(_spool(folder, distinct), "table_uuid string, part string, file_path string, path string, at long, length long, raw_length long, records long")
+
+
+def _copy_blocks(rows: DataFrame, folder: str, origin: str) -> DataFrame:
+    """Write blocks: the bytes of the members of each container one after the other, read from where they are.
+
+    ``rows``: table_uuid, part, container_no, file_path, path, at, length (null: the whole file), in partitions and order of the containers. Gives the
+    index (:data:`_BLOCK_SCHEMA`). A member of length 0 has no block.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _filesystem(folder)
+        source, _ = _filesystem(origin)
+        system.create_dir(root, recursive=True)
+        container, sink, block, at = None, None, "", 0
+        opened: dict = {}
+        for batch in batches:
+            found: dict[str, list] = {k: [] for k in ("table_uuid", "part", "container_no", "block_path", "file_path", "offset", "length", "sha256")}
+            for table, part, number, file, path, start, size in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (table, number) != container:
+                    if sink is not None:
+                        sink.close()
+                    container, sink, at = (table, number), None, 0
+                digest, length = hashlib.sha256(), 0
+                if path is not None:
+                    if sink is None:
+                        block = f"{root}/{uuid.uuid4().hex}.block"
+                        sink = system.open_output_stream(block)
+                    if size is None:
+                        with source.open_input_stream(path) as member:
+                            while piece := member.read(1 << 22):
+                                sink.write(piece)
+                                digest.update(piece)
+                                length += len(piece)
+                    else:
+                        if path not in opened:
+                            if len(opened) >= 64:
+                                opened.pop(next(iter(opened))).close()
+                            opened[path] = source.open_input_file(path)
+                        opened[path].seek(start)
+                        piece = opened[path].read(size)
+                        if len(piece) != size:
+                            raise OSError(f"{path} ends before {start + size}")
+                        sink.write(piece)
+                        digest.update(piece)
+                        length = size
+                for k, v in zip(found, (table, part, number, block if path is not None else None, file, at, length, digest.hexdigest()), strict=True):
+                    found[k].append(v)
+                at += length
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if k in ("container_no", "offset", "length") else pa.string()) for k, v in found.items()], names=list(found))
+        if sink is not None:
+            sink.close()
+        for f in opened.values():
+            f.close()
+
+    return rows.mapInArrow(write, _BLOCK_SCHEMA)
+
+
+def pack(members: DataFrame, records: DataFrame, folder: str, target_bytes: int = TARGET_BYTES, distinct: bool = False) -> DataFrame:
+    """Write each member's records into a container of its table and give the written index.
+
+    The index has table_uuid, part, container_no, block_path, file_path, offset, length, raw_length, records, sha256. ``members`` and ``records`` are as in
+    :func:`encode_members`. Containers are planned by the bytes the members have come to, about ``target_bytes`` each, and several partitions
+    share one: a table has at most one block that is not full. A member without records gets an index row of length 0
+    without block. Records are shuffled once, by member; after that only places are.
+    """
+    spooled = materialize(encode_members(members, records, f"{folder}/spool", distinct), "spooled")
+    plan = plan_containers(spooled.withColumn("size", F.col("length")), target_bytes)
+    rows = lookup_join(spooled, plan.select("table_uuid", "file_path", "container_no"), ["table_uuid", "file_path"])
+    total = spooled.agg(F.sum("length")).first()[0] or 0
+    tasks = task_count(members.sparkSession, total, 4 * target_bytes)  # by the bytes to copy, of which the shuffled places say nothing
+    places = rows.select("table_uuid", "part", "container_no", "file_path", "path", F.col("at").alias("start"), "length").repartition(tasks, "table_uuid", "container_no").sortWithinPartitions("table_uuid", "container_no", "part", "file_path")
+    index = materialize(_copy_blocks(places, f"{folder}/blocks", folder), "blocks")
+    system, root = _filesystem(folder)
+    if system.get_file_info(f"{root}/spool").type == pafs.FileType.Directory:
+        system.delete_dir(f"{root}/spool")
+    facts = spooled.select("table_uuid", "file_path", "raw_length", "records")
+    return lookup_join(index, facts, ["table_uuid", "file_path"]).select("table_uuid", "part", "container_no", "block_path", "file_path", "offset", "length", "raw_length", "records", "sha256")
+
+
+def _members(frames: Iterator[pd.DataFrame], verify: bool = True) -> Iterator[tuple]:
+    """Each row of an index, in order of blocks and offsets, with its bytes."""
+    path, source = None, None
+    for frame in frames:
+        for m in frame.itertuples(index=False):
+            if m.block_path != path:
+                if source is not None:
+                    source.close()
+                path, source = m.block_path, _filesystem(m.block_path)[0].open_input_file(m.block_path)
+            source.seek(m.offset)
+            content = source.read(m.length)
+            if verify and hashlib.sha256(content).hexdigest() != m.sha256:
+                raise ValueError(f"member {m.file_path} of {m.block_path} does not have its checksum")
+            yield m, content
 
 
 def read_members(index: DataFrame, verify: bool = True) -> DataFrame:
@@ -160,21 +246,9 @@ def read_members(index: DataFrame, verify: bool = True) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpress = zstandard.ZstdDecompressor()
-        path, source = None, None
-        for frame in frames:
-            for m in frame.itertuples(index=False):
-                if not m.length:
-                    continue
-                if m.block_path != path:
-                    if source is not None:
-                        source.close()
-                    path, source = m.block_path, _filesystem(m.block_path)[0].open_input_file(m.block_path)
-                source.seek(m.offset)
-                packed = source.read(m.length)
-                if verify and hashlib.sha256(packed).hexdigest() != m.sha256:
-                    raise ValueError(f"member {m.file_path} of {m.block_path} does not have its checksum")
-                lines = unpress.decompress(packed, max_output_size=m.raw_length).decode().removesuffix("\n").split("\n")  # splitlines would also split at U+2028 and U+0085 within a record
-                yield pd.DataFrame({"table_uuid": m.table_uuid, "file_path": m.file_path, "record": lines})
+        for m, packed in _members(frames, verify):
+            lines = unpress.decompress(packed, max_output_size=m.raw_length).decode().removesuffix("\n").split("\n")  # splitlines would also split at U+2028 and U+0085 within a record
+            yield pd.DataFrame({"table_uuid": m.table_uuid, "file_path": m.file_path, "record": lines})
 
     rows = index.select("block_path", "offset", "table_uuid", "file_path", "length", "raw_length", "sha256").where("length > 0")
     rows = rows.repartition("block_path").sortWithinPartitions("block_path", "offset")
@@ -202,44 +276,50 @@ def list_files(spark: SparkSession, source: str) -> DataFrame:
     return found.unionByName(spark.createDataFrame(folders, "folder string").repartition(tasks).mapInPandas(below, "file_path string, size long"))
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row's ``content`` to its ``file_path`` below ``folder``, from tasks; how many. Paths must be unique; a file appears whole, under its name, and a repeated task replaces what it wrote."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = _filesystem(folder)
+        made: set[str] = set()
+        for frame in frames:
+            for name, content in zip(frame["file_path"], frame["content"], strict=True):
+                at = f"{root}/{name}"
+                if os.path.dirname(at) not in made:
+                    system.create_dir(os.path.dirname(at), recursive=True)
+                    made.add(os.path.dirname(at))
+                temporary = f"{root}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(temporary) as f:
+                    f.write(content)
+                system.move(temporary, at)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return files.select("file_path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def pack_files(spark: SparkSession, source: str, folder: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Pack all files below ``source`` byte for byte into containers; gives the written index (block_path, file_path, offset, length, sha256).
 
     No file is split; a container takes about ``target_bytes``. Only paths are shuffled: the task that writes a
-    container reads its members, a piece at a time. An empty folder gives an empty index.
+    container reads its members, a piece at a time. Empty files are members like others. An empty folder gives an empty index.
     """
-    listing = list_files(spark, source).select(F.lit("").alias("table_uuid"), F.lit("").alias("part"), "file_path", "size", F.lit(None).cast("long").alias("record_count"))
-    plan = materialize(plan_containers(materialize(listing, "listing"), target_bytes), "files-plan")
+    listing = materialize(list_files(spark, source).select(F.lit("").alias("table_uuid"), F.lit("").alias("part"), "file_path", "size"), "listing")
+    plan = materialize(plan_containers(listing, target_bytes), "files-plan")
     last = plan.agg(F.max("container_no")).first()[0] or 0
-    rows = plan.select("container_no", "file_path").repartition(int(last) + 1, "container_no").sortWithinPartitions("container_no", "file_path")
+    rows = plan.select("table_uuid", "part", "container_no", "file_path", F.col("file_path").alias("path"), F.lit(0).cast("long").alias("start"), F.lit(None).cast("long").alias("length"))
+    rows = rows.repartition(int(last) + 1, "container_no").sortWithinPartitions("container_no", "file_path")
+    return materialize(_copy_blocks(rows, folder, source), "files-index").select("block_path", "file_path", "offset", "length", "sha256")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _filesystem(folder)
-        origin, _ = _filesystem(source)
-        system.create_dir(root, recursive=True)
-        number, sink, block, at = None, None, "", 0
-        for batch in batches:
-            found: dict[str, list] = {"block_path": [], "file_path": [], "offset": [], "length": [], "sha256": []}
-            for n, path in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                if n != number:
-                    if sink is not None:
-                        sink.close()
-                    block, at, number = f"{root}/{uuid.uuid4().hex}.block", 0, n
-                    sink = system.open_output_stream(block)
-                digest, length = hashlib.sha256(), 0
-                with origin.open_input_stream(path) as member:
-                    while piece := member.read(1 << 22):
-                        sink.write(piece)
-                        digest.update(piece)
-                        length += len(piece)
-                for k, v in zip(found, (block, path, at, length, digest.hexdigest()), strict=True):
-                    found[k].append(v)
-                at += length
-            yield pa.RecordBatch.from_pydict(found)
-        if sink is not None:
-            sink.close()
 
-    return materialize(rows.mapInArrow(write, "block_path string, file_path string, offset long, length long, sha256 string"), "files-index")
+def read_files(index: DataFrame) -> DataFrame:
+    """The bytes of all packed files: file_path, content. Blocks are read in parallel; damaged ones raise ``ValueError``."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for m, content in _members(frames):
+            yield pd.DataFrame({"file_path": [m.file_path], "content": [content]})
+
+    rows = index.select("block_path", "offset", "file_path", "length", "sha256")
+    return rows.repartition("block_path").sortWithinPartitions("block_path", "offset").mapInPandas(read, "file_path string, content binary")
 
 
 def read_file(index: DataFrame, file_path: str) -> bytes:
@@ -257,13 +337,12 @@ def read_file(index: DataFrame, file_path: str) -> bytes:
 
 
 def compact(files: DataFrame, objects: DataFrame, records: DataFrame, small_bytes: int = SMALL_BYTES, min_files: int = MIN_FILES, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Plan and pack in one: the written index of all small files of crowded partitions.
+    """Choose and pack in one: the index of all small files of crowded partitions.
 
     ``records`` has table_uuid, file_path and the record's own columns; loaded_at and
-    other delivery columns must be left out, as equal records of a file are kept once.
+    other delivery columns must be left out, as equal records of a file are one delivered again and kept once.
     """
-    spark = files.sparkSession
-    plan = materialize(plan_containers(small_files(files, objects, small_bytes, min_files), target_bytes), "container-plan")
+    members = materialize(small_files(files, objects, small_bytes, min_files), "members")
     own = [c for c in records.columns if c not in ("table_uuid", "file_path")]
     lines = records.select("table_uuid", "file_path", record_bytes(own).alias("record"))
-    return materialize(pack(plan, lines, new_path(spark, "containers")), "container-index")
+    return pack(members, lines, new_path(files.sparkSession, "containers"), target_bytes, distinct=True)

@@ -61,21 +61,22 @@ def sums_before(df: DataFrame, keys: Sequence[str], pos: str, values: Sequence[s
     return rows.join(carried, [*keys, _BLOCK]).select(*keys, pos, *[both(v).alias(f"{v}_before") for v in values])
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], unique: Sequence[str], value: str, out: str, buckets: int = 256) -> DataFrame:
+def prefix_sum(df: DataFrame, keys: Sequence[str], unique: Sequence[str], value: str, out: str, within: Sequence[str] = (), buckets: int = 256) -> DataFrame:
     """Exclusive prefix sum of ``value`` within each group, in a fixed but arbitrary order.
 
-    The order is by a hash bucket of ``unique`` and then ``unique`` itself, hence the
+    The order is by ``within``, a hash bucket of ``unique`` and then ``unique`` itself, hence the
     same on every evaluation. Adds ``out`` and ``out + "_total"``, the sum of the
-    group. ``keys`` and ``unique`` may not be null.
+    group. ``keys``, ``within`` and ``unique`` may not be null.
     """
     rows = df.withColumn(_BLOCK, F.pmod(F.xxhash64(*unique), F.lit(buckets)).cast("int"))
-    totals = rows.groupBy(*keys, _BLOCK).agg(F.sum(value).alias("__sum"))
+    blocks = [*keys, *within, _BLOCK]
+    totals = rows.groupBy(*blocks).agg(F.sum(value).alias("__sum"))
     group = Window.partitionBy(*keys)
-    before = group.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, _BLOCK, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carry"), F.sum("__sum").over(group).alias(out + "_total"))
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*unique).rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(*within, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*blocks, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__carry"), F.sum("__sum").over(group).alias(out + "_total"))
+    inside = Window.partitionBy(*blocks).orderBy(*unique).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(carried, [*keys, _BLOCK])
+        rows.join(carried, blocks)
         .withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("__carry"))
         .drop(_BLOCK, "__carry")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.columns import epoch_millis
 from siltstone.operators import compaction, hierarchy, incremental, orphans, profile
-from siltstone.session import materialize
+from siltstone.session import materialize, new_path
 from siltstone.sources.catalogue import Catalogue
 
 TASK_COLUMNS = ["task_id", "workflow_id", "status", "started_at", "completed_at", "duration_ms", "error_message", "worker_id"]
@@ -24,9 +24,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _archive(spark, folder).select("table_uuid", "file_path")
 
 
-def p1_containers(spark: SparkSession, folder: str) -> DataFrame:
-    """Per container: how many files and records it holds and their bytes."""
-    return _archive(spark, folder).groupBy("table_uuid", "part", "container_no").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("length").alias("bytes"))
+def p1_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per table: the files and records in its archive, the files without records here, and whether it has at most one block that is not full."""
+    by = _archive(spark, folder).groupBy("table_uuid").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.count_if(F.col("length") == 0).alias("empty_files"), F.sum("length").alias("bytes"), F.countDistinct("block_path").alias("blocks"))
+    return by.select("table_uuid", "files", "records", "empty_files", (F.col("blocks") <= F.ceil(F.col("bytes") / compaction.TARGET_BYTES)).alias("well_sized"))
 
 
 def p1_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +37,17 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("table_uuid", "file_path", cells.alias("c")).select("table_uuid", "file_path", *[F.col("c")[i].alias(c) for i, c in enumerate(TASK_COLUMNS)])
 
 
+def p1_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files packed byte for byte and read back from the blocks: the bytes and checksum of each. The files, one small one for each file of the catalogue with records, list its tasks."""
+    tasks = Catalogue(spark, folder).table("task_logs").where("task_id is not null").select("table_uuid", "file_path", "task_id").distinct()
+    texts = tasks.groupBy("table_uuid", "file_path").agg(F.concat(F.array_join(F.array_sort(F.collect_list("task_id")), "\n"), F.lit("\n")).alias("content"))
+    source = new_path(spark, "many-files")
+    compaction.write_files(texts.select(F.concat_ws("/", "table_uuid", "file_path").alias("file_path"), F.encode("content", "UTF-8").alias("content")), source)
+    back = compaction.read_files(compaction.pack_files(spark, source, new_path(spark, "packed-files")))
+    part = lambda i: F.regexp_extract("file_path", r"many-files-[0-9a-f]+/([^/]*)/(.*)", i)
+    return back.select(part(1).alias("table_uuid"), part(2).alias("file_path"), F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def _references(catalogue: Catalogue) -> DataFrame:
     """Every reference with the time of the referring snapshot (null if unknown)."""
     snapshots = catalogue.snapshots().select("table_uuid", "snapshot_id", epoch_millis(F.col("timestamp_ms")).alias("ref_ms"), F.col("manifest_list").alias("path"))
@@ -65,11 +77,45 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return checked.where("state <> 'ok'").groupBy("source_table", "table_uuid", month.alias("month"), "state").agg(F.count(F.lit(1)).alias("n_references"))
 
 
+def _adopted(spark: SparkSession, folder: str) -> tuple[incremental.IncrementalRun, DataFrame]:
+    """A run whose first manifest holds the files that the successful runs of the log have covered, as the entries of that time show them; and the live files as they are."""
+    catalogue = Catalogue(spark, folder)
+    states = materialize(catalogue.entry_states(), "states")
+    run = incremental.IncrementalRun(spark, new_path(spark, "runs"))
+    run.adopt(incremental.covered_files(states, incremental.successful_runs(catalogue.table("run_log"), catalogue.snapshot_sequences())))
+    return run, catalogue.live_states(states)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    run, listing = _adopted(spark, folder)
+    return run.pending(listing).select("table_uuid", "file_path")
+
+
+def p3_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of each file, counted by three runs: over all files as first listed, one that breaks off, and one over the live files as they are now.
+
+    Files listed again since have changed, so they are counted again and their first rows are superseded.
+    """
     catalogue = Catalogue(spark, folder)
-    listing = materialize(catalogue.live_files(sequence=True), "listing")
-    runs = incremental.successful_runs(catalogue.table("run_log"), catalogue.snapshot_sequences())
-    return incremental.pending_files(listing, incremental.processed_manifest(listing, runs)).select("table_uuid", "file_path")
+    states = materialize(catalogue.entry_states(), "states")
+    first = states.groupBy("table_uuid", "file_path").agg(F.min("seq").alias("seq"), F.max("file_size_in_bytes").alias("file_size_in_bytes"), F.max("checksum").alias("checksum"))
+    records = catalogue.table("task_logs").select("table_uuid", "file_path", *TASK_COLUMNS).distinct()
+
+    def work(files: DataFrame) -> DataFrame:
+        return records.join(files.select("table_uuid", "file_path"), ["table_uuid", "file_path"]).groupBy("table_uuid", "file_path").agg(F.count(F.lit(1)).alias("records"))
+
+    def broken(files: DataFrame) -> DataFrame:
+        raise InterruptedError("after its files were taken on")
+
+    run = incremental.IncrementalRun(spark, new_path(spark, "runs"))
+    run.run(first, work)
+    live = catalogue.live_states(states)
+    try:
+        run.run(live, broken)
+    except InterruptedError:
+        pass
+    run.run(live, work)
+    return run.output()
 
 
 def _table_fields(catalogue: Catalogue) -> DataFrame:
@@ -125,4 +171,4 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy(F.col("id").alias("snapshot_id")).agg(F.count(F.lit(1)).alias("descendants"), F.max("distance").cast("int").alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_containers, p1_records, p2_found, p2_report, p3_found, p4_found, p4_statistics, p4_profile, p4_drift, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_files, p2_found, p2_report, p3_found, p3_run, p4_found, p4_statistics, p4_profile, p4_drift, p5_found, p5_paths, p5_descendants)}

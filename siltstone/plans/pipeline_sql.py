@@ -45,6 +45,11 @@ ty AS (SELECT *, CASE WHEN field_type = 'int' THEN TRY_CAST(lt AS int)::double W
 SQL = {
     "p1_found": _SMALL + "SELECT * FROM found",
     "p1_records": _SMALL + f"SELECT DISTINCT t.table_uuid, t.file_path, {_COLUMNS} FROM task_logs t JOIN found USING (table_uuid, file_path)",
+    "p1_blocks": _SMALL
+    + f""", rec AS (SELECT table_uuid, file_path, count(*) AS n FROM (SELECT DISTINCT t.table_uuid, t.file_path, {_COLUMNS} FROM task_logs t) AS t GROUP BY ALL)
+SELECT table_uuid, count(*) AS files, coalesce(sum(n), 0)::bigint AS records, count(*) FILTER (n IS NULL) AS empty_files, true AS well_sized FROM found LEFT JOIN rec USING (table_uuid, file_path) GROUP BY ALL""",
+    "p1_files": """SELECT table_uuid, file_path, strlen(content)::int AS bytes, sha256(content) AS sha256 FROM
+ (SELECT table_uuid, file_path, string_agg(task_id, chr(10) ORDER BY task_id) || chr(10) AS content FROM (SELECT DISTINCT table_uuid, file_path, task_id FROM task_logs WHERE task_id IS NOT NULL) GROUP BY ALL)""",
     "p2_found": f"""WITH {_BASE},
 refs AS (SELECT 'snapshots' AS source_table, table_uuid, list AS ref_path FROM sn UNION SELECT 'manifest_files', table_uuid, manifest FROM mf UNION SELECT 'data_files', table_uuid, file_path FROM df)
 SELECT r.* FROM refs r LEFT JOIN ol o ON o.table_uuid = r.table_uuid AND o.path = r.ref_path WHERE r.ref_path <> '' AND NOT coalesce(o.is_put, false)""",
@@ -61,6 +66,8 @@ FROM judged WHERE unknown OR NOT is_put OR NOT was GROUP BY ALL""",
 lf AS (SELECT table_uuid, file_path, max(seq) AS seq FROM le GROUP BY ALL),
 ok AS (SELECT DISTINCT r.table_uuid, r.from_sequence_number AS a, coalesce(r.to_sequence_number, s.sequence_number) AS b FROM run_log r LEFT JOIN sn s ON s.table_uuid = r.table_uuid AND s.snapshot_id = r.to_snapshot_id WHERE lower(r.status) = 'success')
 SELECT table_uuid, file_path FROM lf WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.table_uuid = lf.table_uuid AND lf.seq > ok.a AND lf.seq <= ok.b)""",
+    "p3_run": f"""WITH {_BASE}, rec AS (SELECT DISTINCT table_uuid, file_path, {_COLUMNS} FROM task_logs)
+SELECT table_uuid, file_path, count(*) AS records FROM (SELECT DISTINCT table_uuid, file_path FROM df WHERE file_path <> '') JOIN rec USING (table_uuid, file_path) GROUP BY ALL""",
     "p4_found": _BOUNDS
     + """fl AS (SELECT table_uuid, file_path, field_id, min(seq) AS seq, any_value(v) AS v, any_value(n) AS n, bool_or(coalesce(v < 0 OR n < 0 OR n > v OR (required AND n > 0), false) OR coalesce(record_count <> v, false)
  OR (field_type <> 'string' AND ((lo IS NOT NULL AND ln IS NULL) OR (hi IS NOT NULL AND hn IS NULL))) OR coalesce(CASE WHEN field_type = 'string' THEN lt > ht ELSE ln > hn END, false)

@@ -422,9 +422,7 @@ def stream_append(spark, folder):
     staged = local_path(new_path(spark, "stream_source"))
     df.repartition(4).write.parquet("file://" + staged)
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet("file://" + staged)
-    stream_into(source, t, new_path(spark, "stream_state"), "events").processAllAvailable()
-    for q in spark.streams.active:
-        q.stop()
+    stream_into(source, t, new_path(spark, "stream_state"), "events", available_now=True).awaitTermination()
     return t.to_df().groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 

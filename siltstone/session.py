@@ -100,11 +100,6 @@ def planned_bytes(df: DataFrame) -> int:
     return int(size.toString()) if not isinstance(size, int) else size
 
 
-def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
-    """Number of tasks so that none gets more than about ``rows_per_task`` rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
-
-
-def is_local_file(path: str) -> bool:
-    """Whether the path can be reached with ``os`` calls on this machine."""
-    return path.startswith(("file:", "/")) and os.path.exists(local_path(path))
+def task_count(spark: SparkSession, amount: int, per_task: int) -> int:
+    """Number of tasks so that none gets more than about ``per_task`` of ``amount`` rows or bytes; at least that of shuffles."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // per_task))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.columns import partition_key, relative_path
 from siltstone.operators.joins import lookup_join
+from siltstone.session import materialize
 
 
 class Catalogue:
@@ -56,24 +57,25 @@ class Catalogue:
         joined = lookup_join(entries, self.snapshot_sequences(), ["table_uuid", "snapshot_id"], "left", salt_by=["file_path"])
         return joined.withColumn("seq", F.coalesce("sequence_number", "snapshot_sequence")).drop("snapshot_sequence")
 
-    def live_entries(self) -> DataFrame:
-        """Entries of ``data_files`` in the manifests of each table's current snapshot."""
+    def live_entries(self, entries: DataFrame | None = None) -> DataFrame:
+        """The entries of ``data_files`` (or those given) in the manifests of each table's current snapshot."""
         current = self.table("table_metadata").select("table_uuid", F.col("current_snapshot_id").alias("snapshot_id"))
-        lists = lookup_join(self.snapshots().select("table_uuid", "snapshot_id", "manifest_list"), current, ["table_uuid", "snapshot_id"], "left_semi")
-        lists = lists.where("manifest_list <> ''").select("table_uuid", "manifest_list").distinct()
+        lists = lookup_join(self.table("snapshots").select("table_uuid", "snapshot_id", "manifest_list"), current, ["table_uuid", "snapshot_id"], "left_semi")
+        lists = materialize(self._relative(lists, ["manifest_list"]).where("manifest_list <> ''").select("table_uuid", "manifest_list").distinct(), "lists")  # about one a table
         stands = self.manifest_files().select("table_uuid", "manifest_list", "manifest_path").where("manifest_path <> ''")
-        live = lookup_join(stands, lists, ["table_uuid", "manifest_list"], "left_semi", salt_by=["manifest_path"]).select("table_uuid", "manifest_path").distinct()
-        entries = self.data_files().where("file_path <> ''")
+        live = materialize(lookup_join(stands, lists, ["table_uuid", "manifest_list"], "left_semi", salt_by=["manifest_path"]).select("table_uuid", "manifest_path").distinct(), "manifests")
+        entries = self.data_files().where("file_path <> ''") if entries is None else entries
         return lookup_join(entries, live, ["table_uuid", "manifest_path"], "left_semi", salt_by=["file_path"])
 
-    def live_files(self, sequence: bool = False) -> DataFrame:
-        """Each live file once: table_uuid, file_path, part, file_size_in_bytes, record_count, checksum.
+    def live_files(self) -> DataFrame:
+        """Each live file once: table_uuid, file_path, part, file_size_in_bytes, record_count."""
+        entries = self.live_entries().select("table_uuid", "file_path", partition_key(F.col("partition_values")).alias("part"), "file_size_in_bytes", "record_count")
+        return entries.groupBy("table_uuid", "file_path").agg(*[F.max(c).alias(c) for c in ("part", "file_size_in_bytes", "record_count")])
 
-        With ``sequence`` also ``seq``, the largest sequence number of its live entries.
-        """
-        entries = self.live_entries().select("table_uuid", "file_path", "snapshot_id", "sequence_number", partition_key(F.col("partition_values")).alias("part"), "file_size_in_bytes", "record_count", "checksum")
-        keep = [F.max(c).alias(c) for c in ("part", "file_size_in_bytes", "record_count", "checksum")]
-        if sequence:
-            entries = self.with_sequence(entries)
-            keep.append(F.max("seq").alias("seq"))
-        return entries.groupBy("table_uuid", "file_path").agg(*keep)
+    def entry_states(self) -> DataFrame:
+        """The entries of ``data_files`` with their sequence number: table_uuid, manifest_path, file_path, seq, file_size_in_bytes, checksum."""
+        return self.with_sequence(self.data_files().where("file_path <> ''")).select("table_uuid", "manifest_path", "file_path", "seq", "file_size_in_bytes", "checksum")
+
+    def live_states(self, states: DataFrame) -> DataFrame:
+        """Each live file as its entry (see :meth:`entry_states`) with the largest sequence number shows it: table_uuid, file_path, seq, file_size_in_bytes, checksum."""
+        return self.live_entries(states).groupBy("table_uuid", "file_path").agg(F.max("seq").alias("seq"), F.max("file_size_in_bytes").alias("file_size_in_bytes"), F.max("checksum").alias("checksum"))

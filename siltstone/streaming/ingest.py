@@ -13,24 +13,22 @@ from siltstone.table.table import Table
 
 
 def append_batch(table: Table, batch: DataFrame, query: str, batch_id: int) -> bool:
-    """Append a micro-batch unless a snapshot says it is there; True if it was appended.
+    """Append a micro-batch unless the table has it; True if it was appended.
 
-    The snapshot's summary names query and batch, so a batch that is run again after a failure is not
-    appended twice. One query name belongs to one stream.
+    The table's state keeps the last batch of each query, whatever snapshots are expired, and the commit itself tests it: a batch that is
+    run again, even beside the first attempt, is not appended twice. One query name belongs to one stream.
     """
-    for s in reversed(table.state()["snapshots"]):
-        if s["summary"].get("stream-query") == query:
-            if int(s["summary"]["stream-batch"]) >= batch_id:
-                return False
-            break
+    if table.last_batch(query) >= batch_id:
+        return False
     with table.new_transaction().begin() as t:
-        t.append_df(batch).set_summary(**{"stream-query": query, "stream-batch": batch_id})
-    return True
+        t.append_df(batch).set_summary(**{"stream-query": query, "stream-batch": batch_id}).once(query, batch_id)
+    return t.published
 
 
-def stream_into(stream: DataFrame, table: Table, checkpoint: str, query: str) -> StreamingQuery:
-    """Start a query that appends ``stream`` to ``table``; ``checkpoint`` is its state folder."""
-    return stream.writeStream.foreachBatch(lambda df, i: append_batch(table, df, query, i)).option("checkpointLocation", checkpoint).start()
+def stream_into(stream: DataFrame, table: Table, checkpoint: str, query: str, available_now: bool = False) -> StreamingQuery:
+    """Start a query that appends ``stream`` to ``table``; ``checkpoint`` is its state folder. With ``available_now`` it ends when the input there is at the start is exhausted."""
+    writer = stream.writeStream.foreachBatch(lambda df, i: append_batch(table, df, query, i)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def windowed_counts(stream: DataFrame, folder: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,39 +1,38 @@
 """A versioned commit log: one JSON document per version, published by creating its file.
 
-A version is written to a temporary file, synced, and linked to its final name.
-The link fails if the name is taken, so exactly one writer publishes a version, and
-a torn temporary file is never seen. The newest version is the highest one listed.
+The storage refuses to create a file that exists, so exactly one writer publishes a
+version, and a torn file is never seen. The newest version is the highest one listed.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
-import uuid
 
-from siltstone.session import local_path
-from siltstone.table.errors import AmbiguousCommitError, CommitConflict
+from siltstone.table.storage import Storage, open_storage
 
 _NAME = re.compile(r"(\d{20})\.json")
 
 
 class CommitLog:
-    """The log of the table or state folder ``root``. Needs a file system with hard links."""
+    """The log of a table or of some other state, in the folder ``_log`` of a storage (or of a local path)."""
 
-    def __init__(self, root: str):
-        self.folder = os.path.join(local_path(str(root)), "_log")
+    def __init__(self, storage: Storage | str):
+        self.storage = storage if isinstance(storage, Storage) else open_storage(storage)
+
+    @property
+    def folder(self) -> str:
+        return self.storage.uri("_log").removeprefix("file://")
+
+    @staticmethod
+    def _name(version: int) -> str:
+        return f"_log/{version:020d}.json"
 
     def versions(self) -> list[int]:
-        try:
-            names = os.listdir(self.folder)
-        except FileNotFoundError:
-            return []
-        return sorted(int(m[1]) for n in names if (m := _NAME.fullmatch(n)))
+        return sorted(int(m[1]) for n in self.storage.names("_log") if (m := _NAME.fullmatch(n)))
 
     def read(self, version: int) -> dict:
-        with open(os.path.join(self.folder, f"{version:020d}.json"), encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self.storage.read(self._name(version)))
 
     def latest(self) -> tuple[int, dict | None]:
         """(version, document) of the newest version; (-1, None) if there is none. An unreadable one raises."""
@@ -41,37 +40,10 @@ class CommitLog:
         return (found[-1], self.read(found[-1])) if found else (-1, None)
 
     def publish(self, version: int, document: dict) -> None:
-        """Create ``version``; :class:`CommitConflict` if it exists."""
-        os.makedirs(self.folder, exist_ok=True)
-        final = os.path.join(self.folder, f"{version:020d}.json")
-        temporary = os.path.join(self.folder, f".{uuid.uuid4().hex}.tmp")
-        try:
-            with open(temporary, "w", encoding="utf-8") as f:
-                f.write(json.dumps(document))
-                f.flush()
-                os.fsync(f.fileno())
-            try:
-                os.link(temporary, final)
-            except FileExistsError:
-                raise CommitConflict(f"version {version} exists") from None
-            except OSError as e:
-                if os.path.exists(final) and os.path.samefile(temporary, final):
-                    raise AmbiguousCommitError(f"version {version}: {e}") from e
-                raise
-        finally:
-            if os.path.exists(temporary):
-                os.unlink(temporary)
-        try:
-            handle = os.open(self.folder, os.O_RDONLY)
-            os.fsync(handle)
-            os.close(handle)
-        except OSError:
-            pass  # published already; a failing sync must not undo it
+        """Create ``version``; :class:`~siltstone.table.errors.CommitConflict` if it exists."""
+        self.storage.create(self._name(version), json.dumps(document).encode())
 
-    def trim(self, keep: int) -> None:
-        """Remove all but the newest ``keep`` versions."""
-        for v in self.versions()[: -max(1, keep)]:
-            try:
-                os.unlink(os.path.join(self.folder, f"{v:020d}.json"))
-            except FileNotFoundError:
-                pass
+    def trim(self, keep: int, versions: list[int] | None = None) -> None:
+        """Remove all but the newest ``keep`` versions (of those listed, or of ``versions``)."""
+        for v in (self.versions() if versions is None else versions)[: -max(1, keep)]:
+            self.storage.delete(self._name(v))

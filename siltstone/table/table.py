@@ -70,12 +70,15 @@ class MetadataStore:
         """Publish ``new`` after version ``base``; :class:`ConcurrentModificationException` if that is not the newest."""
         keep = int(new["properties"].get(sn.VERSIONS, 100))
         entries = [*old["metadata_log"], {"version": base, "timestamp_ms": old["last_updated_ms"]}][-keep:]
+        versions = self.log.versions()
         try:
-            if self.log.versions()[-1] != base:
+            if versions[-1] != base:
                 raise CommitConflict(f"version {base} is not the newest")
             self.log.publish(base + 1, new | {"metadata_log": entries})
         except CommitConflict as e:
             raise ConcurrentModificationException(str(e)) from None
+        if len(versions) >= keep:
+            self.log.trim(keep, [*versions, base + 1])
         return base + 1
 
 
@@ -124,6 +127,10 @@ class Table:
             found = sn.current(state)
         return sn.describe(found) if found else None
 
+    def last_batch(self, stream: str) -> int:
+        """The last micro-batch of a stream that was appended; -1 if none was."""
+        return self.state().get("streams", {}).get(stream, -1)
+
     def set_properties(self, **properties: str | None) -> None:
         """Set table properties; None removes one."""
         self._update(lambda s: s | {"properties": {k: v for k, v in (s["properties"] | properties).items() if v is not None}})

@@ -90,25 +90,30 @@ def test_small_files(spark):
 
 
 def test_containers_are_near_equal(spark):
-    members = spark.createDataFrame([("t", "p", f"f{i}", 1 + i % 9, 1) for i in range(400)] + [("t", "zero", f"z{i}", 0, 0) for i in range(3)], "table_uuid string, part string, file_path string, size long, record_count long")
+    members = spark.createDataFrame([("t", f"p{i % 3}", f"f{i}", 1 + i % 9, 1) for i in range(400)] + [("u", "zero", f"z{i}", 0, 0) for i in range(3)] + [("u", "null", "n", None, None)], "table_uuid string, part string, file_path string, size long, record_count long")
     plan = compaction.plan_containers(members, 200).collect()
-    assert len(plan) == 403 and {r["container_no"] for r in plan if r["part"] == "zero"} == {0}
-    sums = {}
+    assert len(plan) == 404 and {r["container_no"] for r in plan if r["table_uuid"] == "u"} == {0}
+    size = {r["file_path"]: r["size"] for r in members.collect()}
+    sums, parts = {}, {}
     for r in plan:
-        if r["part"] == "p":
-            sums[r["container_no"]] = sums.get(r["container_no"], 0) + r["size"]
+        if r["table_uuid"] == "t":
+            sums[r["container_no"]] = sums.get(r["container_no"], 0) + size[r["file_path"]]
+            parts.setdefault(r["container_no"], set()).add(r["part"])
     total = sum(sums.values())
-    assert len(sums) == round(total / 200) and all(abs(s - total / len(sums)) <= 18 for s in sums.values())
+    assert len(sums) == -(-total // 200) and all(abs(s - total / len(sums)) <= 18 for s in sums.values())
+    assert sum(len(p) for p in parts.values()) <= len(sums) + 2  # the members of a partition follow each other
 
 
 def test_pack_and_read(spark):
-    plan = spark.createDataFrame([("t", "p", 0, "f1", 2), ("t", "p", 0, "f2", None), ("t", "p", 1, "empty", 0)], "table_uuid string, part string, container_no long, file_path string, record_count long")
+    members = spark.createDataFrame([("t", "p", "f1"), ("t", "q", "f2"), ("t", "p", "empty"), ("u", "", "alone")], "table_uuid string, part string, file_path string")
     records = spark.createDataFrame([("t", "f1", "a", None, 1), ("t", "f1", "a", None, 1), ("t", "f1", "b", "é\n\"", 2), ("t", "f2", "x" * 100_000, None, None), ("t", "other", "z", None, 1), ("t", "f2", None, None, None)], "table_uuid string, file_path string, record string, text string, part long")
     lines = records.select("table_uuid", "file_path", compaction.record_bytes(["record", "text", "part"]).alias("record"))
-    index = materialize(compaction.pack(plan, lines, new_path(spark, "test-pack")))
+    every = compaction.pack(members, lines, new_path(spark, "test-pack"))
+    assert {r["file_path"]: r["records"] for r in every.collect()} == {"f1": 3, "f2": 2, "empty": 0, "alone": 0}
+    index = materialize(compaction.pack(members, lines, new_path(spark, "test-pack"), distinct=True))
     by = {r["file_path"]: r for r in index.collect()}
-    assert {k: r["records"] for k, r in by.items()} == {"f1": 2, "f2": 2, "empty": 0} and by["empty"]["length"] == 0
-    assert by["f1"]["block_path"] == by["f2"]["block_path"]
+    assert {k: r["records"] for k, r in by.items()} == {"f1": 2, "f2": 2, "empty": 0, "alone": 0} and by["empty"]["length"] == 0 and by["alone"]["block_path"] is None
+    assert by["f1"]["block_path"] == by["f2"]["block_path"] and {by["f1"]["offset"], by["f2"]["offset"]} == {0, by["f1"]["length"]}  # partitions share a block
     back = compaction.read_members(index).select("file_path", F.from_json("record", "array<string>").alias("c")).collect()
     assert sorted(((r[0], *r[1]) for r in back), key=str) == sorted([("f1", "a", None, "1"), ("f1", "b", "é\n\"", "2"), ("f2", "x" * 100_000, None, None), ("f2", None, None, None)], key=str)
     path = by["f1"]["block_path"]
@@ -117,13 +122,27 @@ def test_pack_and_read(spark):
     open(path, "wb").write(content)
     with pytest.raises(Exception, match="checksum"):
         compaction.read_members(index).count()
+    none = compaction.pack(members.limit(0), lines, new_path(spark, "test-pack"))
+    assert none.count() == 0 and compaction.read_members(none).count() == 0
+
+
+def test_blocks_are_of_the_target_size(spark):
+    members = spark.createDataFrame([(t, f"p{i % 7}", f"f{i}") for t in "tu" for i in range(60)], "table_uuid string, part string, file_path string")
+    records = members.select("table_uuid", "file_path", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i")).select("table_uuid", "file_path", compaction.record_bytes(["i", "file_path"]).alias("record"))
+    index = compaction.pack(members, records, new_path(spark, "test-blocks"), target_bytes=1500).collect()
+    for t in "tu":
+        own = [r for r in index if r["table_uuid"] == t]
+        size = sum(r["length"] for r in own)
+        blocks = {r["block_path"] for r in own}
+        assert len(own) == 60 and sum(r["records"] for r in own) == 1200 and len(blocks) == -(-size // 1500) > 1
+        assert all(os.path.getsize(b) == sum(r["length"] for r in own if r["block_path"] == b) for b in blocks)
 
 
 def test_records_with_separators_of_lines_come_back_whole(spark):
     texts = ["a\u2028b", "c\u0085d", "e\u2029f\x0b\x0c\x1c\r\n", "g"]
-    plan = spark.createDataFrame([("t", "p", 0, "f", 4)], "table_uuid string, part string, container_no long, file_path string, record_count long")
+    members = spark.createDataFrame([("t", "p", "f")], "table_uuid string, part string, file_path string")
     records = spark.createDataFrame([("t", "f", t) for t in texts], "table_uuid string, file_path string, error_message string")
-    index = materialize(compaction.pack(plan, records.select("table_uuid", "file_path", compaction.record_bytes(["error_message"]).alias("record")), new_path(spark, "test-lines")))
+    index = compaction.pack(members, records.select("table_uuid", "file_path", compaction.record_bytes(["error_message"]).alias("record")), new_path(spark, "test-lines"))
     back = compaction.read_members(index).select(F.from_json("record", "array<string>")[0]).collect()
     assert sorted(r[0] for r in back) == sorted(texts)
 
@@ -137,6 +156,7 @@ def test_pack_files_round_trip(spark, tmp_path):
     assert index.count() == 40 and 1 < index.select("block_path").distinct().count() < 10
     for name, content in contents.items():
         assert compaction.read_file(index, str(tmp_path / name)) == content
+    assert {r["file_path"]: bytes(r["content"]) for r in compaction.read_files(index).collect()} == {str(tmp_path / n): c for n, c in contents.items()}
     with pytest.raises(KeyError):
         compaction.read_file(index, "none")
     (tmp_path / "nothing").mkdir()
@@ -163,33 +183,104 @@ def test_check_references(spark):
 # ---- problem 3 ----
 
 
-def test_processed_manifest(spark):
+def test_covered_and_pending_files(spark):
     rng = random.Random(3)
     files = [(rng.choice("ab"), f"f{i}", rng.choice([None, *range(40)]), i, None if i % 5 else "c") for i in range(200)]
     runs = [(rng.choice("ab"), a := rng.choice([None, *range(40)]), None if a is None or rng.random() < 0.1 else a + rng.randrange(6)) for _ in range(12)]
     f = spark.createDataFrame(files, "table_uuid string, file_path string, seq long, file_size_in_bytes long, checksum string")
-    manifest = incremental.processed_manifest(f, spark.createDataFrame(runs, "table_uuid string, above_seq long, upto_seq long"))
+    manifest = incremental.covered_files(f.unionByName(f), spark.createDataFrame(runs, "table_uuid string, above_seq long, upto_seq long"))
     wanted = {x[:2] for x in files if x[2] is not None and any(t == x[0] and a is not None and b is not None and a < x[2] <= b for t, a, b in runs)}
-    assert {(r["table_uuid"], r["file_path"]) for r in manifest.collect()} == wanted
+    assert {(r["table_uuid"], r["file_path"]) for r in manifest.collect()} == wanted and manifest.count() == len(wanted)
     assert {(r["table_uuid"], r["file_path"]) for r in incremental.pending_files(f, manifest).collect()} == {x[:2] for x in files} - wanted
-    changed = f.withColumn("file_size_in_bytes", F.lit(-1).cast("long"))
-    assert incremental.pending_files(changed, manifest).count() == 200
+    for changed in (f.withColumn("file_size_in_bytes", F.lit(-1).cast("long")), f.withColumn("seq", F.lit(1000).cast("long")), f.withColumn("checksum", F.lit("x"))):
+        assert incremental.pending_files(changed, manifest).count() == 200
     assert incremental.pending_files(f.limit(0), manifest).count() == 0
 
 
+LISTED = "table_uuid string, file_path string, file_size_in_bytes long, checksum string, extra int"
+
+
+def named(df):
+    return df.select("table_uuid", "file_path", "checksum")
+
+
+def files(run):
+    return sorted((r["file_path"], r["checksum"]) for r in run.output().collect())
+
+
 def test_incremental_run_survives_failure(spark):
     run = incremental.IncrementalRun(spark, new_path(spark, "test-run"))
-    kind = "table_uuid string, file_path string, file_size_in_bytes long, checksum string, extra int"
-    first = spark.createDataFrame([("t", "a", 1, "x", 0), ("t", "b", None, None, 0)], kind)
+    first = spark.createDataFrame([("t", "a", 1, "x", 0), ("t", "b", None, "y", 0), ("t", "b", None, "y", 1), ("t", None, 1, "x", 0), (None, "a", 1, "x", 0)], LISTED)
     assert run.output() is None
-    with pytest.raises(ZeroDivisionError):
-        run.run(first, lambda df: 1 / 0)
-    assert run.output() is None and run.manifest().count() == 0
-    assert run.run(first, lambda df: df.select("file_path"))
-    assert run.run(first, lambda df: df.select("file_path")) is None
-    both = first.unionByName(spark.createDataFrame([("t", "c", 3, "z", 0), ("t", "a", 2, "x", 0)], kind))
-    assert run.run(both, lambda df: df.select("file_path"))
-    assert rows(run.output()) == [("a",), ("a",), ("b",), ("c",)]
+    for work in (lambda df: 1 / 0, lambda df: named(df).withColumn("checksum", F.raise_error(F.lit("fails while writing")).cast("string")), lambda df: df.select("file_path")):
+        with pytest.raises((ZeroDivisionError, ValueError, Exception)):
+            run.run(first, work)
+        assert run.output() is None and run.manifest().count() == 0
+    assert run.run(first, named) and files(run) == [("a", "x"), ("b", "y")]
+    assert run.run(first, named) is None
+    assert len(run.storage.folders("attempts")) == 1  # what failed is gone
+    more = first.unionByName(spark.createDataFrame([("t", "c", 3, "z", 0)], LISTED))
+    assert run.run(more, named) and files(run) == [("a", "x"), ("b", "y"), ("c", "z")]
+
+
+def test_a_changed_file_is_processed_again_and_its_rows_replaced(spark):
+    run = incremental.IncrementalRun(spark, new_path(spark, "test-run"))
+    listing = lambda *rows: spark.createDataFrame([("t", p, n, c, 0) for p, n, c in rows], LISTED)
+    run.run(listing(("a", 1, "1"), ("b", 1, "1")), named)
+    run.run(listing(("a", 1, "2"), ("b", 1, "1"), ("c", 1, "1")), named)
+    assert files(run) == [("a", "2"), ("b", "1"), ("c", "1")] and run.manifest().count() == 3
+    run.run(listing(("a", 1, "1"), ("b", 2, "1")), named)  # back as it was, and another size
+    assert files(run) == [("a", "1"), ("b", "1"), ("c", "1")]
+    assert run.pending(listing(("a", 1, "1"), ("b", 2, "1"), ("c", 1, "1"))).count() == 0
+
+
+def test_a_listing_that_grows_while_it_is_processed(spark, tmp_path):
+    run = incremental.IncrementalRun(spark, new_path(spark, "test-run"))
+    source = str(tmp_path / "listing")
+    spark.createDataFrame([("t", "a", 1, "x", 0)], LISTED).write.parquet(source)
+    listing = spark.read.schema(LISTED).parquet(source)
+
+    def work(df):
+        spark.createDataFrame([("t", "b", 1, "x", 0)], LISTED).write.mode("append").parquet(source)
+        return named(df)
+
+    run.run(listing, work)
+    assert files(run) == [("a", "x")]
+    again = spark.read.schema(LISTED).parquet(source)
+    assert run.run(again, named) and run.run(again, named) is None
+    assert files(run) == [("a", "x"), ("b", "x")]
+
+
+def test_runs_beside_each_other_and_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "MERGED_PARTS", 3)
+    monkeypatch.setattr(incremental, "KEPT_VERSIONS", 2)
+    run = incremental.IncrementalRun(spark, new_path(spark, "test-run"))
+    listing = lambda n: spark.createDataFrame([("t", f"f{i}", 1, "x", 0) for i in range(n)], LISTED)
+
+    def overtaken(df):
+        run.run(listing(1), named)
+        return named(df)
+
+    with pytest.raises(incremental.CommitConflict):
+        run.run(listing(1), overtaken)
+    assert files(run) == [("f0", "x")]
+    for n in range(2, 7):
+        run.run(listing(n), named)
+    assert len(files(run)) == 6 == run.manifest().count() and run.run(listing(6), named) is None
+    assert len(run.log.versions()) == 2 and len(run.log.latest()[1]["parts"]) <= 3
+
+
+def test_adopted_manifest(spark):
+    run = incremental.IncrementalRun(spark, new_path(spark, "test-run"))
+    covered = spark.createDataFrame([("t", "a", 1, 5, "x"), ("t", "a", 4, 5, "x"), ("t", "b", 2, None, None)], "table_uuid string, file_path string, seq long, size long, checksum string")
+    run.adopt(covered)
+    with pytest.raises(incremental.CommitConflict):
+        run.adopt(covered)
+    listing = spark.createDataFrame([("t", "a", 4, 5, "x"), ("t", "b", 2, None, None), ("t", "c", 3, 1, "x")], "table_uuid string, file_path string, seq long, file_size_in_bytes long, checksum string")
+    assert [r["file_path"] for r in run.pending(listing).collect()] == ["c"]
+    assert [r["file_path"] for r in run.pending(listing.withColumn("seq", F.col("seq") + 1)).orderBy("file_path").collect()] == ["a", "b", "c"]
+    run.run(listing, named)
+    assert files(run) == [("c", "x")] and run.pending(listing).count() == 0
 
 
 # ---- problem 4 ----

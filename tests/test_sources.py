@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 
 from siltstone.sources.datafiles import DataFileReader, DataFileWriter, FileFormat, check_files, is_compatible, is_pandas_compatible, read_data_file, read_pandas_file, write_data_file
-from siltstone.sources.storage import ArrowStorage, LocalStorage, open_storage
 from siltstone.table import CommitConflict, DataFile, Field, Schema, create_table
+from siltstone.table.log import CommitLog
+from siltstone.table.storage import HadoopStorage, LocalStorage, open_storage
 
 SCHEMA = Schema([Field(1, "id", "long", True), Field(2, "name", "string"), Field(3, "age", "int")])
 ROWS = [{"id": i, "name": f"n{i}", "age": i % 7} for i in range(25)]
@@ -51,29 +52,51 @@ def test_compatibility():
     assert not is_pandas_compatible(pd.DataFrame({"id": [None], "name": ["y"], "age": [1]}), SCHEMA) and not is_pandas_compatible(pd.DataFrame({**ROWS[0], "more": 1}, index=[0]), SCHEMA)
 
 
-@pytest.mark.parametrize("kind", [LocalStorage, lambda root: ArrowStorage(f"file://{root}")])
-def test_storage(tmp_path, kind):
-    s = kind(str(tmp_path))
-    assert s.list("none") == [] and not s.exists("a/b") and not s.delete("a/b")
+@pytest.fixture(params=["local", "hadoop"])
+def storage(request, spark, tmp_path):
+    return LocalStorage(str(tmp_path)) if request.param == "local" else HadoopStorage(spark, f"file://{tmp_path}")
+
+
+def test_storage(storage):
+    s = storage
+    assert s.list("none") == [] == s.names("none") == s.folders("none") and not s.exists("a/b") and not s.delete("a/b")
     s.write("a/b", b"12345")
     s.write("a/b", b"123456")
-    assert s.read("a/b") == b"123456" and s.info("a/b")[0] == 6 and s.list() == ["a/b"]
+    assert s.read("a/b") == b"123456" and s.read("a/b", 2, 3) == b"345" and s.info("a/b")[0] == 6 and s.list() == ["a/b"] and s.folders() == ["a"] and s.names("a") == ["b"]
     with s.open("a/b") as f:
         f.seek(2)
-        assert f.read(3) == b"345"
-    with pytest.raises(FileNotFoundError):
-        s.open("none")
+        assert f.read(3) == b"345" and f.read() == b"6"
+    s.write("empty", b"")
+    assert s.read("empty") == b""
+    for call in (s.open, s.read):
+        with pytest.raises(FileNotFoundError):
+            call("none")
     with pytest.raises(ValueError):
-        s.open("../outside")
-    assert s.delete("a/b") and s.list() == []
+        s.read("../outside")
+    assert s.delete("a") and s.delete("empty") and s.list() == []
 
 
-def test_exclusive_creation(tmp_path):
-    s = open_storage(str(tmp_path))
-    s.create("x", b"1")
+def test_exclusive_creation(storage):
+    storage.create("x", b"1")
     with pytest.raises(CommitConflict):
-        s.create("x", b"2")
-    assert s.read("x") == b"1" and s.list() == ["x"]
-    with pytest.raises(NotImplementedError):
-        ArrowStorage(f"file://{tmp_path}").create("y", b"")
-    assert isinstance(open_storage(f"file://{tmp_path}"), LocalStorage)
+        storage.create("x", b"2")
+    assert storage.read("x") == b"1" and storage.list() == ["x"]
+
+
+def test_log_on_a_storage(storage):
+    log = CommitLog(storage)
+    assert log.latest() == (-1, None)
+    for i in range(5):
+        log.publish(i, {"n": i})
+    with pytest.raises(CommitConflict):
+        log.publish(3, {})
+    log.trim(2)
+    assert log.versions() == [3, 4] and log.latest() == (4, {"n": 4})
+
+
+def test_storages_by_scheme(spark, tmp_path):
+    assert isinstance(open_storage(f"file://{tmp_path}"), LocalStorage) and isinstance(open_storage(str(tmp_path)), LocalStorage)
+    with pytest.raises(ValueError):
+        open_storage("hdfs://host/x")
+    with pytest.raises(Exception, match="UnsupportedFileSystem|No FileSystem"):
+        open_storage("nosuch://host/x", spark)

@@ -223,6 +223,22 @@ def test_unreadable_base_aborts(table):
     assert table.row_count() == 3
 
 
+def test_a_batch_replayed_after_expiry_is_not_appended_again(spark, table):
+    from siltstone.streaming.ingest import append_batch
+
+    df = spark.createDataFrame([(1, "a", 1, 0.5)], "id long, name string, age int, score double")
+    assert append_batch(table, df, "q", 0)
+    table.append_records([{"id": 2}])
+    with table.new_transaction().begin() as t:
+        t.expire_snapshots(2**60)
+    assert not append_batch(table, df, "q", 0) and table.row_count() == 2
+    late = table.new_transaction().begin()
+    late.append_df(df).once("q", 1)
+    assert append_batch(table, df, "q", 1)
+    assert not late.commit() and not late.published and table.row_count() == 3
+    assert table.garbage_collect(0)["data_files"] == 0  # the transaction that came second has removed its files
+
+
 def test_failure_after_publishing_keeps_data(table, monkeypatch):
     monkeypatch.setattr("siltstone.table.transaction._remove", lambda path: None)
     table.append_records(ROWS)
