@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.joins import lookup_join
 from siltstone.operators.scans import prefix_sum
-from siltstone.session import materialize, new_path, task_count
+from siltstone.session import filesystem, materialize, new_path, task_count
 
 SMALL_BYTES = 16 * 1024 * 1024
 MIN_FILES = 4
@@ -65,10 +65,6 @@ def plan_containers(members: DataFrame, target_bytes: int = TARGET_BYTES) -> Dat
     return placed.select("table_uuid", "part", "file_path", number.alias("container_no"))
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
-
-
 def _spool(folder: str, distinct: bool):
     """A mapInArrow function: rows sorted by member and record become the members' bytes, one file a task; gives where each member stands.
 
@@ -90,7 +86,7 @@ def _spool(folder: str, distinct: bool):
             raw = b"\n".join(lines) + (b"\n" if lines else b"")
             packed = press.compress(raw) if lines else b""
             if packed and sink is None:
-                system, root = _filesystem(folder)
+                system, root = filesystem(folder)
                 system.create_dir(root, recursive=True)
                 path = f"{root}/{uuid.uuid4().hex}.spool"
                 sink = system.open_output_stream(path)
@@ -152,8 +148,8 @@ def _copy_blocks(rows: DataFrame, folder: str, origin: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _filesystem(folder)
-        source, _ = _filesystem(origin)
+        system, root = filesystem(folder)
+        source, _ = filesystem(origin)
         system.create_dir(root, recursive=True)
         container, sink, block, at = None, None, "", 0
         opened: dict = {}
@@ -214,7 +210,7 @@ def pack(members: DataFrame, records: DataFrame, folder: str, target_bytes: int
     tasks = task_count(members.sparkSession, total, 4 * target_bytes)  # by the bytes to copy, of which the shuffled places say nothing
     places = rows.select("table_uuid", "part", "container_no", "file_path", "path", F.col("at").alias("start"), "length").repartition(tasks, "table_uuid", "container_no").sortWithinPartitions("table_uuid", "container_no", "part", "file_path")
     index = materialize(_copy_blocks(places, f"{folder}/blocks", folder), "blocks")
-    system, root = _filesystem(folder)
+    system, root = filesystem(folder)
     if system.get_file_info(f"{root}/spool").type == pafs.FileType.Directory:
         system.delete_dir(f"{root}/spool")
     facts = spooled.select("table_uuid", "file_path", "raw_length", "records")
@@ -229,7 +225,7 @@ def _members(frames: Iterator[pd.DataFrame], verify: bool = True) -> Iterator[tu
             if m.block_path != path:
                 if source is not None:
                     source.close()
-                path, source = m.block_path, _filesystem(m.block_path)[0].open_input_file(m.block_path)
+                path, source = m.block_path, filesystem(m.block_path)[0].open_input_file(m.block_path)
             source.seek(m.offset)
             content = source.read(m.length)
             if verify and hashlib.sha256(content).hexdigest() != m.sha256:
@@ -257,7 +253,7 @@ def read_members(index: DataFrame, verify: bool = True) -> DataFrame:
 
 def list_files(spark: SparkSession, source: str) -> DataFrame:
     """file_path, size of all files below a folder, empty ones too: its folders on the driver, what is below them in tasks."""
-    system, root = _filesystem(source)
+    system, root = filesystem(source)
     top = system.get_file_info(pafs.FileSelector(root, recursive=False))
     here = [(i.path, i.size) for i in top if i.type == pafs.FileType.File]
     folders = [(i.path,) for i in top if i.type == pafs.FileType.Directory]
@@ -266,7 +262,7 @@ def list_files(spark: SparkSession, source: str) -> DataFrame:
         return found
 
     def below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, _ = _filesystem(source)
+        system, _ = filesystem(source)
         for frame in frames:
             for folder in frame["folder"]:
                 infos = [i for i in system.get_file_info(pafs.FileSelector(folder, recursive=True)) if i.type == pafs.FileType.File]
@@ -280,7 +276,7 @@ def write_files(files: DataFrame, folder: str) -> int:
     """Write each row's ``content`` to its ``file_path`` below ``folder``, from tasks; how many. Paths must be unique; a file appears whole, under its name, and a repeated task replaces what it wrote."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = _filesystem(folder)
+        system, root = filesystem(folder)
         made: set[str] = set()
         for frame in frames:
             for name, content in zip(frame["file_path"], frame["content"], strict=True):
@@ -327,7 +323,7 @@ def read_file(index: DataFrame, file_path: str) -> bytes:
     row = index.where(F.col("file_path") == file_path).first()
     if row is None:
         raise KeyError(file_path)
-    system, _ = _filesystem(row["block_path"])
+    system, _ = filesystem(row["block_path"])
     with system.open_input_file(row["block_path"]) as source:
         source.seek(row["offset"])
         content = source.read(row["length"])

@@ -10,6 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: A side is broadcast only if its planned size is at most this many bytes. Written tables count compressed; in memory they take up to some ten times that.
@@ -82,6 +83,11 @@ def local_path(uri: str) -> str:
     return uri[len("file:") :] if uri.startswith("file:") else uri
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a URI or local path, for tasks that read or write files themselves, and the path in it."""
+    return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
