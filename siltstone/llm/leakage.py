@@ -1,12 +1,11 @@
 """Evaluation texts leaking into training text: longest verbatim matches by suffix arrays.
 
-Each shard of the corpus gets a suffix array over its words. As a passage must
-begin with words of some test item, only positions whose first words occur so in
-the items enter it (a sparse suffix array; nothing that can match is left out).
-Every suffix of every item is looked up by binary search; the matches are extended
-to their full length and runs that belong together are chained over what the corpus put
-between them. The items are shipped to the tasks in blocks of bounded size; the corpus
-is never shuffled.
+The corpus is cut into shards. Of each shard, places where words of the items stand so close together that a passage is
+possible at all get a suffix array; every suffix of every item is looked up in it by binary search. A word sequence that stands in many
+items says little of any: it is not looked up wherever a passage must also hold a rarer one, so common turns of phrase
+do not pair all documents with all items. Documents and items that were brought together are then compared in full: their
+verbatim runs are chained over what the corpus put between them. The items are read by the tasks from a shared table, block by
+block; the corpus is read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -17,9 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import filesystem, materialize
+
 #: Consecutive words of an item that make a passage.
 MIN_WORDS = 18
 #: Words of a seed: what a binary search must match.
@@ -28,10 +30,10 @@ SEED = 4
 MAX_ALTERED, MAX_BETWEEN = 2, 40
 #: Share of a passage's words that must be there verbatim.
 MIN_SHARE = 0.85
-#: Words compared while sorting suffixes; longer matches are extended afterwards.
-SORTED_WORDS = 16
-#: Words of items shipped to the tasks at once.
+#: Words of items a task holds at once.
 BLOCK_WORDS = 2_000_000
+#: Pairs of places looked at in one step.
+STEP_PAIRS = 2_000_000
 #: Words in one shard's suffix array.
 SHARD_WORDS = 4_000_000
 
@@ -53,33 +55,27 @@ def words_of(text: str) -> list[str]:
 class TestIndex:
     """The items of one block as arrays: words numbered by vocabulary, 0 for any other word."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], width: int = MIN_WORDS):
         self.vocabulary: dict[str, int] = {}
-        ids, owner, offsets = [], [], []
-        for key, text in items:
+        ids, owner, firsts = [], [], []
+        self.keys = np.array([key for key, _ in items], np.int64)
+        for i, (_, text) in enumerate(items):
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text or "")]
+            firsts.append(len(ids))
             ids += [*own, -1]
-            owner += [key] * (len(own) + 1)
-            offsets += range(len(own) + 1)
-        self.ids = np.array(ids, np.int32)
-        self.owner, self.offset = np.array(owner, np.int64), np.array(offsets, np.int64)
-        self.padded = np.concatenate([self.ids, np.full(SORTED_WORDS, -1, np.int32)])
-        starts = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(self.padded, SEED).min(axis=1)[: len(self.ids)] > 0)
-        self.starts = starts
-        self.grams = np.unique(_gram(self.padded, starts)) if len(starts) else np.empty(0, np.uint64)
-        self._cache: dict[str, int] = {}
-
-    def number(self, text: str) -> list[int]:
-        """The words of a corpus text as numbers."""
-        cache, out = self._cache, []
-        for t in _TOKEN.findall(text):
-            n = cache.get(t)
-            if n is None:
-                n = self.vocabulary.get(_plain(t), 0)
-                if len(cache) < 1_000_000:
-                    cache[t] = n
-            out.append(n)
-        return out
+            owner += [i] * (len(own) + 1)
+        self.width = max(width, SEED)
+        self.ids, self.owner, self.first = np.array(ids, np.int32), np.array(owner, np.int64), np.array(firsts, np.int64)
+        self.padded = np.concatenate([self.ids, np.full(self.width, -1, np.int32)])
+        #: Where a suffix begins with SEED words; the number of these in ``grams``, and how many items' suffixes begin so.
+        self.starts = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(self.padded, SEED).min(axis=1)[: len(self.ids)] > 0) if len(ids) else np.empty(0, np.int64)
+        self.grams, self.gram_of, self.counts = np.unique(_gram(self.padded, self.starts), return_inverse=True, return_counts=True)
+        self.item_starts = np.searchsorted(self.starts, [*self.first, len(self.ids)])
+
+    def number(self, tokens: list[str]) -> np.ndarray:
+        """The plain words of a corpus text as numbers."""
+        get = self.vocabulary.get
+        return np.fromiter((get(t, 0) for t in tokens), np.int32, len(tokens))
 
 
 def _gram(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -97,46 +93,124 @@ def _keys(padded: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(window.astype(">u4")).view(f"S{4 * width}").ravel()
 
 
-def suffix_array(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The positions ``at`` in order of the SORTED_WORDS words from there."""
-    return at[np.argsort(_keys(padded, at, SORTED_WORDS), kind="stable")]
-
-
-def _verbatim_runs(test: TestIndex, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All maximal common runs of at least SEED words: (corpus position, item position, length)."""
-    none = np.empty(0, np.int64)
-    padded = np.concatenate([words, np.full(SORTED_WORDS, -1, np.int32)])
-    at = np.flatnonzero(words > 0)
-    for i in range(1, SEED):
-        at = at[padded[at + i] > 0]
-    if len(at) and len(test.grams):
-        grams = _gram(padded, at)
-        place = np.minimum(np.searchsorted(test.grams, grams), len(test.grams) - 1)
-        at = at[test.grams[place] == grams]
-    if not len(at) or not len(test.starts):
-        return none, none, none
-    array = suffix_array(padded, at)
-    prefix = _keys(padded, array, SEED)
-    wanted = _keys(test.padded, test.starts, SEED)
-    low, high = np.searchsorted(prefix, wanted, "left"), np.searchsorted(prefix, wanted, "right")
-    count = high - low
-    q = np.repeat(test.starts, count)
-    p = array[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-    first = (p > 0) & (q > 0)
-    same_before = first & (words[p - 1] == test.ids[q - 1]) & (words[p - 1] > 0)
-    p, q = p[~same_before], q[~same_before]
-    length = np.full(len(p), SEED)
-    going = np.arange(len(p))
-    test_ids = np.concatenate([test.ids, [-1]]).astype(np.int32)
-    while len(going):
-        a, b = p[going] + length[going], q[going] + length[going]
-        inside = (a < len(words)) & (b < len(test.ids))
-        going = going[inside]
-        a, b = a[inside], b[inside]
-        on = (words[a] == test_ids[b]) & (words[a] > 0)
-        going = going[on]
-        length[going] += 1
-    return p, q, length
+def suffix_array(padded: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The positions ``at`` in order of the ``width`` words from there: of a passage's least length, beyond which order doesn't matter."""
+    return at[np.argsort(_keys(padded, at, width), kind="stable")]
+
+
+class _Shard:
+    """Some documents' words, and the places of item words among them.
+
+    ``at``: positions where SEED words of some item stand, ``gram`` their number there. Places at most MAX_BETWEEN words
+    apart form a cluster; a passage lies within one.
+    """
+
+    def __init__(self, test: TestIndex, texts: list[np.ndarray], min_words: int):
+        self.test, self.texts = test, texts
+        lengths = np.array([len(t) + 1 for t in texts])
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        words = np.full(lengths.sum(), -1, np.int32)
+        for s, t in zip(self.starts, texts, strict=False):
+            words[s : s + len(t)] = t
+        self.words, self.padded = words, np.concatenate([words, np.full(test.width, -1, np.int32)])
+        at = np.flatnonzero(words > 0)
+        for i in range(1, SEED):
+            at = at[self.padded[at + i] > 0]
+        if len(test.grams):
+            found = _gram(self.padded, at)
+            gram = np.minimum(np.searchsorted(test.grams, found), len(test.grams) - 1)
+            same = test.grams[gram] == found
+            at, gram = at[same], gram[same]
+        else:
+            at = gram = np.empty(0, np.int64)
+        self.at, self.gram = at, gram
+        self.doc = np.searchsorted(self.starts, at, side="right") - 1
+        edge = np.ones(len(at), bool)
+        edge[1:] = (np.diff(at) > SEED + MAX_BETWEEN) | (np.diff(self.doc) != 0)
+        self.cluster = np.cumsum(edge) - 1
+        self.edges = np.append(np.flatnonzero(edge), len(at))
+        self.known = np.concatenate([[0], np.cumsum(words > 0)])
+        self.need = int(np.ceil(MIN_SHARE * min_words))  # words of an item that a passage holds at least
+
+    def _holds_passage(self, at: np.ndarray) -> bool:
+        """Whether places ``at``, in order, could make a passage by themselves: whether enough words of items stand from the first to the last of some that are close together."""
+        edge = np.flatnonzero(np.diff(at) > SEED + MAX_BETWEEN)
+        first, last = at[np.concatenate([[0], edge + 1])], at[np.append(edge, len(at) - 1)] + SEED
+        return bool((self.known[last] - self.known[first] >= self.need).any())
+
+    def looked_up(self) -> np.ndarray:
+        """Which places are looked up: of the clusters that could hold a passage, all but the most common word sequences that can't make one without a rarer one."""
+        chosen = np.zeros(len(self.at), bool)
+        first, last = self.at[self.edges[:-1]], self.at[self.edges[1:] - 1] + SEED
+        for c in np.flatnonzero(self.known[last] - self.known[first] >= self.need) if len(self.at) else ():
+            own = slice(self.edges[c], self.edges[c + 1])
+            counts = self.test.counts[self.gram[own]]
+            steps = np.unique(counts)
+            low, high = 0, len(steps)  # the places with a count of at least steps[high] are left out
+            while low < high:
+                middle = (low + high) // 2
+                if self._holds_passage(self.at[own][counts >= steps[middle]]):
+                    low = middle + 1
+                else:
+                    high = middle
+            chosen[own] = counts < steps[high] if high < len(steps) else True
+        return chosen
+
+    def pairs(self) -> np.ndarray:
+        """The clusters and items to be compared, as cluster * items + item: every suffix of an item is searched in the suffix array of the places looked up."""
+        test, chosen = self.test, self.looked_up()
+        if not chosen.any():
+            return np.empty(0, np.int64)
+        here = np.zeros(len(test.grams), bool)
+        here[self.gram[chosen]] = True
+        queries = test.starts[here[test.gram_of]]
+        array = suffix_array(self.padded, self.at[chosen], test.width)
+        prefix, wanted = _keys(self.padded, array, SEED), _keys(test.padded, queries, SEED)
+        low, high = np.searchsorted(prefix, wanted, "left"), np.searchsorted(prefix, wanted, "right")
+        clusters = self.cluster[np.searchsorted(self.at, array)]
+        out, done, total = [], 0, np.cumsum(high - low)
+        while done < len(queries):
+            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + STEP_PAIRS, "right")))
+            count = (high - low)[done:stop]
+            places = np.repeat(low[done:stop] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            out.append(np.unique(clusters[places] * len(test.keys) + np.repeat(test.owner[queries[done:stop]], count)))
+            done = stop
+        return np.unique(np.concatenate(out))
+
+    def runs(self, cluster: int, item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All maximal verbatim runs of at least SEED words of a cluster and an item: (position in the shard, position in the items, length)."""
+        own = slice(self.edges[cluster], self.edges[cluster + 1])
+        order = np.argsort(self.gram[own], kind="stable")
+        grams, places = self.gram[own][order], self.at[own][order]
+        mine = slice(self.test.item_starts[item], self.test.item_starts[item + 1])
+        wanted = self.test.gram_of[mine]
+        low, high = np.searchsorted(grams, wanted, "left"), np.searchsorted(grams, wanted, "right")
+        count = high - low
+        q = np.repeat(self.test.starts[mine], count)
+        p = places[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        order = np.lexsort((p, p - q))
+        p, q = p[order], q[order]
+        edge = np.ones(len(p), bool)
+        edge[1:] = (np.diff(p - q) != 0) | (np.diff(p) != 1)
+        first = np.flatnonzero(edge)
+        return p[first], q[first], np.diff(np.append(first, len(p))) + SEED - 1
+
+    def leaks(self, min_words: int) -> list[tuple[int, ...]]:
+        """(document, item, words, verbatim, longest run, item start, document start) of each document and item with a passage."""
+        pairs = self.pairs()
+        n = len(self.test.keys)
+        by: dict[tuple[int, int], list[int]] = {}
+        for pair in pairs.tolist():
+            by.setdefault((int(self.doc[self.edges[pair // n]]), pair % n), []).append(pair // n)
+        out = []
+        for (doc, item), clusters in by.items():
+            p, q, length = (np.concatenate(x) for x in zip(*[self.runs(c, item) for c in clusters], strict=True))
+            start, first = self.starts[doc], self.test.first[item]
+            hit = _passages(list(zip((p - start).tolist(), (q - first).tolist(), length.tolist(), strict=True)), min_words, self.test.ids[first:], self.texts[doc])
+            if hit:
+                span, verbatim, item_start, doc_start, longest = hit
+                out.append((doc, item, span, verbatim, longest, item_start, doc_start))
+        return out
 
 
 def _filled(item: list[int], corpus: list[int]) -> int | None:
@@ -164,14 +238,15 @@ def _passages(runs: list[tuple[int, int, int]], min_words: int, item: np.ndarray
     ``item`` and the ``corpus``, wider gaps are filled word by word. Of the chains that end in a run, the run alone among them, all are kept of which no other
     is at least as long with as many words to spare over MIN_SHARE. (item words spanned, of these verbatim, item start, corpus start, longest run), or None.
     """
-    runs = sorted(runs, key=lambda r: (r[1], r[0]))
+    runs = sorted(runs)
+    longest_run = max((n for _, _, n in runs), default=0)
     chains: list[list[tuple[int, int, int, int]]] = []  # (item start, verbatim, corpus start, longest run) of the chains that end here
     found = None
     for j, (p, q, n) in enumerate(runs):
         mine = [(q, n, p, n)]
         for i in range(j - 1, -1, -1):
             pi, qi, ni = runs[i]
-            if qi + ni < q - MAX_ALTERED - 200:
+            if pi + longest_run < p - MAX_BETWEEN:
                 break
             lap = max(0, qi + ni - q, pi + ni - p)  # a word repeated at the seam stands in both runs
             if lap > 3 or n - lap < 2:
@@ -202,49 +277,49 @@ def _passages(runs: list[tuple[int, int, int]], min_words: int, item: np.ndarray
 
 _RESULT = "doc_id long, item_id long, words long, verbatim long, longest_run long, item_start long, doc_start long"
 
-
-def _search(test: TestIndex, min_words: int):
-    def shard(keys: list[int], texts: list[list[int]]) -> pa.RecordBatch:
-        lengths = np.array([len(t) + 1 for t in texts])
-        words = np.full(lengths.sum(), -1, np.int32)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        for s, t in zip(starts, texts, strict=False):
-            words[s : s + len(t)] = t
-        p, q, n = _verbatim_runs(test, words)
-        doc = np.searchsorted(starts, p, side="right") - 1
-        item = test.owner[q] if len(q) else np.empty(0, np.int64)
-        order = np.lexsort((q, item, doc))
-        doc, item, p, q, n = doc[order], item[order], p[order], q[order], n[order]
-        edges = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.empty(0, np.int64)
-        total = np.add.reduceat(n, edges) if len(edges) else edges
-        out = []
-        for e, stop, t in zip(edges, [*edges[1:], len(doc)][: len(edges)], total, strict=True):
-            if t >= MIN_SHARE * min_words - 2 * SEED:  # the rest can be words that fill gaps
-                d = doc[e]
-                hit = _passages([(int(a - starts[d]), int(test.offset[b]), int(c)) for a, b, c in zip(p[e:stop], q[e:stop], n[e:stop], strict=True)], min_words, test.ids[q[e] - test.offset[q[e]] :], texts[d])
-                if hit:
-                    span, verbatim, item_start, doc_start, longest = hit
-                    out.append((keys[d], int(item[e]), span, verbatim, longest, item_start, doc_start))
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "words", "verbatim", "longest_run", "item_start", "doc_start"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, held = [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key is None or not text:
-                    continue
-                numbered = np.array(test.number(text), np.int32)
-                keys.append(key)
-                texts.append(numbered)
-                held += len(numbered)
-                if held >= SHARD_WORDS:
-                    yield shard(keys, texts)
-                    keys, texts, held = [], [], 0
-        if keys:
-            yield shard(keys, texts)
-
-    return run
+_loaded: dict[str, TestIndex] = {}
+
+
+def _index(path: str, width: int) -> TestIndex:
+    """The block of items in a file, the last one of each worker kept."""
+    if path not in _loaded:
+        system, at = filesystem(path)
+        with system.open_input_file(at) as f:
+            rows = pq.read_table(f, columns=["item_id", "text"])
+        _loaded.clear()
+        _loaded[path] = TestIndex(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True)), width)
+    return _loaded[path]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[list[str]]]]:
+    """Batches, with the words of their texts (column 1), together of about SHARD_WORDS words."""
+    known: dict[str, str] = {}
+    held, tokens, n = [], [], 0
+    for batch in batches:
+        held.append(batch)
+        for text in batch.column(1).to_pylist():
+            own = []
+            for t in _TOKEN.findall(text or ""):
+                w = known.get(t)
+                if w is None:
+                    w = _plain(t)
+                    if len(known) < 1_000_000:
+                        known[t] = w
+                own.append(w)
+            tokens.append(own)
+            n += len(own)
+        if n >= SHARD_WORDS:
+            yield held, tokens
+            held, tokens, n = [], [], 0
+    if held:
+        yield held, tokens
+
+
+def _item_blocks(items: DataFrame) -> list[str]:
+    """The items written to the shared folder in files of about BLOCK_WORDS words; the files."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").distinct()
+    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    return materialize(rows.repartition(-(-words // BLOCK_WORDS) or 1, "item_id"), "items").inputFiles()
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -255,27 +330,42 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORD
     stand between verbatim runs, and up to MAX_BETWEEN foreign words (headers, paragraph numbers).
     ``words`` is the length of the longest passage, item_start and doc_start count words.
     Null or empty texts and rows without id match nothing; repeated documents give a row each, as do repeated items with different ids.
-    The items are read in blocks of at most BLOCK_WORDS words, each searched against all documents.
+    The items are written to the shared folder in blocks of at most about BLOCK_WORDS words, each read by the tasks and compared with every shard of the documents.
     """
-    result, block, size = None, [], 0
-    spark = documents.sparkSession
-
-    def search(rows: list[tuple[int, str]]) -> DataFrame:
-        return documents.select("doc_id", "text").mapInArrow(_search(TestIndex(rows), min_words), _RESULT)
-
-    for row in items.select(F.col("item_id").cast("long"), "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len((row[1] or "").split())
-        if size >= BLOCK_WORDS:
-            found = search(block)
-            result = found if result is None else result.unionByName(found)
-            block, size = [], 0
-    if block:
-        found = search(block)
-        result = found if result is None else result.unionByName(found)
-    return spark.createDataFrame([], _RESULT) if result is None else result
-
-
-def remove_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The documents without those that hold a passage of an item."""
-    return documents.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+    blocks = _item_blocks(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, tokens in _shards(batches):
+            keys = [k for b in held for k in b.column(0).to_pylist()]
+            out = []
+            for path in blocks:
+                test = _index(path, min_words)
+                found = _Shard(test, [test.number(t) if k is not None else np.empty(0, np.int32) for k, t in zip(keys, tokens, strict=True)], min_words).leaks(min_words)
+                out += [(keys[doc], int(test.keys[item]), *rest) for doc, item, *rest in found]
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "words", "verbatim", "longest_run", "item_start", "doc_start"])
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _RESULT)
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents, with all their columns, without those that hold a passage of an item (see :func:`find_leaks`).
+
+    Documents are searched and dropped in one pass, without a join; rows without id are judged like others. Null and empty texts stay.
+    """
+    blocks = _item_blocks(items)
+    order = ["doc_id", "text", *[c for c in documents.columns if c not in ("doc_id", "text")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, tokens in _shards(batches):
+            clean = np.ones(len(tokens), bool)
+            for path in blocks:
+                test = _index(path, min_words)
+                clean[[doc for doc, *_ in _Shard(test, [test.number(t) for t in tokens], min_words).leaks(min_words)]] = False
+            at = 0
+            for batch in held:
+                yield batch.filter(pa.array(clean[at : at + batch.num_rows]))
+                at += batch.num_rows
+
+    rows = documents.select(*[F.col(f"`{c}`") for c in order])
+    return rows.mapInArrow(run, rows.schema).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -41,8 +41,8 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that hold no passage of an item."""
-    return leakage.remove_leaks(_table(spark, folder, "documents").select("doc_id", "n_chars"), _leaks(spark, folder))
+    """The documents, whole, that hold no passage of an item."""
+    return leakage.remove_leaks(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,13 +26,22 @@ def text_with(passage):
     return "Some words of a judgment stand before it. " + passage + " And others after it, of another matter."
 
 
+def shard(test, texts, min_words=leakage.MIN_WORDS):
+    return leakage._Shard(test, [test.number(t) for t in texts], min_words)
+
+
 def test_runs_equal_brute_force():
     rng = random.Random(2)
     words = ["a", "b", "c", "d", "e"]
     items = [(i, " ".join(rng.choices(words, k=25))) for i in range(4)]
     test = leakage.TestIndex(items)
-    doc = [test.vocabulary.get(w, 0) for w in rng.choices([*words, "zz"], k=300)]
-    p, q, n = leakage._verbatim_runs(test, np.array(doc, np.int32))
+    tokens = rng.choices([*words, "zz"], k=300)
+    doc = test.number(tokens)
+    s = shard(test, [tokens])
+    got = set()
+    for c in range(len(s.edges) - 1):
+        for i in range(4):
+            got |= set(zip(*(x.tolist() for x in s.runs(c, i)), strict=True))
     wanted = set()
     for i in range(len(doc)):
         for j in range(len(test.ids)):
@@ -42,7 +51,37 @@ def test_runs_equal_brute_force():
             starts = not (i and j and doc[i - 1] == test.ids[j - 1] > 0)
             if length >= leakage.SEED and starts:
                 wanted.add((i, j, length))
-    assert {(int(a), int(b), int(c)) for a, b, c in zip(p, q, n, strict=True)} == wanted and wanted
+    assert got == wanted and wanted
+
+
+def test_common_openings_pair_nothing_and_rare_words_find_all():
+    rng = random.Random(4)
+    opening = [f"o{i}" for i in range(12)]
+    item = lambda k: [f"i{k}x{j}" for j in range(30)]
+    test = leakage.TestIndex([(k, " ".join(opening + item(k))) for k in range(2000)])
+    texts = [opening + [f"d{k}y{j}" for j in range(30)] for k in range(800)]
+    assert not len(shard(test, texts).pairs())
+    # with a passage after the opening, or one that begins within it, only the documents that hold it are paired with its item
+    texts[7] = opening + item(70)[:10]
+    texts[8] = opening[6:] + item(80)[:12]
+    texts[9] = opening + ["x"] + item(90)[1:8]
+    found = shard(test, texts)
+    assert len(found.pairs()) == 3
+    assert {(d, i) for d, i, *_ in found.leaks(18)} == {(7, 70), (8, 80), (9, 90)}
+    # against comparing everything with everything, where texts are put together from common phrases
+    phrases = [[f"p{i}w{j}" for j in range(rng.randrange(3, 9))] for i in range(30)]
+    items = [(k, " ".join(w for p in rng.choices(phrases, k=6) for w in p)) for k in range(60)]
+    texts = [[w if rng.random() > 0.05 else "other" for p in rng.choices(phrases, k=12) for w in p] for _ in range(60)]
+    texts += [[w if rng.random() > 0.05 else "other" for w in t.split()] for _, t in items]
+    s = shard(leakage.TestIndex(items), texts)
+    every = {}
+    for c in range(len(s.edges) - 1):
+        for i in range(60):
+            p, q, n = s.runs(c, i)
+            own = every.setdefault((int(s.doc[s.edges[c]]), i), [])
+            own += zip((p - s.starts[s.doc[s.edges[c]]]).tolist(), (q - s.test.first[i]).tolist(), n.tolist(), strict=True)
+    wanted = {(d, i) for (d, i), runs in every.items() if leakage._passages(runs, 18, s.test.ids[s.test.first[i] :], s.texts[d])}
+    assert {(d, i) for d, i, *_ in s.leaks(18)} == wanted and len(wanted) > 50
 
 
 def test_settings_of_a_passage(spark, item):
@@ -73,9 +112,10 @@ def test_blocks_of_items(spark, item, monkeypatch):
 
 
 def test_removal(spark, item):
-    docs = spark.createDataFrame([(1, item, "", 0), (2, "clean text", "", 0)], KIND)
-    leaks = leakage.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    assert [r["doc_id"] for r in leakage.remove_leaks(docs, leaks).collect()] == [2]
+    docs = spark.createDataFrame([(1, item, "", 0), (2, "clean text", "a", 5), (None, item, "", 0), (None, "free", "", 0), (3, None, "", 0), (4, "", "", 0)], KIND)
+    left = leakage.remove_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted((tuple(r) for r in left.collect()), key=str) == sorted([(2, "clean text", "a", 5), (None, "free", "", 0), (3, None, "", 0), (4, "", "", 0)], key=str)
+    assert leakage.remove_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 6
 
 
 def test_leaks_of_the_tables(spark, data):
