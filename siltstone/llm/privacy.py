@@ -1,12 +1,13 @@
-"""Personal information in free text: found by what terms disclose, and replaced.
+"""Personal information in free text: found by what terms disclose, and replaced where it stands.
 
-One pass over the texts gives every run of capitalised words with the slot it stands in. From
+One pass over the texts gives every run of capitalised words with its place and the slot it stands in. From
 all documents it is counted how often each term stands in a slot of a protected
 entity (after a title, as judge, counsel, witness, before a verb of testimony) and
 how often at all; the logarithm of that rate over the base rate, in bits, is the term's
 disclosure. Terms above a threshold reveal a person wherever they stand; terms far below it
 never do, even in such a slot. E-mail addresses, phone and identity numbers and street
-addresses are told by form and context, and checked.
+addresses are told by form and context, and checked. A second pass judges the runs of each document by the terms'
+disclosure, which the tasks read block by block from a shared table; no text and no run is shuffled.
 """
 
 from __future__ import annotations
@@ -16,18 +17,20 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.joins import lookup_join
-from siltstone.session import materialize
+from siltstone.session import filesystem, materialize
 
 #: Bits from which on a term reveals a person by itself, and below which it is ordinary even in a protected slot.
 REVEALS, ORDINARY = 1.0, -1.5
 #: Strength of the prior: a term starts at the base rate as if seen so often.
 PRIOR = 4.0
+#: Terms a task holds at once while runs are judged.
+BLOCK_TERMS = 1_000_000
 #: What an occurrence as side of a case counts: companies and persons stand there, so it says little.
 SIDE_WEIGHT = 0.1
 
@@ -74,11 +77,14 @@ _ID_FORMS = (
     re.compile(r"\d{6,7}(?:[A-Z]\d[A-Z])?\b"),  # after one to five capitals
 )
 _ID_LABEL = re.compile(
-    r"\b(?:NRN|SSN|TIN|ID\s+number|Steuer-ID|Personenkennzahl|[Aa]usweis|Reisepass|Führerschein|[Pp]assport|driving\s+licen[cs]e"
-    r"|tax\s+identification\s+number|national\s+register|social\s+security\s+number|sécurité\s+sociale|numéro\s+(?:fiscal|national)|[Pp]asseport|permis\s+de\s+conduire|registre\s+national|carte\s+d['’]identité|Sozialversicherungsnummer|Steuernummer)"
-    r"(?:\s+(?:no\.?|Nr\.?|number|numéro))?\s*:?\s+$"
+    r"\b(?:NRN|SSN|TIN|NINO|ID\s+number|[Ii]dentity\s+card|Steuer-ID|Personenkennzahl|[Aa]usweis|Reisepass|Führerschein|[Pp]assport|[Dd]riv(?:ing|er['’]?s)\s+licen[cs]e"
+    r"|[Tt]ax\s+identification(?:\s+number)?|[Nn]ational\s+(?:register|[Ii]nsurance)|[Ss]ocial\s+[Ss]ecurity(?:\s+number)?|sécurité\s+sociale|numéro\s+(?:fiscal|national)|[Pp]asseport|permis\s+de\s+conduire|registre\s+national|carte\s+d['’]identité|Sozialversicherungsnummer|Steuernummer)"
+    r"(?:\s+(?:[Nn]o\.?|Nr\.?|[Nn]umber|numéro|n°))?\s*:?\s+$"
 )
-_PHONE = re.compile(r"\+\d{1,3}(?:[\s./-]\(?\d{2,7}\)?){2,5}|\(0\d{2,4}\)[\s-]?\d{2,4}(?:[\s-]?\d{2,4}){1,3}|00\d{1,3}(?:[\s/.-]\d{2,7}){2,4}|0\d{2,4}(?:[\s/-]\d{2,6}){1,3}|0\d{8,10}|(?:\(555\)\s?)?555-\d{4}")
+#: A number of any other form, after a label that says it is one of identity.
+_ID_ANY = re.compile(r"(?=(?:[A-Z./-]*\d){5})[A-Z]{0,5}\d[A-Z\d]*(?:[./-][A-Z\d]+)*(?![^\W_])")
+_LABELLED_ID = re.compile(_ID_LABEL.pattern.removesuffix("$"))
+_PHONE = re.compile(r"\+\d{1,3}(?:[\s./-]\(?\d{2,7}\)?){2,5}|\(0\d{2,4}\)[\s-]?\d{2,4}(?:[\s-]?\d{2,4}){1,3}|00\d{1,3}(?:[\s/.-]\d{2,7}){2,4}|0\d{2,4}(?:[\s/-]\d{2,6}){1,3}|0\d{8,10}|\(\d{3}\)\s?\d{3}[-.\s]\d{4}(?!\d)|(?:\(555\)\s?)?555-\d{4}")
 #: What says of a number right after it that it is a phone number; others are told by their form, unless their sentence speaks of other numbers.
 _PHONE_CUE = re.compile(r"(?:t[eé]l(?:ephone|efon|éphone)?\.?(?:\s*(?:no|Nr)\.?)?\s*:?|[Pp]hone\s*:?|[Mm]obile?\s*:?|[Cc]all(?:er)?\b[^.;]{0,30}?|\bused|\bunder|\bunter|\bau|\bvon|\bvenait\s+du|\bnuméro|\breached\s+(?:at|on|under)|\bAnruf\w*)\s*$", re.IGNORECASE)
 _OTHER_NUMBER = r"(?:docket|account|policy|invoice|konto|compte|line|ligne|aktenzeichen|rechnung|facture|dossier|iban)"
@@ -114,7 +120,7 @@ def _is_phone(before: str) -> bool:
 
 
 _TOWN = rf"[{_UP}][^\W\d_]+(?:-[^\W\d_]+)*"
-_ENGLISH_STREET = rf"{_WORD}(?:\s+{_WORD})?\s+(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Court|Ct|Quay|Square|Sq|Drive|Place|Terrace|Row|Hill|Way|Gardens)\b\.?,?\s+(?:\d{{5}}\s+)?{_TOWN}(?:,?\s+\d{{5}}\b)?"
+_ENGLISH_STREET = rf"{_WORD}(?:\s+{_WORD})?\s+(?:Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Crescent|Parkway|Grove|Mews|Highway|Lane|Ln|Close|Court|Ct|Quay|Square|Sq|Drive|Place|Terrace|Row|Hill|Way|Gardens)\b\.?,?\s+(?:\d{{5}}\s+)?{_TOWN}(?:,?\s+\d{{5}}\b)?"
 #: Addresses from the last digit of their first number on: English streets, French streets, and the number and town of a German street.
 _ADDRESS = re.compile(
     rf"\d(?:\s?(?:[A-Za-z]|bis|ter)\b)?,?\s+(?:{_ENGLISH_STREET}"
@@ -123,9 +129,9 @@ _ADDRESS = re.compile(
 )
 _HOUSE = re.compile(rf"House,\s+{_ENGLISH_STREET}|Cottage,\s+{_ENGLISH_STREET}|Lodge,\s+{_ENGLISH_STREET}|Villa,\s+{_ENGLISH_STREET}")
 #: What may stand before that: flat, house name, number sign, German street.
-_UNIT_BEFORE = re.compile(r"(?:(?:Flat|Apartment|Apt\.?|Unit)\s+\d+[A-Za-z]?,\s+)?(?:No\.\s+)?$")
+_UNIT_BEFORE = re.compile(r"(?:(?:Flat|Apartment|Apt\.?|Unit)\s+\d+[A-Za-z]?,\s+)?(?:No\.\s+)?\Z")
 _HOUSE_BEFORE = re.compile(rf"(?:(?:Flat|Apartment|Apt\.?|Unit)\s+\d+[A-Za-z]?,\s+)?(?:{_WORD}\s+)?{_WORD}\s+$")
-_GERMAN_BEFORE = re.compile(rf"{_WORD}(?:strasse|straße|weg|allee|gasse|platz|ufer|ring|damm)\s+$")
+_GERMAN_BEFORE = re.compile(rf"(?:{_WORD}(?:strasse|straße|str\.?|weg|allee|gasse|platz|ufer|ring|damm)|{_WORD}(?:[ -]{_WORD})*[ -](?:Strasse|Straße|Str\.|Weg|Allee|Gasse|Platz|Ufer|Ring|Damm))\s+$")
 _NOT_PRIVATE_BEFORE = re.compile(r"(?:[Nn]otices\s+go\s+to|[Rr]egistry\s*:?|[Ss]itz\s*:?|[Rr]egistered\s+office\s*:?)\s+$")
 _NOT_PRIVATE_AFTER = re.compile(r"\s*\((?:registry|greffe|Geschäftsstelle)\)")
 
@@ -145,36 +151,62 @@ def _line_of(text: str, at: int) -> str:
     return text[start : end if end >= 0 else len(text)]
 
 
-def _plain_matches(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
-    """E-mail addresses, identity numbers, phones and street addresses: (kind, surface), and the spans taken."""
+def _back(text: str, a: int, words: int) -> int:
+    """Where so many words before ``a`` begin."""
+    size = 96
+    while True:
+        at = max(0, a - size)
+        parts = text[at:a].rsplit(None, words)
+        if len(parts) > words or not at:
+            return at + len(parts[0]) if len(parts) > words else 0
+        size *= 4
+
+
+def _local_start(text: str, at: int) -> int:
+    """Where the local part of an e-mail address before ``at`` begins; ``at`` if there is none."""
+    a = at - 1 if at and text[at - 1].isspace() else at
+    first = a
+    while first and (text[first - 1].isalnum() or text[first - 1] in "_.+-"):
+        first -= 1
+    while first < a and not (text[first].isascii() and text[first].isalnum()):
+        first += 1
+    return first if first < a else at
+
+
+def _plain_matches(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """E-mail addresses, identity numbers, phones and street addresses: (kind, start, end), and the spans taken."""
     found, taken = [], []
     for at in _AT.finditer(text):
-        for m in _MAIL.finditer(text, max(0, at.start() - 80), at.end() + 120):
-            if m.start() < at.start() < m.end():
-                taken.append(m.span())
-                local = re.split(r"\s?(?:@|\[at\]|\(at\))", m[0])[0].lower()
-                if local not in _ROLES:
-                    found.append(("email", _one_line(m[0])))
-                break
+        m = _MAIL.match(text, _local_start(text, at.start()))
+        if m and m.start() < at.start() < m.end():
+            taken.append(m.span())
+            local = re.split(r"\s?(?:@|\[at\]|\(at\))", m[0])[0].lower()
+            if local not in _ROLES:
+                found.append(("email", *m.span()))
     numbers = [(max(0, m.start() - 1), m.end()) for m in _DIGITS.finditer(text)]  # with a plus sign or bracket before it
     for a, b in numbers:
         for m in _ID_FORMS[0].finditer(text, a, b):
-            if not text[m.start() - 1 : m.start()].isalnum() and _ID_LABEL.search(text, max(0, m.start() - 45), m.start()):
+            if not text[m.start() - 1 : m.start()].isalnum() and _ID_LABEL.search(text, _back(text, m.start(), 6), m.start()):
                 taken.append(m.span())
-                found.append(("id_number", _one_line(m[0])))
+                found.append(("id_number", *m.span()))
     for m in _ID_FORMS[1].finditer(text):
         a = m.start()
         while a and "A" <= text[a - 1] <= "Z":
             a -= 1
-        if 1 <= m.start() - a <= 5 and not text[a - 1 : a].isalnum() and _ID_LABEL.search(text, max(0, a - 45), a):
+        if 1 <= m.start() - a <= 5 and not text[a - 1 : a].isalnum() and _ID_LABEL.search(text, _back(text, a, 6), a):
             taken.append((a, m.end()))
-            found.append(("id_number", text[a : m.end()]))
+            found.append(("id_number", a, m.end()))
+    for m in _LABELLED_ID.finditer(text):
+        number = _ID_ANY.match(text, m.end())
+        if number and not any(a < number.end() and number.start() < b for a, b in taken):
+            taken.append(number.span())
+            found.append(("id_number", *number.span()))
     for pattern in (_ADDRESS, _HOUSE):
         for m in pattern.finditer(text):
             start = m.start()
             while pattern is _ADDRESS and start and text[start - 1].isdigit():
                 start -= 1
-            head = max(0, start - 60)
+            head = _back(text, start, 6)
             if pattern is _HOUSE:
                 lead = _HOUSE_BEFORE.search(text, head, start)
             elif m["german"]:
@@ -187,8 +219,8 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, in
                 continue
             start = lead.start()
             taken.append((start, m.end()))
-            if not _NOT_PRIVATE_BEFORE.search(text, max(0, start - 30), start) and not _NOT_PRIVATE_AFTER.match(text, m.end()):
-                found.append(("address", _one_line(text[start : m.end()])))
+            if not _NOT_PRIVATE_BEFORE.search(text, _back(text, start, 4), start) and not _NOT_PRIVATE_AFTER.match(text, m.end()):
+                found.append(("address", start, m.end()))
     number_end, personal = 0, False  # what stands before another number is not this one's label, unless they are listed together
     for m in (m for a, b in numbers for m in _PHONE.finditer(text, a, b)):
         start, end = m.start(), _phone_end(text, *m.span())
@@ -196,12 +228,12 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, str]], list[tuple[int, in
         if any(c.isalnum() or c in "+/-" for c in around) or text[end : end + 2].startswith(".") and text[end + 1 : end + 2].isdigit():
             continue
         if not (number_end and _LISTED.fullmatch(text, number_end, start)):
-            personal = _is_phone(text[max(number_end, start - 80) : start])
+            personal = _is_phone(text[max(number_end, _back(text, start, 14)) : start])
         number_end = end
         if not personal or any(a < end and start < b for a, b in taken):
             continue
         taken.append((start, end))
-        found.append(("phone", _one_line(text[start:end])))
+        found.append(("phone", start, end))
     return found, taken
 
 
@@ -209,7 +241,7 @@ def _masked(text: str, taken: list[tuple[int, int]]) -> str:
     """The text with citations and other matches blotted out, places kept."""
     marks = list(taken)
     for m in _CITED.finditer(text):
-        names = _CITED_NAMES.search(text, max(0, m.start() - 60), m.start())
+        names = _CITED_NAMES.search(text, _back(text, m.start(), 12), m.start())
         marks.append((names.start() if names else m.start(), m.end()))
     out, at = [], 0
     for a, b in sorted(marks):
@@ -241,8 +273,8 @@ def _is_side(text: str, a: int, b: int) -> bool:
     return len(line) < 100 and not _LABELLED.match(line) and not line.rstrip().endswith((".", ",")) and not _SIDE_AFTER.search(line.replace("V.", ""))
 
 
-def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, str]]:
-    """Runs of capitalised words outside citations and other matches: (text, slot). Slots: p protected, s side of a case name, n none."""
+def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Runs of capitalised words outside citations and other matches: (start, end, slot). Slots: p protected, s side of a case name, n none."""
     text = _masked(text, taken)
     for m in _RUN.finditer(text):
         start, end = m.span()
@@ -261,11 +293,12 @@ def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, str]]:
                         yield found
 
 
-_opened: dict[str, tuple[list[str], str, bool]] = {}
+_opened: dict[str, tuple[int, str, bool]] = {}
+_SPACE = re.compile(r"\s*")
 
 
-def _open(run: str) -> tuple[list[str], str, bool]:
-    """The words of a run after titles and cue words, the slot these make, and whether there were any."""
+def _open(run: str) -> tuple[int, str, bool]:
+    """Where a run begins after titles and cue words, the slot these make, and whether there were any."""
     words = run.split()
     slot, first = "n", 0
     while first < len(words) and (w := words[first]) in _OPENERS:
@@ -274,11 +307,21 @@ def _open(run: str) -> tuple[list[str], str, bool]:
         first += 1
     if first and words[first - 1] == "Angaben" and words[first : first + 1] == ["von"]:
         first += 1
-    return words[first:], slot, bool(first)
+    return _after_words(run, first), slot, bool(first)
+
+
+def _after_words(run: str, n: int) -> int:
+    """Where a run goes on after its first ``n`` words."""
+    at = _SPACE.match(run).end()
+    for _ in range(n):
+        while at < len(run) and not run[at].isspace():
+            at += 1
+        at = _SPACE.match(run, at).end()
+    return at
 
 
-def _slot(text: str, a: int, b: int) -> tuple[str, str] | None:
-    """The run at a .. b without titles and cue words, and the slot it stands in."""
+def _slot(text: str, a: int, b: int) -> tuple[int, int, str] | None:
+    """The run at a .. b without titles and cue words, with the particles before it, and the slot it stands in: (start, end, slot)."""
     run = text[a:b]
     if text[b : b + 1] == ":":  # a label, not a name
         parts = run.rsplit(None, 1)
@@ -291,12 +334,15 @@ def _slot(text: str, a: int, b: int) -> tuple[str, str] | None:
         opened = _open(run)
         if len(_opened) < 500_000:
             _opened[run] = opened
-    words, slot, cut = opened
-    if not words:
+    skip, slot, cut = opened
+    start = a + skip
+    if start >= b:
         return None
     last, side = "", False
     if not cut:
-        before = text[max(0, a - 24) : a].split()
+        before = text[max(0, a - 64) : a].split()
+        if len(before) < 5 and a > 64:
+            before = text[_back(text, a, 5) : a].split()
         if before:
             last = before[-1]
             if last in _PARTICLES:
@@ -306,7 +352,7 @@ def _slot(text: str, a: int, b: int) -> tuple[str, str] | None:
                 if lead == ["von"] and before and before[-1] == "Angaben":
                     slot = "p"
                 else:
-                    words = [*lead, *words]
+                    start = _SPACE.match(text, _back(text, a, len(lead))).end()
                 last = before[-1] if before else ""
             if last in _CUES_BEFORE:
                 if last not in _LAST_OF_TWO or len(before) > 1 and before[-2].lower() in ("statement", "angaben", "zeuge", "zeugin"):
@@ -314,15 +360,15 @@ def _slot(text: str, a: int, b: int) -> tuple[str, str] | None:
             else:
                 side = last in _SEPARATORS_AFTER
     if slot == "n":
-        after = text[b : b + 16].split(None, 1)
+        after = text[b : b + 64].split(None, 1)
         if after:
             if after[0] in _FIRST_AFTER and _AFTER.match(text, b):
                 slot = "p"
             elif side or after[0] in _SEPARATORS_AFTER:
                 slot = "s"
-    if words[0] == "M." and len(words) > 1 and not (last[-1:] == ":" or side or last in ("of", "Selon")) and _FRENCH.search(text):
-        words, slot = words[1:], "p"
-    return " ".join(words), slot
+    if text.startswith("M.", start) and (rest := _after_words(text[start:b], 1)) < b - start and text[start + 2].isspace() and not (last[-1:] == ":" or side or last in ("of", "Selon")) and _FRENCH.search(text):
+        start, slot = start + rest, "p"
+    return start, b, slot
 
 
 def _sides(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -355,52 +401,67 @@ _SIDES = re.compile(r"\s(?:V\.|AGAINST|GEGEN|CONTRE)\s")
 #: The first words of what _AFTER matches.
 _FIRST_AFTER = frozenset(", (instructed (counsel gave did was resides appeared testified lives said 's ’s hat ist wurde wohnt gehört stand demeure a n'a n’a l'a l’a J".split())
 _FRENCH = re.compile(r"\b(?:Aux\s+termes|Attendu\s+que|Il\s+y\s+a\s+lieu|Le\s+tribunal|La\s+requête|La\s+partie|Le\s+moyen)\b")
-_ROWS = "what string, doc_id long, kind string, surface string, n double, a long"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows found (what = f), runs per document (r, kind = slot) and term counts of the batch (t, surface = term)."""
-    terms: dict[str, tuple[str, ...]] = {}
-    for batch in batches:
-        rows: list[tuple] = []
-        total, protected = Counter(), Counter()
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if doc is None or not text:
-                continue
-            found, taken = _plain_matches(text)
-            rows += [("f", doc, kind, surface, None, None) for kind, surface in set(found)]
-            for (run, slot), n in Counter(_runs(text, taken)).items():
-                words = terms.get(run)
-                if words is None:
-                    words = tuple(term_of(p) for p in _PIECE.findall(run) if len(p) > 2 and p.lower() not in _PARTICLES)
-                    if len(terms) < 500_000:
-                        terms[run] = words
-                if words:
-                    rows.append(("r", doc, slot, run, None, None))
-                    for w in words:
-                        total[w] += SIDE_WEIGHT * n if slot == "s" else n
-                        if slot == "p":
-                            protected[w] += n
-        rows += [("t", None, None, w, n, protected[w]) for w, n in total.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["what", "doc_id", "kind", "surface", "n", "a"])
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("surface", pa.string())]))
+_ROWS = "doc_id {key}, text string, term string, n double, protected long, found array<struct<kind: string, a: int, b: int, surface: string>>"
+
+
+def _terms_of(run: str) -> tuple[str, ...]:
+    return tuple(term_of(p) for p in _PIECE.findall(run) if len(p) > 2 and p.lower() not in _PARTICLES)
+
+
+def _scan(keep_text: bool):
+    """A mapInArrow function over (doc_id, text): a row per document with what was found and the runs (kind p, s or n), and the counts of the batch's terms."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            total, protected = Counter(), Counter()
+            texts, rows = batch.column(1).to_pylist(), []
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                found: list[dict] = []
+                rows.append(found)
+                if not text or (doc is None and not keep_text):
+                    continue
+                plain, taken = _plain_matches(text)
+                found += [{"kind": kind, "a": a, "b": b, "surface": _one_line(text[a:b])} for kind, a, b in plain]
+                for a, b, slot in _runs(text, taken):
+                    run = text[a:b]
+                    words = terms.get(run)
+                    if words is None:
+                        words = _terms_of(run)
+                        if len(terms) < 500_000:
+                            terms[run] = words
+                    if words:
+                        found.append({"kind": slot, "a": a, "b": b, "surface": run})
+                        for w in words:
+                            total[w] += SIDE_WEIGHT if slot == "s" else 1
+                            if slot == "p":
+                                protected[w] += 1
+            n, t = batch.num_rows, len(total)
+            nothing = lambda kind, n: pa.nulls(n, kind)
+            columns = {
+                "doc_id": (batch.column(0), nothing(batch.column(0).type, t)), "text": (batch.column(1) if keep_text else nothing(pa.string(), n), nothing(pa.string(), t)), "term": (nothing(pa.string(), n), pa.array(list(total), pa.string())),
+                "n": (nothing(pa.float64(), n), pa.array(list(total.values()), pa.float64())), "protected": (nothing(pa.int64(), n), pa.array([protected[w] for w in total], pa.int64())), "found": (pa.array(rows, _FOUND), nothing(_FOUND, t)),
+            }
+            for part in (0, 1):
+                yield pa.RecordBatch.from_arrays([c[part] for c in columns.values()], names=list(columns))
+
+    return scan
 
 
 def disclosure(counts: DataFrame) -> DataFrame:
-    """term, bits of each term from its counts (surface, n: occurrences, a: in protected slots)."""
-    terms = counts.groupBy(F.col("surface").alias("term")).agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    base = counts.agg((F.sum("a") / F.sum("n")).alias("r")).first()["r"] or 1e-9
+    """term, bits of each term from its counts (term, n: occurrences, protected: in protected slots)."""
+    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("protected").alias("a"))
+    base = counts.agg((F.sum("protected") / F.sum("n")).alias("r")).first()["r"] or 1e-9
     rate = (F.col("a") + PRIOR * base) / (F.col("n") + PRIOR)
     return terms.select("term", F.log2(rate / base).alias("bits"))
 
 
-def _names_in(run: str, slot: str, bits: dict[str, float]) -> list[str]:
-    """The names within a run, given the bits of its terms."""
+def _names_in(run: str, slot: str, judged: dict[str, str]) -> list[tuple[int, int]]:
+    """Where the names within a run stand, given which of its terms reveal a person (+) or are ordinary (-)."""
     pieces = [(m[0], m.start(), m.end()) for m in _PIECE.finditer(run)]
-    if slot == "s" and any(p.lower() in _ORGANISATION for p, _, _ in pieces):
+    if slot != "p" and any(p.lower() in _ORGANISATION for p, _, _ in pieces):
         return []
-    least = {"p": ORDINARY, "s": ORDINARY}.get(slot, REVEALS)
     kinds = []
     for p, _, _ in pieces:
         if len(p) == 2 and p[1] == ".":
@@ -408,7 +469,8 @@ def _names_in(run: str, slot: str, bits: dict[str, float]) -> list[str]:
         elif all(w in _PARTICLES for w in p.lower().split()):
             kinds.append("d")
         else:
-            kinds.append("w" if bits.get(term_of(p), 0.0) >= least and p.lower() not in _SKIP else "x")
+            said = judged.get(term_of(p))
+            kinds.append("w" if (said == "+" or slot != "n" and said != "-") and p.lower() not in _SKIP else "x")
     out, i = [], 0
     while i < len(pieces):
         if kinds[i] == "x":
@@ -421,64 +483,124 @@ def _names_in(run: str, slot: str, bits: dict[str, float]) -> list[str]:
         while b > a and kinds[b - 1] != "w":
             b -= 1
         if "w" in kinds[a:b]:
-            out.append(run[pieces[a][1] : pieces[b - 1][2]])
+            out.append((pieces[a][1], pieces[b - 1][2]))
         i = j
     return out
 
 
-def _split_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield f.assign(term=[[term_of(p) for p in _PIECE.findall(s)] for s in f["surface"]]).explode("term").dropna()
-
-
-def _judge_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = []
-        for run, slot, terms, bits in zip(f["surface"], f["kind"], f["terms"], f["bits"], strict=True):
-            for name in _names_in(run, slot, dict(zip(terms, bits, strict=True))):
-                rows.append((run, slot, name))
-        yield pd.DataFrame(rows, columns=["surface", "kind", "name"])
+_loaded: dict[str, dict[str, str]] = {}
+
+
+def _block(path: str) -> dict[str, str]:
+    """The judged terms in a file, the last one of each worker kept."""
+    if path not in _loaded:
+        system, at = filesystem(path)
+        with system.open_input_file(at) as f:
+            rows = pq.read_table(f, columns=["term", "sign"])
+        _loaded.clear()
+        _loaded[path] = dict(zip(rows["term"].to_pylist(), rows["sign"].to_pylist(), strict=True))
+    return _loaded[path]
+
+
+class _Judge:
+    """Judges runs by the disclosure of their terms, kept in blocks of files."""
+
+    def __init__(self, blocks: list[str]):
+        self.blocks, self.known = blocks, {}
+
+    def spans(self, documents: list[list[dict]]) -> list[list[tuple[str, int, int, str]]]:
+        """(kind, start, end, surface) of all that is personal in each document, given what was found in it and its runs."""
+        wanted = {(x["kind"], x["surface"]) for found in documents for x in found if len(x["kind"]) == 1} - self.known.keys()
+        if len(self.known) > 500_000:
+            self.known = {}
+            wanted = {(x["kind"], x["surface"]) for found in documents for x in found if len(x["kind"]) == 1}
+        terms = {run: _terms_of(run) for _, run in wanted}
+        judged: dict[str, str] = {}
+        for path in self.blocks:
+            block = _block(path)
+            judged |= {t: block[t] for own in terms.values() for t in own if t in block}
+        for slot, run in wanted:
+            self.known[slot, run] = [(a, b, _one_line(run[a:b])) for a, b in _names_in(run, slot, judged)]
+        out = []
+        for found in documents:
+            own, whole = [], []
+            for x in found:
+                if len(x["kind"]) > 1:
+                    own.append((x["kind"], x["a"], x["b"], x["surface"]))
+                    continue
+                names = self.known[x["kind"], x["surface"]]
+                own += [("name", x["a"] + a, x["a"] + b, surface) for a, b, surface in names]
+                if not names:
+                    whole.append((x, _one_line(x["surface"])))
+            # what is a name at one place of a document is one wherever it stands alone there
+            surfaces = {surface for kind, _, _, surface in own if kind == "name"}
+            own += [("name", x["a"], x["b"], surface) for x, surface in whole if surface in surfaces]
+            out.append(own)
+        return out
+
+
+def _scanned(documents: DataFrame, keep_text: bool) -> tuple[DataFrame, list[str]]:
+    """The documents with what was found in them, written down, and the files of judged terms."""
+    key = documents.schema["doc_id"].dataType.simpleString()
+    rows = materialize(documents.select("doc_id", "text").mapInArrow(_scan(keep_text), _ROWS.format(key=key)), "personal")
+    bits = disclosure(rows.where("term is not null"))
+    judged = materialize(bits.select("term", F.when(F.col("bits") >= REVEALS, "+").when(F.col("bits") < ORDINARY, "-").alias("sign")).where("sign is not null"), "disclosure")
+    blocks = -(-judged.count() // BLOCK_TERMS)
+    if blocks:
+        judged = materialize(judged.repartition(blocks, "term"), "terms")
+    return rows.where("found is not null"), judged.inputFiles() if blocks else []
 
 
 def find_personal(documents: DataFrame) -> DataFrame:
-    """Each distinct piece of personal information: doc_id, kind, surface.
+    """Each piece of personal information at each place: doc_id, kind, surface, start, end (characters of the text).
 
     ``documents``: doc_id, text; other columns are ignored. Kinds are name, address, email, phone, id_number;
-    white space in a surface is one blank. Texts are read whole; null and empty ones give
+    white space in a surface is one blank. Texts are read whole; null and empty ones and rows without doc_id give
     nothing; copies of a text give the same rows under each doc_id. Terms are judged by counts over all
-    documents: runs of words are reduced to distinct ones, which are judged once and joined back.
+    documents. Labels and cues are looked for among the words before and after a place, of any length.
     """
-    rows = materialize(documents.select("doc_id", "text").mapInArrow(_scan, _ROWS), "personal")
-    found = rows.where("what = 'f'").select("doc_id", "kind", "surface")
-    bits = materialize(disclosure(rows.where("what = 't'")), "terms")
-    runs = rows.where("what = 'r'").select("doc_id", "kind", "surface")
-    distinct = runs.select("surface", "kind").distinct()
-    words = distinct.mapInPandas(_split_runs, "surface string, kind string, term string")
-    known = lookup_join(words, bits, ["term"], "left", salt_by=["surface"]).groupBy("surface", "kind").agg(F.collect_list("term").alias("terms"), F.collect_list(F.coalesce("bits", F.lit(0.0))).alias("bits"))
-    names = materialize(known.mapInPandas(_judge_runs, "surface string, kind string, name string"), "names")
-    hits = lookup_join(runs, names, ["surface", "kind"], salt_by=["doc_id"]).select("doc_id", F.lit("name").alias("kind"), F.col("name").alias("surface"))
-    return found.unionByName(hits).distinct()
-
-
-def placeholders(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text with every surface replaced by its kind in brackets, such as [NAME]; longer surfaces first.
-
-    Documents without findings, null texts among them, stay as they are.
+    rows, blocks = _scanned(documents, False)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges = _Judge(blocks)
+        for batch in batches:
+            spans = judges.spans(batch.column(1).to_pylist())
+            owner = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+            flat = [x for own in spans for x in own]
+            columns = list(zip(*flat, strict=True)) if flat else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *[pa.array(columns[i], kind) for i, kind in ((0, pa.string()), (3, pa.string()), (1, pa.int32()), (2, pa.int32()))]], names=["doc_id", "kind", "surface", "start", "end"])
+
+    key = documents.schema["doc_id"].dataType.simpleString()
+    return rows.where("doc_id is not null").select("doc_id", "found").mapInArrow(judge, f"doc_id {key}, kind string, surface string, start int, end int")
+
+
+def clean(documents: DataFrame) -> DataFrame:
+    """doc_id, text with each place of personal information (see :func:`find_personal`) replaced by its kind in brackets, such as [NAME].
+
+    Only these places are touched: the same words in a citation or a company's name stay. Rows without doc_id are cleaned too; null and empty texts
+    stay as they are. Texts are written once beside what was found in them and never shuffled.
     """
+    rows, blocks = _scanned(documents, True)
 
-    def replace(text: str | None, kinds: list | None) -> str | None:
-        if not text or not kinds:
-            return text
-        by = {}
-        for x in kinds:
-            by.setdefault(x["surface"], x["kind"])
-        whole = "|".join(r"\s+".join(map(re.escape, s.split(" "))) for s in sorted(by, key=len, reverse=True))
-        return re.sub(rf"(?<!\w)(?:{whole})(?!\w)", lambda m: f"[{by[_one_line(m[0])].upper()}]", text)
-
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([replace(t, None if k is None else [{"kind": x["kind"], "surface": x["surface"]} for x in k]) for t, k in zip(texts, kinds, strict=True)])
-
-    per = found.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "surface")).alias("findings"))
-    joined = documents.select("doc_id", "text").join(per, "doc_id", "left")
-    return joined.select("doc_id", replaced("text", "findings").alias("text"))
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges = _Judge(blocks)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            out = [_replaced(t, own) for t, own in zip(texts, judges.spans(batch.column(2).to_pylist()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    key = documents.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "text", "found").mapInArrow(replace, f"doc_id {key}, text string")
+
+
+def _replaced(text: str | None, spans: list[tuple[str, int, int, str]]) -> str | None:
+    if not spans:
+        return text
+    out, at = [], 0
+    for kind, a, b, _ in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        elif b > at:
+            out.append(f"[{kind.upper()}]")  # overlaps what is replaced already; its rest goes too
+        at = max(at, b)
+    return "".join(out) + text[at:]

@@ -46,13 +46,12 @@ def p7_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return privacy.find_personal(_table(spark, folder, "documents"))
+    return privacy.find_personal(_table(spark, folder, "documents")).select("doc_id", "kind", "surface").distinct()
 
 
 def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The texts with typed placeholders."""
-    documents = _table(spark, folder, "documents")
-    return privacy.placeholders(documents, privacy.find_personal(documents))
+    return privacy.clean(_table(spark, folder, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p6_packed, p6_fill, p7_found, p7_report, p7_clean, p8_found, p8_clean)}

@@ -38,15 +38,22 @@ def found(documents):
 def test_found(found):
     got = {}
     for r in found.collect():
-        got.setdefault(r["doc_id"], set()).add((r["kind"], r["surface"]))
+        got.setdefault(r["doc_id"], set()).add((r["kind"], r["surface"]))  # at each place
     for doc, wanted in WANTED.items():
         assert got.get(doc, set()) == wanted
     assert set(got) == {d for d, w in WANTED.items() if w}
 
 
-def test_placeholders(documents, found):
-    texts = {r["doc_id"]: r["text"] for r in privacy.placeholders(documents.where("doc_id is not null"), found).collect()}
-    assert len(texts) == 47 and texts[5] is None and texts[6] == "" and texts[3] == TEXTS[3] and texts[7] == BODY
+def test_places(documents, found):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in found.collect():
+        assert " ".join(texts[r["doc_id"]][r["start"] : r["end"]].split()) == r["surface"]
+
+
+def test_placeholders(documents):
+    texts = {r["doc_id"]: r["text"] for r in privacy.clean(documents).collect()}
+    assert len(texts) == 48 and documents.count() == 48 and texts[None] != TEXTS[1]
+    assert texts[5] is None and texts[6] == "" and texts[3] == TEXTS[3] and texts[7] == BODY
     assert "[NAME] v City of Stenwick" in texts[1] and "Mr [NAME]'s reply" in texts[1] and "[EMAIL]; He used it." in texts[1]
     assert "resides at [ADDRESS]. The court" in texts[2] and "Counsel: [NAME] (instructed by Sedge & Sons)" in texts[2] and "Phone: [PHONE]." in texts[2]
     assert "NRN [ID_NUMBER]. Identity" in texts[4] and "Melpaberg" not in texts[4]
@@ -55,9 +62,49 @@ def test_placeholders(documents, found):
 def test_repeats_long_texts_and_nothing(spark):
     long = BODY * 3000 + "Mr Jorlinano gave evidence."
     docs = spark.createDataFrame([(1, long), (2, long), (2, long)], "doc_id long, text string")
-    assert {tuple(r) for r in privacy.find_personal(docs).collect()} == {(1, "name", "Jorlinano"), (2, "name", "Jorlinano")}
-    assert privacy.find_personal(docs.limit(0)).count() == 0
-    assert privacy.placeholders(docs.limit(0), privacy.find_personal(docs.limit(0))).count() == 0
+    at = len(BODY) * 3000 + 3
+    assert sorted(tuple(r) for r in privacy.find_personal(docs).collect()) == [(d, "name", "Jorlinano", at, at + 9) for d in (1, 2, 2)]
+    assert {r["text"] for r in privacy.clean(docs).collect()} == {long.replace("Jorlinano", "[NAME]")}
+    assert privacy.find_personal(docs.limit(0)).count() == 0 and privacy.clean(docs.limit(0)).count() == 0
+
+
+def test_blocks_of_terms(documents, found, monkeypatch):
+    monkeypatch.setattr(privacy, "BLOCK_TERMS", 3)
+    assert sorted(map(tuple, privacy.find_personal(documents).collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_only_the_places_found_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "Mr Ordell gave evidence. We do not read Ordell v Vintner [1964] 1 MLR 479 so. Ordell Haulage Ltd paid. Ordell\nleft.")] + [(100 + i, BODY) for i in range(40)], "doc_id long, text string")
+    text = privacy.clean(docs).where("doc_id = 1").first()["text"]
+    assert text == "Mr [NAME] gave evidence. We do not read Ordell v Vintner [1964] 1 MLR 479 so. Ordell Haulage Ltd paid. [NAME]\nleft."
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("You can reach her at +44 20 7946 0958 in the evening.", ("phone", "+44 20 7946 0958")),
+        ("He left the number (212) 555-0199 with the clerk.", ("phone", "(212) 555-0199")),
+        ("Her mobile number: 07700 900123.", ("phone", "07700 900123")),
+        ("The claimant gave Social Security 123-45-6789 then.", ("id_number", "123-45-6789")),
+        ("Passport number: 533380006 was shown.", ("id_number", "533380006")),
+        ("She lives at 742 Evergreen Boulevard, Springfield 12345 now.", ("address", "742 Evergreen Boulevard, Springfield 12345")),
+        ("Er wohnt Hauptstr. 5, 10115 Berlin seit Jahren.", ("address", "Hauptstr. 5, 10115 Berlin")),
+        ("Er wohnt Berliner Straße 5, 10115 Berlin seit Jahren.", ("address", "Berliner Straße 5, 10115 Berlin")),
+        ("His driver's license D1234567 had expired.", ("id_number", "D1234567")),
+        ("National Insurance number: QQ123456C was quoted.", ("id_number", "QQ123456C")),
+        (f"Write to {'a' * 100}@letters.example soon.", ("email", "a" * 100 + "@letters.example")),
+        (f"Write to {'a' * 50}.{'b' * 90}+c [at] {'d' * 150}.example soon.", ("email", f"{'a' * 50}.{'b' * 90}+c [at] {'d' * 150}.example")),
+        ("12, avenue de la République, 75011 Paris", ("address", "12, avenue de la République, 75011 Paris")),
+    ],
+)
+def test_forms_beyond_the_tables(text, wanted):
+    found, _ = privacy._plain_matches(text)
+    assert [(kind, text[a:b]) for kind, a, b in found] == [wanted]
+
+
+@pytest.mark.parametrize("text", ["Invoice number: 533380006 was paid.", "The policy 958-052-679 had lapsed.", "See section 742 and 12345.", "The docket 212 555-0199 was closed.", "In 1964 some 123 45 6789 tons were moved."])
+def test_other_numbers(text):
+    assert privacy._plain_matches(text)[0] == []
 
 
 @pytest.mark.parametrize(
@@ -78,4 +125,4 @@ def test_repeats_long_texts_and_nothing(spark):
     ],
 )
 def test_phones_by_form_and_sentence(text, phones):
-    assert {s for kind, s in privacy._plain_matches(text)[0] if kind == "phone"} == phones
+    assert {" ".join(text[a:b].split()) for kind, a, b in privacy._plain_matches(text)[0] if kind == "phone"} == phones
