@@ -52,6 +52,19 @@ def words_of(text: str) -> list[str]:
     return [_plain(t) for t in _TOKEN.findall(text)]
 
 
+class _Numbers(dict):
+    """The number of each corpus token in a vocabulary of plain words, found once; 0 for others."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: str) -> int:
+        n = self.vocabulary.get(_plain(token), 0)
+        if len(self) < 1_000_000:
+            self[token] = n
+        return n
+
+
 class TestIndex:
     """The items of one block as arrays: words numbered by vocabulary, 0 for any other word."""
 
@@ -64,6 +77,7 @@ class TestIndex:
             firsts.append(len(ids))
             ids += [*own, -1]
             owner += [i] * (len(own) + 1)
+        self.numbers = _Numbers(self.vocabulary)
         self.width = max(width, SEED)
         self.ids, self.owner, self.first = np.array(ids, np.int32), np.array(owner, np.int64), np.array(firsts, np.int64)
         self.padded = np.concatenate([self.ids, np.full(self.width, -1, np.int32)])
@@ -73,9 +87,8 @@ class TestIndex:
         self.item_starts = np.searchsorted(self.starts, [*self.first, len(self.ids)])
 
     def number(self, tokens: list[str]) -> np.ndarray:
-        """The plain words of a corpus text as numbers."""
-        get = self.vocabulary.get
-        return np.fromiter((get(t, 0) for t in tokens), np.int32, len(tokens))
+        """The tokens of a corpus text as numbers."""
+        return np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens))
 
 
 def _gram(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -131,6 +144,7 @@ class _Shard:
         self.edges = np.append(np.flatnonzero(edge), len(at))
         self.known = np.concatenate([[0], np.cumsum(words > 0)])
         self.need = int(np.ceil(MIN_SHARE * min_words))  # words of an item that a passage holds at least
+        self.least = MIN_SHARE * min_words - 2 * SEED  # words of these in runs; the others fill gaps
 
     def _holds_passage(self, at: np.ndarray) -> bool:
         """Whether places ``at``, in order, could make a passage by themselves: whether enough words of items stand from the first to the last of some that are close together."""
@@ -177,40 +191,49 @@ class _Shard:
             done = stop
         return np.unique(np.concatenate(out))
 
-    def runs(self, cluster: int, item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All maximal verbatim runs of at least SEED words of a cluster and an item: (position in the shard, position in the items, length)."""
-        own = slice(self.edges[cluster], self.edges[cluster + 1])
-        order = np.argsort(self.gram[own], kind="stable")
-        grams, places = self.gram[own][order], self.at[own][order]
-        mine = slice(self.test.item_starts[item], self.test.item_starts[item + 1])
-        wanted = self.test.gram_of[mine]
-        low, high = np.searchsorted(grams, wanted, "left"), np.searchsorted(grams, wanted, "right")
-        count = high - low
-        q = np.repeat(self.test.starts[mine], count)
-        p = places[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        order = np.lexsort((p, p - q))
-        p, q = p[order], q[order]
-        edge = np.ones(len(p), bool)
-        edge[1:] = (np.diff(p - q) != 0) | (np.diff(p) != 1)
-        first = np.flatnonzero(edge)
-        return p[first], q[first], np.diff(np.append(first, len(p))) + SEED - 1
+    def runs(self, pairs: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Of each pair of cluster and item its maximal verbatim runs of at least SEED words: (pair, [(position in the shard, position in the items, length)])."""
+        test, wide = self.test, len(self.test.grams)
+        code = self.cluster * wide + self.gram
+        order = np.argsort(code, kind="stable")
+        code, places = code[order], self.at[order]
+        first = test.item_starts[pairs % len(test.keys)]
+        sizes = test.item_starts[pairs % len(test.keys) + 1] - first
+        done, total = 0, np.cumsum(sizes)
+        while done < len(pairs):
+            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + STEP_PAIRS, "right")))
+            n = sizes[done:stop]
+            suffix = np.repeat(first[done:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            wanted = np.repeat(pairs[done:stop] // len(test.keys), n) * wide + test.gram_of[suffix]
+            low, high = np.searchsorted(code, wanted, "left"), np.searchsorted(code, wanted, "right")
+            count = high - low
+            pair = np.repeat(np.repeat(np.arange(done, stop), n), count)
+            q = np.repeat(test.starts[suffix], count)
+            p = places[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            order = np.lexsort((p, p - q, pair))
+            pair, p, q = pair[order], p[order], q[order]
+            edge = np.ones(len(p), bool)
+            edge[1:] = (np.diff(pair) != 0) | (np.diff(p - q) != 0) | (np.diff(p) != 1)
+            start = np.flatnonzero(edge)
+            length = np.diff(np.append(start, len(p))) + SEED - 1
+            pair, p, q = pair[start], p[start], q[start]
+            edges = np.append(np.flatnonzero(np.diff(pair, prepend=-1)), len(pair))
+            words = np.add.reduceat(length, edges[:-1]) if len(pair) else length
+            for e in np.flatnonzero(words >= self.least):
+                own = slice(edges[e], edges[e + 1])
+                yield int(pairs[pair[edges[e]]]), list(zip(p[own].tolist(), q[own].tolist(), length[own].tolist(), strict=True))
+            done = stop
 
     def leaks(self, min_words: int) -> list[tuple[int, ...]]:
         """(document, item, words, verbatim, longest run, item start, document start) of each document and item with a passage."""
-        pairs = self.pairs()
-        n = len(self.test.keys)
-        by: dict[tuple[int, int], list[int]] = {}
-        for pair in pairs.tolist():
-            by.setdefault((int(self.doc[self.edges[pair // n]]), pair % n), []).append(pair // n)
-        out = []
-        for (doc, item), clusters in by.items():
-            p, q, length = (np.concatenate(x) for x in zip(*[self.runs(c, item) for c in clusters], strict=True))
-            start, first = self.starts[doc], self.test.first[item]
-            hit = _passages(list(zip((p - start).tolist(), (q - first).tolist(), length.tolist(), strict=True)), min_words, self.test.ids[first:], self.texts[doc])
-            if hit:
-                span, verbatim, item_start, doc_start, longest = hit
-                out.append((doc, item, span, verbatim, longest, item_start, doc_start))
-        return out
+        n, best = len(self.test.keys), {}
+        for pair, runs in self.runs(self.pairs()):
+            doc, item = int(self.doc[self.edges[pair // n]]), pair % n
+            start, first = int(self.starts[doc]), int(self.test.first[item])
+            hit = _passages([(p - start, q - first, length) for p, q, length in runs], min_words, self.test.ids[first:], self.texts[doc])
+            if hit and hit[0] > best.get((doc, item), (0,))[0]:
+                best[doc, item] = hit
+        return [(*key, span, verbatim, longest, item_start, doc_start) for key, (span, verbatim, item_start, doc_start, longest) in best.items()]
 
 
 def _filled(item: list[int], corpus: list[int]) -> int | None:
@@ -292,22 +315,13 @@ def _index(path: str, width: int) -> TestIndex:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[list[str]]]]:
-    """Batches, with the words of their texts (column 1), together of about SHARD_WORDS words."""
-    known: dict[str, str] = {}
+    """Batches, with the tokens of their texts (column 1), together of about SHARD_WORDS."""
     held, tokens, n = [], [], 0
     for batch in batches:
         held.append(batch)
         for text in batch.column(1).to_pylist():
-            own = []
-            for t in _TOKEN.findall(text or ""):
-                w = known.get(t)
-                if w is None:
-                    w = _plain(t)
-                    if len(known) < 1_000_000:
-                        known[t] = w
-                own.append(w)
-            tokens.append(own)
-            n += len(own)
+            tokens.append(_TOKEN.findall(text or ""))
+            n += len(tokens[-1])
         if n >= SHARD_WORDS:
             yield held, tokens
             held, tokens, n = [], [], 0

@@ -38,10 +38,8 @@ def test_runs_equal_brute_force():
     tokens = rng.choices([*words, "zz"], k=300)
     doc = test.number(tokens)
     s = shard(test, [tokens])
-    got = set()
-    for c in range(len(s.edges) - 1):
-        for i in range(4):
-            got |= set(zip(*(x.tolist() for x in s.runs(c, i)), strict=True))
+    s.least = 0
+    got = {r for _, runs in s.runs(np.arange((len(s.edges) - 1) * 4)) for r in runs}
     wanted = set()
     for i in range(len(doc)):
         for j in range(len(test.ids)):
@@ -75,11 +73,9 @@ def test_common_openings_pair_nothing_and_rare_words_find_all():
     texts += [[w if rng.random() > 0.05 else "other" for w in t.split()] for _, t in items]
     s = shard(leakage.TestIndex(items), texts)
     every = {}
-    for c in range(len(s.edges) - 1):
-        for i in range(60):
-            p, q, n = s.runs(c, i)
-            own = every.setdefault((int(s.doc[s.edges[c]]), i), [])
-            own += zip((p - s.starts[s.doc[s.edges[c]]]).tolist(), (q - s.test.first[i]).tolist(), n.tolist(), strict=True)
+    for pair, runs in s.runs(np.arange((len(s.edges) - 1) * 60)):
+        doc, i = int(s.doc[s.edges[pair // 60]]), pair % 60
+        every.setdefault((doc, i), []).extend((p - int(s.starts[doc]), q - int(s.test.first[i]), n) for p, q, n in runs)
     wanted = {(d, i) for (d, i), runs in every.items() if leakage._passages(runs, 18, s.test.ids[s.test.first[i] :], s.texts[d])}
     assert {(d, i) for d, i, *_ in s.leaks(18)} == wanted and len(wanted) > 50
 
