@@ -165,10 +165,9 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """For each snapshot with snapshots below it: how many, and how far down the last is."""
-    paths = hierarchy.hierarchy_paths(Catalogue(spark, folder).table("snapshots"), "snapshot_id", "parent_snapshot_id", ["table_uuid", "timestamp_ms"])
-    pairs = hierarchy.descendant_pairs(paths)
-    return pairs.groupBy(F.col("id").alias("snapshot_id")).agg(F.count(F.lit(1)).alias("descendants"), F.max("distance").cast("int").alias("height"))
+    """For each snapshot with snapshots below it: how many, from the interval that holds them."""
+    found = hierarchy.nested_intervals(Catalogue(spark, folder).table("snapshots"), "snapshot_id", "parent_snapshot_id", ["table_uuid", "timestamp_ms"])
+    return found.where("descendants > 0").select(F.col("id").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "descendants")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_files, p2_found, p2_report, p3_found, p3_run, p4_found, p4_statistics, p4_profile, p4_drift, p5_found, p5_paths, p5_descendants)}

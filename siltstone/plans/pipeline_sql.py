@@ -91,6 +91,6 @@ ring AS (SELECT origin AS id, min(here) AS least FROM walk WHERE origin IN (SELE
 SELECT id AS snapshot_id, root AS root_snapshot_id, depth AS link_depth FROM down UNION ALL SELECT f.origin, r.least, -1 FROM far f JOIN ring r ON r.id = f.here""",
     "p5_paths": _WALK + "SELECT id AS snapshot_id, path FROM down",
     "p5_descendants": _WALK
-    + """, pairs AS (SELECT id, parent AS above, 1 AS distance FROM link WHERE parent IS NOT NULL AND id IN (SELECT id FROM down) UNION ALL SELECT p.id, l.parent, p.distance + 1 FROM pairs p JOIN link l ON l.id = p.above WHERE l.parent IS NOT NULL)
-SELECT above AS snapshot_id, count(*) AS descendants, max(distance)::int AS height FROM pairs GROUP BY 1""",
+    + """, pairs AS (SELECT id, parent AS above FROM link WHERE parent IS NOT NULL AND id IN (SELECT id FROM down) UNION ALL SELECT p.id, l.parent FROM pairs p JOIN link l ON l.id = p.above WHERE l.parent IS NOT NULL)
+SELECT above AS snapshot_id, any_value(root) AS root_snapshot_id, count(*) AS descendants FROM pairs JOIN down ON down.id = above GROUP BY 1""",
 }
