@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,7 +84,9 @@ _ID_LABEL = re.compile(
 )
 #: A number of any other form, after a label that says it is one of identity.
 _ID_ANY = re.compile(r"(?=(?:[A-Z./-]*\d){5})[A-Z]{0,5}\d[A-Z\d]*(?:[./-][A-Z\d]+)*(?![^\W_])")
-_LABELLED_ID = re.compile(_ID_LABEL.pattern.removesuffix("$"))
+_MANY_DIGITS = re.compile(r"\d(?:[A-Z./-]*\d){4}")
+#: The last words of these labels.
+_ID_LAST = frozenset("nrn ssn tin nino no nr number numéro n° card id steuer-id personenkennzahl ausweis reisepass personalausweis führerschein passport licence license identification register insurance security sociale fiscal national passeport conduire identité d'identité d’identité sozialversicherungsnummer steuernummer".split())
 _PHONE = re.compile(r"\+\d{1,3}(?:[\s./-]\(?\d{2,7}\)?){2,5}|\(0\d{2,4}\)[\s-]?\d{2,4}(?:[\s-]?\d{2,4}){1,3}|00\d{1,3}(?:[\s/.-]\d{2,7}){2,4}|0\d{2,4}(?:[\s/-]\d{2,6}){1,3}|0\d{8,10}|\(\d{3}\)\s?\d{3}[-.\s]\d{4}(?!\d)|(?:\(555\)\s?)?555-\d{4}")
 #: What says of a number right after it that it is a phone number; others are told by their form, unless their sentence speaks of other numbers.
 _PHONE_CUE = re.compile(r"(?:t[eé]l(?:ephone|efon|éphone)?\.?(?:\s*(?:no|Nr)\.?)?\s*:?|[Pp]hone\s*:?|[Mm]obile?\s*:?|[Cc]all(?:er)?\b[^.;]{0,30}?|\bused|\bunder|\bunter|\bau|\bvon|\bvenait\s+du|\bnuméro|\breached\s+(?:at|on|under)|\bAnruf\w*)\s*$", re.IGNORECASE)
@@ -196,11 +199,14 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[in
         if 1 <= m.start() - a <= 5 and not text[a - 1 : a].isalnum() and _ID_LABEL.search(text, _back(text, a, 6), a):
             taken.append((a, m.end()))
             found.append(("id_number", a, m.end()))
-    for m in _LABELLED_ID.finditer(text):
-        number = _ID_ANY.match(text, m.end())
-        if number and not any(a < number.end() and number.start() < b for a, b in taken):
-            taken.append(number.span())
-            found.append(("id_number", *number.span()))
+    for m in _MANY_DIGITS.finditer(text):
+        a = m.start()
+        while a and (text[a - 1] in "./-" or text[a - 1].isalnum()):
+            a -= 1
+        if text[_back(text, a, 1) : a].strip(" \n\t:.").lower() in _ID_LAST and (number := _ID_ANY.match(text, a)) and _ID_LABEL.search(text, _back(text, a, 6), a):
+            if not any(x < number.end() and a < y for x, y in taken):
+                taken.append(number.span())
+                found.append(("id_number", *number.span()))
     for pattern in (_ADDRESS, _HOUSE):
         for m in pattern.finditer(text):
             start = m.start()
@@ -416,32 +422,39 @@ def _scan(keep_text: bool):
         terms: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             total, protected = Counter(), Counter()
-            texts, rows = batch.column(1).to_pylist(), []
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                found: list[dict] = []
-                rows.append(found)
-                if not text or (doc is None and not keep_text):
-                    continue
-                plain, taken = _plain_matches(text)
-                found += [{"kind": kind, "a": a, "b": b, "surface": _one_line(text[a:b])} for kind, a, b in plain]
-                for a, b, slot in _runs(text, taken):
-                    run = text[a:b]
-                    words = terms.get(run)
-                    if words is None:
-                        words = _terms_of(run)
-                        if len(terms) < 500_000:
-                            terms[run] = words
-                    if words:
-                        found.append({"kind": slot, "a": a, "b": b, "surface": run})
-                        for w in words:
-                            total[w] += SIDE_WEIGHT if slot == "s" else 1
-                            if slot == "p":
-                                protected[w] += 1
+            total, protected = Counter(), Counter()
+            kinds, starts, ends, surfaces, offsets = [], [], [], [], [0]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text and (doc is not None or keep_text):
+                    plain, taken = _plain_matches(text)
+                    for kind, a, b in plain:
+                        kinds.append(kind)
+                        starts.append(a)
+                        ends.append(b)
+                        surfaces.append(_one_line(text[a:b]))
+                    for a, b, slot in _runs(text, taken):
+                        run = text[a:b]
+                        words = terms.get(run)
+                        if words is None:
+                            words = _terms_of(run)
+                            if len(terms) < 500_000:
+                                terms[run] = words
+                        if words:
+                            kinds.append(slot)
+                            starts.append(a)
+                            ends.append(b)
+                            surfaces.append(run)
+                            for w in words:
+                                total[w] += SIDE_WEIGHT if slot == "s" else 1
+                                if slot == "p":
+                                    protected[w] += 1
+                offsets.append(len(kinds))
             n, t = batch.num_rows, len(total)
-            nothing = lambda kind, n: pa.nulls(n, kind)
+            found = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())], fields=list(_FOUND.value_type))
             columns = {
-                "doc_id": (batch.column(0), nothing(batch.column(0).type, t)), "text": (batch.column(1) if keep_text else nothing(pa.string(), n), nothing(pa.string(), t)), "term": (nothing(pa.string(), n), pa.array(list(total), pa.string())),
-                "n": (nothing(pa.float64(), n), pa.array(list(total.values()), pa.float64())), "protected": (nothing(pa.int64(), n), pa.array([protected[w] for w in total], pa.int64())), "found": (pa.array(rows, _FOUND), nothing(_FOUND, t)),
+                "doc_id": (batch.column(0), pa.nulls(t, batch.column(0).type)), "text": (batch.column(1) if keep_text else pa.nulls(n, pa.string()), pa.nulls(t, pa.string())), "term": (pa.nulls(n, pa.string()), pa.array(list(total), pa.string())),
+                "n": (pa.nulls(n, pa.float64()), pa.array(list(total.values()), pa.float64())), "protected": (pa.nulls(n, pa.int64()), pa.array([protected[w] for w in total], pa.int64())),
+                "found": (pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found, type=_FOUND), pa.nulls(t, _FOUND)),
             }
             for part in (0, 1):
                 yield pa.RecordBatch.from_arrays([c[part] for c in columns.values()], names=list(columns))
@@ -506,37 +519,58 @@ class _Judge:
     """Judges runs by the disclosure of their terms, kept in blocks of files."""
 
     def __init__(self, blocks: list[str]):
-        self.blocks, self.known = blocks, {}
+        self.blocks = blocks
+        self.known: dict[tuple[str, str], list[tuple[int, int, str]]] = {}
 
-    def spans(self, documents: list[list[dict]]) -> list[list[tuple[str, int, int, str]]]:
-        """(kind, start, end, surface) of all that is personal in each document, given what was found in it and its runs."""
-        wanted = {(x["kind"], x["surface"]) for found in documents for x in found if len(x["kind"]) == 1} - self.known.keys()
+    def _learn(self, runs: list[tuple[str, str]]) -> None:
+        """The names within each (slot, run) not judged yet."""
         if len(self.known) > 500_000:
             self.known = {}
-            wanted = {(x["kind"], x["surface"]) for found in documents for x in found if len(x["kind"]) == 1}
-        terms = {run: _terms_of(run) for _, run in wanted}
+        wanted = [x for x in runs if x not in self.known]
+        terms = {t for _, run in wanted for t in _terms_of(run)}
         judged: dict[str, str] = {}
         for path in self.blocks:
             block = _block(path)
-            judged |= {t: block[t] for own in terms.values() for t in own if t in block}
+            judged |= {t: block[t] for t in terms if t in block}
         for slot, run in wanted:
             self.known[slot, run] = [(a, b, _one_line(run[a:b])) for a, b in _names_in(run, slot, judged)]
-        out = []
-        for found in documents:
-            own, whole = [], []
-            for x in found:
-                if len(x["kind"]) > 1:
-                    own.append((x["kind"], x["a"], x["b"], x["surface"]))
-                    continue
-                names = self.known[x["kind"], x["surface"]]
-                own += [("name", x["a"] + a, x["a"] + b, surface) for a, b, surface in names]
-                if not names:
-                    whole.append((x, _one_line(x["surface"])))
-            # what is a name at one place of a document is one wherever it stands alone there
-            surfaces = {surface for kind, _, _, surface in own if kind == "name"}
-            own += [("name", x["a"], x["b"], surface) for x, surface in whole if surface in surfaces]
-            out.append(own)
-        return out
+
+    def spans(self, column: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, list[str]]:
+        """All that is personal in the documents of a batch, given what was found in each and its runs: (document, kind, start, end, surface), by document."""
+        cells = column.flatten()
+        owner = pc.list_parent_indices(column).to_numpy()
+        kinds, surfaces = (cells.field(f).dictionary_encode() for f in (0, 3))
+        start, end = (cells.field(f).to_numpy() for f in (1, 2))
+        names, words = kinds.dictionary.to_pylist(), surfaces.dictionary.to_pylist()
+        # each combination of kind and surface once
+        code, place = np.unique(kinds.indices.to_numpy().astype(np.int64) * max(1, len(words)) + surfaces.indices.to_numpy(), return_inverse=True)
+        each = [(names[c // len(words)], words[c % len(words)]) for c in code.tolist()]
+        self._learn([x for x in each if len(x[0]) == 1])
+        inside = [self.known[x] if len(x[0]) == 1 else [(0, -1, x[1])] for x in each]
+        count = np.array([len(x) for x in inside], np.int64)
+        flat = [(("name" if len(x[0]) == 1 else x[0]), *y) for x, ys in zip(each, inside, strict=True) for y in ys]
+        first = np.cumsum(count) - count
+        own = count[place]
+        at = np.repeat(np.arange(len(place)), own)
+        which = np.repeat(first[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        a, b = (np.array([f[i] for f in flat], np.int64) for i in (1, 2)) if flat else (np.empty(0, np.int64),) * 2
+        doc, low = owner[at], start[at] + a[which]
+        high = np.where(b[which] < 0, end[at], start[at] + b[which])
+        kind, surface = [flat[i][0] for i in which.tolist()], [flat[i][3] for i in which.tolist()]
+        # what is a name at one place of a document is one wherever it stands alone there
+        named = {f[3] for f in flat if f[0] == "name"}
+        alone = np.array([len(x[0]) == 1 and not ys and _one_line(x[1]) in named for x, ys in zip(each, inside, strict=True)], bool)
+        if alone.any():
+            known = {(d, s) for d, k, s in zip(doc.tolist(), kind, surface, strict=True) if k == "name"}
+            more = [(int(owner[i]), int(start[i]), int(end[i]), s) for i in np.flatnonzero(alone[place]).tolist() if (int(owner[i]), s := _one_line(each[place[i]][1])) in known]
+            if more:
+                d, x, y, s = zip(*more, strict=True)
+                doc, low, high = np.append(doc, d), np.append(low, x), np.append(high, y)
+                kind, surface = kind + ["name"] * len(more), surface + list(s)
+                order = np.argsort(doc, kind="stable")
+                doc, low, high = doc[order], low[order], high[order]
+                kind, surface = [kind[i] for i in order.tolist()], [surface[i] for i in order.tolist()]
+        return doc, kind, low, high, surface
 
 
 def _scanned(documents: DataFrame, keep_text: bool) -> tuple[DataFrame, list[str]]:
@@ -564,11 +598,8 @@ def find_personal(documents: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judges = _Judge(blocks)
         for batch in batches:
-            spans = judges.spans(batch.column(1).to_pylist())
-            owner = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-            flat = [x for own in spans for x in own]
-            columns = list(zip(*flat, strict=True)) if flat else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *[pa.array(columns[i], kind) for i, kind in ((0, pa.string()), (3, pa.string()), (1, pa.int32()), (2, pa.int32()))]], names=["doc_id", "kind", "surface", "start", "end"])
+            doc, kind, low, high, surface = judges.spans(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(kind, pa.string()), pa.array(surface, pa.string()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["doc_id", "kind", "surface", "start", "end"])
 
     key = documents.schema["doc_id"].dataType.simpleString()
     return rows.where("doc_id is not null").select("doc_id", "found").mapInArrow(judge, f"doc_id {key}, kind string, surface string, start int, end int")
@@ -586,18 +617,20 @@ def clean(documents: DataFrame) -> DataFrame:
         judges = _Judge(blocks)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            out = [_replaced(t, own) for t, own in zip(texts, judges.spans(batch.column(2).to_pylist()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+            doc, kind, low, high, _ = judges.spans(batch.column(2))
+            edges = np.searchsorted(doc, np.arange(len(texts) + 1))
+            for i in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[i], edges[i + 1])
+                texts[i] = _replaced(texts[i], list(zip(low[own].tolist(), high[own].tolist(), kind[own], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     key = documents.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "text", "found").mapInArrow(replace, f"doc_id {key}, text string")
 
 
-def _replaced(text: str | None, spans: list[tuple[str, int, int, str]]) -> str | None:
-    if not spans:
-        return text
+def _replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for kind, a, b, _ in sorted(spans, key=lambda x: (x[1], -x[2])):
+    for a, b, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
         elif b > at:
