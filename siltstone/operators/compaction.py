@@ -27,6 +27,8 @@ SMALL_BYTES = 16 * 1024 * 1024
 MIN_FILES = 4
 TARGET_BYTES = 128 * 1024 * 1024
 
+#: Bytes of blocks one task reads back.
+_READ_BYTES = 32 * 1024 * 1024
 #: Hash buckets of a partition's members while they are placed; a partition that holds most of them is spread over so many tasks.
 _BUCKETS = 16
 
@@ -242,13 +244,25 @@ def read_members(index: DataFrame, verify: bool = True) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpress = zstandard.ZstdDecompressor()
+        names, records = [], []
         for m, packed in _members(frames, verify):
             lines = unpress.decompress(packed, max_output_size=m.raw_length).decode().removesuffix("\n").split("\n")  # splitlines would also split at U+2028 and U+0085 within a record
-            yield pd.DataFrame({"table_uuid": m.table_uuid, "file_path": m.file_path, "record": lines})
+            names += [(m.table_uuid, m.file_path)] * len(lines)
+            records += lines
+            if len(records) >= 10_000:
+                yield pd.DataFrame(names, columns=["table_uuid", "file_path"]).assign(record=records)
+                names, records = [], []
+        if records:
+            yield pd.DataFrame(names, columns=["table_uuid", "file_path"]).assign(record=records)
 
     rows = index.select("block_path", "offset", "table_uuid", "file_path", "length", "raw_length", "sha256").where("length > 0")
-    rows = rows.repartition("block_path").sortWithinPartitions("block_path", "offset")
-    return rows.mapInPandas(read, "table_uuid string, file_path string, record string")
+    return _in_ranges(rows).mapInPandas(read, "table_uuid string, file_path string, record string")
+
+
+def _in_ranges(index: DataFrame) -> DataFrame:
+    """Rows of an index in order of blocks and offsets, in tasks of about _READ_BYTES of the blocks; the rows themselves say nothing of what there is to read."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return index.repartitionByRange(task_count(index.sparkSession, total, _READ_BYTES), "block_path", "offset").sortWithinPartitions("block_path", "offset")
 
 
 def list_files(spark: SparkSession, source: str) -> DataFrame:
@@ -311,11 +325,18 @@ def read_files(index: DataFrame) -> DataFrame:
     """The bytes of all packed files: file_path, content. Blocks are read in parallel; damaged ones raise ``ValueError``."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, contents, held = [], [], 0
         for m, content in _members(frames):
-            yield pd.DataFrame({"file_path": [m.file_path], "content": [content]})
-
-    rows = index.select("block_path", "offset", "file_path", "length", "sha256")
-    return rows.repartition("block_path").sortWithinPartitions("block_path", "offset").mapInPandas(read, "file_path string, content binary")
+            names.append(m.file_path)
+            contents.append(content)
+            held += len(content)
+            if held >= 1 << 22 or len(names) >= 10_000:
+                yield pd.DataFrame({"file_path": names, "content": contents})
+                names, contents, held = [], [], 0
+        if names:
+            yield pd.DataFrame({"file_path": names, "content": contents})
+
+    return _in_ranges(index.select("block_path", "offset", "file_path", "length", "sha256")).mapInPandas(read, "file_path string, content binary")
 
 
 def read_file(index: DataFrame, file_path: str) -> bytes:
