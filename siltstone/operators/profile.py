@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.columns import bound_number, bound_text, epoch_millis, matches_whole
@@ -137,6 +138,21 @@ def profile_columns(df: DataFrame, columns: Sequence[str], patterns: dict[str, s
     return full.select("column", "rows", "nulls", F.when(F.col("rows") > 0, F.col("nulls") / F.col("rows")).alias("null_rate"), "distinct_values", "min_value", "max_value", "top_count", "pattern_violations")
 
 
+def period_shares(df: DataFrame, period: Column, columns: Sequence[str], patterns: dict[str, str] | None = None) -> DataFrame:
+    """Per period and column the exact shares of nulls and of values off the column's pattern: period, column, rows, null_share, bad_share, and by how much they differ from the period with rows before (null for the first).
+
+    ``period`` is a whole number; rows where it is null are left out. Rows are counted per task before the shuffle. An empty table gives no rows.
+    """
+    patterns = patterns or {}
+    own = df.withColumn("__period", period.cast("long")).where("__period is not null")
+    bad = lambda c: F.count_if(~F.col(c).cast("string").rlike(rf"\A(?:{patterns[c]})\z")) if c in patterns else F.lit(0).cast("long")
+    counts = own.groupBy("__period").agg(F.count(F.lit(1)).alias("__rows"), *[x for i, c in enumerate(columns) for x in (F.count_if(F.col(c).isNull()).alias(f"__n{i}"), bad(c).alias(f"__b{i}"))])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__n{i}").alias("n"), F.col(f"__b{i}").alias("b")) for i, c in enumerate(columns)]))
+    rows = counts.select(F.col("__period").alias("period"), F.col("__rows").alias("rows"), cells.alias("x")).select("period", "x.column", "rows", (F.col("x.n") / F.col("rows")).alias("null_share"), (F.col("x.b") / F.col("rows")).alias("bad_share"))
+    before = Window.partitionBy("column").orderBy("period")  # a row per period
+    return rows.select("*", (F.col("null_share") - F.lag("null_share").over(before)).alias("null_change"), (F.col("bad_share") - F.lag("bad_share").over(before)).alias("bad_change"))
+
+
 def time_feature(value: Column, loaded_at: Column) -> Column:
     """What of an epoch time can be compared between loads: its number of digits (the unit) and the magnitude of its distance from ``loaded_at``; null stays null.
 
@@ -174,11 +190,12 @@ def _logits(w: np.ndarray, cells: list[np.ndarray], bins: int) -> np.ndarray:
     return z
 
 
-def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], columns: int, folds: int, bins: int, ridge: float, rounds: int) -> np.ndarray:
-    """Logistic regressions of all comparisons, ablations and folds at once: weights by (pair, model, fold, bin), the intercept last.
+def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], columns: int, folds: int, bins: int, ridge: float, rounds: int, refit_rounds: int) -> np.ndarray:
+    """Logistic regressions of all comparisons, ablations and folds: weights by (pair, model, fold, bin), the intercept last.
 
     ``pairs`` has the old and the new period and the bound of ``u`` below which a row is in the pair's sample. Model 0 has all columns, model i + 1 lacks
-    column i; fold k is fitted on the rows of the other folds. Each round is one job: every task sums gradient and curvature of its rows for all models, the
+    column i; fold k is fitted on the rows of the other folds. Model 0 is fitted first; the others start from its weights, near their own, and are fitted together. Each round is one job: every task sums
+    gradient and curvature of its rows for the models in hand, the
     driver adds these sums (their size depends on pairs, bins, columns and folds only) and takes a diagonal Newton step, scaled so that no round can overshoot.
     """
     models, width = columns + 1, bins * columns
@@ -187,10 +204,12 @@ def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], colum
     for m in range(1, models):
         used[:, m, :, (m - 1) * bins : m * bins] = 0
     momentum = np.zeros_like(weights)
-    for _ in range(rounds):
-        w = weights.copy()
+    for done in range(rounds + refit_rounds):
+        if done == rounds:
+            weights, momentum = weights[:, :1] * used, np.zeros_like(weights)
+        w, fitted = weights.copy(), (0,) if done < rounds else range(1, models)
 
-        def sums(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+        def sums(batches: Iterator[pa.RecordBatch], w=w, fitted=fitted) -> Iterator[pa.RecordBatch]:
             gradient, curvature = np.zeros_like(w), np.zeros_like(w)
             for batch in batches:
                 cells, by = _arrays(batch, columns)
@@ -201,7 +220,7 @@ def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], colum
                         if not len(at):
                             continue
                         own, y = [x[at] for x in cells], by["period"][at] == new
-                        for m in range(models):
+                        for m in fitted:
                             for k in range(folds):
                                 if k == f and folds > 1:
                                     continue
@@ -221,15 +240,40 @@ def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], colum
         h = sum(np.frombuffer(p["h"]).reshape(w.shape) for p in parts) + ridge
         step = g / (h * (columns + 1) + 1.0)
         momentum = 0.7 * momentum - step
-        weights = (weights + momentum) * used
+        moved = np.isin(np.arange(models), list(fitted))[None, :, None, None]
+        weights = np.where(moved, (weights + momentum) * used, weights)
     return weights
 
 
-_DRIFT = "period_old long, period_new long, column string, auc double, auc_drop double, rows_old long, rows_new long"
+_DRIFT = "period_old long, period_new long, column string, auc double, auc_drop double, shift double, p_value double, changed boolean, rows_old long, rows_new long"
+
+
+def _normal_tail(z: float) -> float:
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def _auc_tail(auc: float, n: int, m: int) -> float:
+    """The chance of an AUC at least so large between equal loads of n and m rows."""
+    return _normal_tail((auc - 0.5) / math.sqrt((n + m + 1) / (12 * n * m)))
+
+
+def _bins_tail(old: np.ndarray, new: np.ndarray) -> tuple[float, float]:
+    """(total variation distance, chance of counts that differ so much) of the counts of the bins of two loads, by the chi-square test of homogeneity in Wilson and Hilferty's approximation."""
+    both = (old + new) > 0
+    a, b = old[both].astype(float), new[both].astype(float)
+    n, m = a.sum(), b.sum()
+    degrees = len(a) - 1
+    shift = float(np.abs(a / n - b / m).sum() / 2)
+    if degrees < 1:
+        return shift, 1.0
+    expected = np.stack([(a + b) * n, (a + b) * m]) / (n + m)
+    chi = float(((np.stack([a, b]) - expected) ** 2 / expected).sum())
+    spread = 2 / (9 * degrees)
+    return shift, _normal_tail(((chi / degrees) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
 
 
-def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Sequence[str], features: dict[str, Column] | None = None, bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
-    """Classifier two-sample test between each period with rows and the next: period_old, period_new, column, auc, auc_drop, rows_old, rows_new.
+def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Sequence[str], features: dict[str, Column] | None = None, bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25, refit_rounds: int = 8, alpha: float = 0.01, min_auc: float = 0.52, min_shift: float = 0.05) -> DataFrame:
+    """Classifier two-sample test between each period with rows and the next: period_old, period_new, column, auc, auc_drop, shift, p_value, changed, rows_old, rows_new.
 
     ``period`` is a whole number, of which there are few; rows where it is null are left out. ``features`` has columns whose values are
     compared in another form (see :func:`time_feature`). A logistic regression over the binned columns learns to tell the rows of the later period. It
@@ -237,7 +281,10 @@ def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Seq
     only part that does not see all rows) and scores *all* rows of the other folds,
     so the discrimination is cross-fitted. The row with column ``*`` has the AUC of the
     full model: 0.5 is no change. Each other row is an ablation: the AUC without that
-    column, refitted, and by how much it drops. Fewer than two periods give null figures and a null period_old.
+    column, refitted, and by how much it drops. Beside it stands what the exact counts of the column's bins over all rows say: ``shift``, the
+    share of rows that would have to move for the bins to be alike. ``p_value`` is the chance of the AUC (row ``*``) or of the counts between equal
+    loads; ``changed`` says that it is below ``alpha``, divided among the columns, and that the AUC is at least ``min_auc``, or the shift at least
+    ``min_shift``. Fewer than two periods give null figures and a null period_old.
     """
     spark = df.sparkSession
     names = ["*", *columns]
@@ -249,7 +296,7 @@ def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Seq
     pairs = [(a, b, int(1_000_000 * min(1.0, fit_rows * folds / ((sizes[a] + sizes[b]) * max(1, folds - 1))))) for a, b in zip(order, order[1:], strict=False)]
     if not pairs:
         only = order[0] if order else None
-        return spark.createDataFrame([(None, only, c, None, None, 0, sizes.get(only, 0)) for c in names], _DRIFT)
+        return spark.createDataFrame([(None, only, c, None, None, None, None, None, 0, sizes.get(only, 0)) for c in names], _DRIFT)
     bound: dict[int, int] = {}
     for a, b, below in pairs:
         bound |= {a: max(below, bound.get(a, 0)), b: below}
@@ -257,13 +304,17 @@ def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Seq
     for at, below in bound.items():
         chosen |= (F.col("period") == at) & (F.col("u") < below)
     sample = materialize(rows.where(chosen).repartition(spark.sparkContext.defaultParallelism), "drift-sample")
-    weights = _fit_jointly(sample, pairs, len(columns), folds, bins, ridge, rounds).astype(np.float32)
+    weights = _fit_jointly(sample, pairs, len(columns), folds, bins, ridge, rounds, refit_rounds).astype(np.float32)
     cells = 2000
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(pairs), len(names), folds, cells, 2), np.int64)
+        marginal = np.zeros((len(order), len(columns), bins), np.int64)
         for batch in batches:
             x, by = _arrays(batch, len(columns))
+            at = np.searchsorted(order, by["period"])
+            for c, own in enumerate(x):
+                marginal[:, c] += np.bincount(at * bins + own, minlength=len(order) * bins).reshape(len(order), bins)
             for i, (old, new, _) in enumerate(pairs):
                 inside = (by["period"] == old) | (by["period"] == new)
                 for k in range(folds):
@@ -274,11 +325,15 @@ def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Seq
                     for m in range(len(names)):  # weights of a left-out column are 0
                         cell = np.minimum(cells - 1, (cells / (1 + np.exp(-_logits(weights[i, m, k], part, bins)))).astype(int))
                         counts[i, m, k] += np.bincount(cell * 2 + y, minlength=2 * cells).reshape(cells, 2)
-        found = np.nonzero(counts)
-        yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip("imkcyn", [*found, counts[found]], strict=True)})
+        found, bare = np.nonzero(counts), np.nonzero(marginal)
+        for columns_of in ([*found, counts[found]], [np.full(len(bare[0]), -1), bare[1], bare[0], bare[2], np.zeros(len(bare[0])), marginal[bare]]):
+            yield pa.RecordBatch.from_pydict({n: pa.array(v.astype(np.int64), pa.int64()) for n, v in zip("imkcyn", columns_of, strict=True)})
 
     scored = rows.mapInArrow(histogram, "i long, m long, k long, c long, y long, n long")
-    table = scored.groupBy("i", "m", "k", "c", "y").agg(F.sum("n").alias("n")).toPandas()  # at most pairs x models x folds x cells x 2 rows
+    table = scored.groupBy("i", "m", "k", "c", "y").agg(F.sum("n").alias("n")).toPandas()  # at most pairs x models x folds x cells x 2 rows, and periods x columns x bins
+    bare, table = table[table.i < 0], table[table.i >= 0]
+    marginal = np.zeros((len(order), len(columns), bins), np.int64)
+    marginal[bare.k, bare.m, bare.c] = bare.n
     counts = np.zeros((len(pairs), len(names), folds, cells, 2))
     counts[table.i, table.m, table.k, table.c, table.y] = table.n
     out = []
@@ -292,12 +347,20 @@ def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Seq
                 if compared:
                     parts.append((float((h[:, 1] * (below + h[:, 0] / 2)).sum() / compared), h.sum()))
             aucs.append(float(np.average([a for a, _ in parts], weights=[w for _, w in parts])) if parts else None)
-        out += [(old, new, c, a, None if m == 0 or a is None else aucs[0] - a, sizes[old], sizes[new]) for m, (c, a) in enumerate(zip(names, aucs, strict=True))]
+        sides = [order.index(old), order.index(new)]
+        for m, (c, a) in enumerate(zip(names, aucs, strict=True)):
+            if m:
+                shift, chance = _bins_tail(*marginal[sides, m - 1])
+                changed = shift >= min_shift and chance < alpha / len(columns)
+            else:
+                shift, chance = None, None if a is None else _auc_tail(a, sizes[old], sizes[new])
+                changed = None if a is None else a >= min_auc and chance < alpha
+            out.append((old, new, c, a, None if m == 0 or a is None else aucs[0] - a, shift, chance, changed, sizes[old], sizes[new]))
     return spark.createDataFrame(out, _DRIFT)
 
 
 def load_drift(df: DataFrame, is_new: Column, columns: Sequence[str], key: Sequence[str], bins: int = 64, fit_rows: int = 200_000, folds: int = 2, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
-    """:func:`period_drift` between two loads, the rows with ``is_new`` and the others: column, auc, auc_drop, rows_old, rows_new. An empty load gives null figures."""
+    """:func:`period_drift` between two loads, the rows with ``is_new`` and the others: column, auc, auc_drop, shift, p_value, changed, rows_old, rows_new. An empty load gives null figures."""
     label = F.coalesce(is_new, F.lit(False)).cast("long")
     found = period_drift(df, label, columns, key, None, bins, fit_rows, folds, ridge, rounds)
     one = found.where("period_old is null").first()

@@ -136,11 +136,20 @@ def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return profile.profile_statistics(entries, _table_fields(catalogue))
 
 
+_PATTERNS = {"task_id": "task-[0-9]{10}", "workflow_id": "wf-[a-z]+-[0-9]{4}", "worker_id": "worker-[0-9]{4}"}
+
+
 def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Exact base aggregates of every column of the records."""
     rows = Catalogue(spark, folder).table("task_logs")
-    patterns = {"task_id": "^task-[0-9]{10}$", "workflow_id": "^wf-[a-z]+-[0-9]{4}$", "worker_id": "^worker-[0-9]{4}$"}
-    return profile.profile_columns(rows, TASK_COLUMNS, patterns)
+    return profile.profile_columns(rows, rows.columns, _PATTERNS)
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of nulls and of values off their pattern of every column, by month of load, and their change from the month before."""
+    rows = Catalogue(spark, folder).table("task_logs")
+    month = F.year("loaded_at") * 12 + F.month("loaded_at")
+    return profile.period_shares(rows, month, rows.columns, _PATTERNS)
 
 
 def p4_drift(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,4 +179,4 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("descendants > 0").select(F.col("id").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "descendants")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_files, p2_found, p2_report, p3_found, p3_run, p4_found, p4_statistics, p4_profile, p4_drift, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_files, p2_found, p2_report, p3_found, p3_run, p4_found, p4_statistics, p4_profile, p4_shares, p4_drift, p5_found, p5_paths, p5_descendants)}

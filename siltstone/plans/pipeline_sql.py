@@ -79,10 +79,13 @@ SELECT table_uuid, file_path, field_id FROM pr WHERE bad OR (v >= 100 AND pv >=
  min(CASE WHEN field_type = 'string' THEN lt END) AS lt, max(CASE WHEN field_type = 'string' THEN ht END) AS ht FROM ty GROUP BY ALL)
 SELECT table_uuid, field_id, count(*) AS files, coalesce(sum(v), 0)::bigint AS n_values, coalesce(sum(n), 0)::bigint AS n_nulls, CASE WHEN sum(v) > 0 THEN sum(n) / sum(v) END AS null_rate, min(ln) AS min_number, max(hn) AS max_number, min(lt) AS min_text, max(ht) AS max_text FROM fl GROUP BY ALL""",
     "p4_profile": "WITH c AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::varchar AS value, {f'{c}::double' if c in ('started_at', 'completed_at', 'duration_ms') else 'NULL::double'} AS number, {f'NOT regexp_full_match({c}, {chr(39)}{p}{chr(39)})' if p else 'false'} AS bad FROM task_logs" for c, p in (("task_id", "task-[0-9]{10}"), ("workflow_id", "wf-[a-z]+-[0-9]{4}"), ("status", ""), ("started_at", ""), ("completed_at", ""), ("duration_ms", ""), ("error_message", ""), ("worker_id", "worker-[0-9]{4}")))
+    + " UNION ALL ".join(f"SELECT '{c}' AS col, {c}::varchar AS value, {f'{c}::double' if c in ('started_at', 'completed_at', 'duration_ms') else 'NULL::double'} AS number, {f'NOT regexp_full_match({c}, {chr(39)}{p}{chr(39)})' if p else 'false'} AS bad FROM task_logs" for c, p in (("task_id", "task-[0-9]{10}"), ("workflow_id", "wf-[a-z]+-[0-9]{4}"), ("status", ""), ("started_at", ""), ("completed_at", ""), ("duration_ms", ""), ("error_message", ""), ("worker_id", "worker-[0-9]{4}"), ("table_uuid", ""), ("file_path", ""), ("loaded_at", "")))
     + """), g AS (SELECT col, value, any_value(number) AS number, count(*) AS n, any_value(bad) AS bad FROM c GROUP BY col, value)
 SELECT col AS "column", sum(n)::bigint AS rows, coalesce(sum(n) FILTER (value IS NULL), 0)::bigint AS nulls, coalesce(sum(n) FILTER (value IS NULL), 0) / sum(n) AS null_rate, count(value) AS distinct_values,
  CASE WHEN max(number) IS NULL THEN min(value) ELSE arg_min(value, number) END AS min_value, CASE WHEN max(number) IS NULL THEN max(value) ELSE arg_max(value, number) END AS max_value, max(n) FILTER (value IS NOT NULL) AS top_count, coalesce(sum(n) FILTER (bad AND value IS NOT NULL), 0)::bigint AS pattern_violations FROM g GROUP BY col""",
+    "p4_shares": "WITH m AS (SELECT *, (year(loaded_at) * 12 + month(loaded_at))::bigint AS period FROM task_logs WHERE loaded_at IS NOT NULL), c AS ("
+    + " UNION ALL ".join(f"SELECT period, '{c}' AS col, count(*) AS rows, count(*) FILTER ({c} IS NULL) / count(*) AS null_share, {f'count(*) FILTER (NOT regexp_full_match({c}, {chr(39)}{p}{chr(39)})) / count(*)' if p else '0.0::double'} AS bad_share FROM m GROUP BY period" for c, p in (("table_uuid", ""), ("file_path", ""), ("task_id", "task-[0-9]{10}"), ("workflow_id", "wf-[a-z]+-[0-9]{4}"), ("status", ""), ("started_at", ""), ("completed_at", ""), ("duration_ms", ""), ("error_message", ""), ("worker_id", "worker-[0-9]{4}"), ("loaded_at", "")))
+    + """) SELECT period, col AS "column", rows, null_share, bad_share, null_share - lag(null_share) OVER w AS null_change, bad_share - lag(bad_share) OVER w AS bad_change FROM c WINDOW w AS (PARTITION BY col ORDER BY period)""",
     "p5_found": _WALK
     + """, lost AS (SELECT l.id FROM link l WHERE l.id NOT IN (SELECT id FROM down)),
 walk AS (SELECT id AS origin, id AS here, 0 AS n FROM lost UNION ALL SELECT w.origin, l.parent, w.n + 1 FROM walk w JOIN link l ON l.id = w.here WHERE w.n <= (SELECT count(*) FROM lost)),
