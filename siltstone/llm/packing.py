@@ -237,6 +237,22 @@ def pack_documents(tokens: DataFrame, capacities: list[tuple[str, int]], key: st
     return keyed.repartitionByRange(groups, "grp").groupBy("grp").applyInPandas(pack, schema)
 
 
+def packing_report(packed: DataFrame, tokens: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_id") -> DataFrame:
+    """Whether a packing keeps to its rules: pack_name, texts, whole, within, unsplit.
+
+    ``whole``: the parts of every text follow each other and hold each of its ``tokens`` once; ``within``: no container holds more than its
+    capacity; ``unsplit``: only texts longer than that are in parts. A text that is missing counts against ``whole``.
+    """
+    room = F.create_map(*[F.lit(x) for c in capacities for x in c])
+    wanted = tokens.select(key, F.col("n_tokens").alias("wanted"), F.explode(room).alias("pack_name", "capacity"))
+    parts = packed.groupBy("pack_name", key).agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("last"), F.count(F.lit(1)).alias("parts"), F.countDistinct("first_token").alias("places"))
+    texts = wanted.join(parts, ["pack_name", key], "left")
+    whole = F.coalesce((F.col("n") == F.col("wanted")) & (F.col("last") == F.col("wanted")) & (F.col("places") == F.col("parts")), F.lit(False))
+    judged = texts.groupBy("pack_name", "capacity").agg(F.count(F.lit(1)).alias("texts"), F.bool_and(whole).alias("whole"), F.bool_and(F.coalesce((F.col("parts") == 1) | (F.col("wanted") > F.col("capacity")), F.lit(False))).alias("unsplit"))
+    used = packed.where("container is not null").groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("used")).groupBy("pack_name").agg(F.max("used").alias("most"))
+    return judged.join(used, "pack_name", "left").select("pack_name", "texts", "whole", F.coalesce(F.col("most") <= F.col("capacity"), F.lit(True)).alias("within"), "unsplit")
+
+
 def fill_report(packed: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
     """pack_name, containers, texts, tokens, fill (share of the containers' room that is used), fullest."""
     room = packed.sparkSession.createDataFrame(capacities, "pack_name string, capacity int")
