@@ -2,11 +2,11 @@
 
 import pytest
 
-from siltstone.plans import pipeline_queries, pipeline_sql, table_queries
+from siltstone.plans import api_queries, pipeline_queries, pipeline_sql, table_queries
 from tests.helpers import duck, rows
 
-QUERIES = {**table_queries.QUERIES, **pipeline_queries.QUERIES}
-SQL = {**table_queries.SQL, **pipeline_sql.SQL}
+QUERIES = {**table_queries.QUERIES, **api_queries.QUERIES, **pipeline_queries.QUERIES}
+SQL = {**table_queries.SQL, **api_queries.SQL, **pipeline_sql.SQL}
 
 
 @pytest.fixture(scope="module")
