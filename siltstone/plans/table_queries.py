@@ -7,6 +7,7 @@ import os
 import shutil
 import time
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -389,6 +390,94 @@ def formats_roundtrip(spark, folder):
     return back[0].unionByName(back[1]).unionByName(back[2])
 
 
+def join_cross(spark, folder):
+    """Every pair of the five regions."""
+    _df(spark, folder, "region").createOrReplaceTempView("siltstone_region")
+    return spark.sql("SELECT a.r_name AS one, b.r_name AS other FROM siltstone_region a CROSS JOIN siltstone_region b")
+
+
+def agg_approximate(spark, folder):
+    """Approximate aggregates lie near the exact ones."""
+    rows = _df(spark, folder, "lineitem").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("a"), F.countDistinct("l_orderkey").alias("e"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("m"), F.percentile("l_extendedprice", 0.5).alias("p"))
+    return rows.select((F.abs(F.col("a") / F.col("e") - 1) < 0.1).alias("distinct_near"), (F.abs(F.col("m") / F.col("p") - 1) < 0.01).alias("median_near"))
+
+
+def subquery_exists_in(spark, folder):
+    """EXISTS, NOT EXISTS and IN over scans."""
+    for name in ("orders", "customer", "nation"):
+        _df(spark, folder, name).createOrReplaceTempView(f"siltstone_{name}")
+    return spark.sql(
+        "SELECT c_custkey FROM siltstone_customer c WHERE EXISTS (SELECT 1 FROM siltstone_orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')"
+        " AND NOT EXISTS (SELECT 1 FROM siltstone_orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000) AND c_nationkey IN (SELECT n_nationkey FROM siltstone_nation WHERE n_regionkey IN (0, 1, 2))"
+    )
+
+
+def map_functions(spark, folder):
+    """Maps made from columns, looked into, filtered and turned into rows."""
+    m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"), F.lit("none"), F.lit(None).cast("string"))
+    rows = _df(spark, folder, "part").select("p_partkey", F.map_filter(m, lambda k, v: v.isNotNull()).alias("m"))
+    return rows.select("p_partkey", F.element_at("m", "size").cast("int").alias("size"), F.size("m").alias("n"), F.map_contains_key("m", "none").alias("has_none"), F.explode("m").alias("key", "value"))
+
+
+def apply_in_pandas(spark, folder):
+    """A pandas function per group, of at most all of a customer's orders: the price of each order as share of the customer's total."""
+
+    def share(frame):
+        cents = (frame["o_totalprice"] * 100).round()
+        return frame.assign(share=(cents / cents.sum()).round(9))[["o_orderkey", "share"]]
+
+    return _df(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(share, "o_orderkey long, share double")
+
+
+def map_in_arrow(spark, folder):
+    """Batches of a scan through an Arrow function."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def lower(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_lower(b.column(1))], names=["p_partkey", "name"])
+
+    return _df(spark, folder, "part").select("p_partkey", "p_name").mapInArrow(lower, "p_partkey long, name string")
+
+
+def udaf_pandas(spark, folder):
+    """An aggregate function in pandas over the parts' sizes of each brand."""
+
+    @F.pandas_udf("long")
+    def spread(values: pd.Series) -> int:
+        return int(values.max() - values.min())
+
+    return _df(spark, folder, "part").groupBy("p_brand").agg(spread("p_size").alias("spread"))
+
+
+def format_text(spark, folder):
+    """A column of a scan as lines of text and back."""
+    path = new_path(spark, "format-text")
+    _df(spark, folder, "customer").select(F.col("c_name").alias("value")).write.text(path)
+    return spark.read.text(path).select(F.col("value").alias("c_name"))
+
+
+def _event_stream(spark, folder):
+    staged = local_path(new_path(spark, "stream_source"))
+    _source(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet("file://" + staged)
+    return spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet("file://" + staged)
+
+
+def stream_sliding(spark, folder):
+    """Windows of two hours every hour over the events as a stream; those that have closed."""
+    from siltstone.streaming.ingest import windowed_counts
+
+    return windowed_counts(_event_stream(spark, folder), new_path(spark, "stream_windows"), "2 hours", slide="1 hour")
+
+
+def stream_sessions(spark, folder):
+    """Sessions of a user with gaps below six hours over the events as a stream; those that have closed."""
+    from siltstone.streaming.ingest import session_counts
+
+    return session_counts(_event_stream(spark, folder), new_path(spark, "stream_sessions"), "user_id", "6 hours")
+
+
 def udtf_pairs(spark, folder):
     """A table function: one row per word of a part's name."""
 
@@ -430,11 +519,7 @@ def stream_window(spark, folder):
     """Hourly windows with a watermark over the events as a stream; the windows that have closed."""
     from siltstone.streaming.ingest import windowed_counts
 
-    staged = local_path(new_path(spark, "stream_source"))
-    df = _source(spark, folder, "events")
-    df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet("file://" + staged)
-    source = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet("file://" + staged)
-    return windowed_counts(source, new_path(spark, "stream_windows"))
+    return windowed_counts(_event_stream(spark, folder), new_path(spark, "stream_windows"))
 
 
 QUERIES = {
@@ -444,7 +529,7 @@ QUERIES = {
         delete_file_effect, asof_scan, snapshot_lineage, expire_keeps_data, delete_snapshot_repoint, compaction_keeps_rows, batches_roundtrip, checksum_report, gc_orphan, failed_avg_duration,
         groupby_count, groupby_sum, join_inner, join_left, join_full, join_semi, join_anti, join_asof, join_range, agg_rollup, agg_cube, agg_grouping_sets, window_rank, window_lag, sort_top,
         set_operations, predicate_mix, scalar_functions, json_fields, subquery_scalar, udf_vectorised, join_hints, agg_percentiles, window_frames,
-        window_sessions, formats_roundtrip, udtf_pairs, stream_append, stream_window, stream_state,
+        window_sessions, formats_roundtrip, udtf_pairs, join_cross, agg_approximate, subquery_exists_in, map_functions, apply_in_pandas, map_in_arrow, udaf_pandas, format_text, stream_sliding, stream_sessions, stream_append, stream_window, stream_state,
     )
 }
 _FILTERS = {
@@ -517,6 +602,16 @@ SQL = {
     "window_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
     "formats_roundtrip": "SELECT * FROM nation UNION ALL SELECT * FROM nation UNION ALL SELECT * FROM nation",
     "udtf_pairs": "SELECT p_partkey, (i - 1)::int AS place, string_split(p_name, ' ')[i] AS word FROM part, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS t(i)",
+    "join_cross": "SELECT a.r_name AS one, b.r_name AS other FROM region a, region b",
+    "agg_approximate": "SELECT true AS distinct_near, true AS median_near",
+    "subquery_exists_in": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 1, 2))",
+    "map_functions": "SELECT p_partkey, p_size::int AS size, 2 AS n, false AS has_none, 'brand' AS key, p_brand AS value FROM part UNION ALL SELECT p_partkey, p_size::int, 2, false, 'size', p_size::varchar FROM part",
+    "apply_in_pandas": "SELECT o_orderkey, round(round_even(o_totalprice * 100, 0) / sum(round_even(o_totalprice * 100, 0)) OVER (PARTITION BY o_custkey), 9) AS share FROM orders",
+    "map_in_arrow": "SELECT p_partkey, lower(p_name) AS name FROM part",
+    "udaf_pandas": "SELECT p_brand, (max(p_size) - min(p_size))::bigint AS spread FROM part GROUP BY 1",
+    "format_text": "SELECT c_name FROM customer",
+    "stream_sliding": "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1, 2 HAVING start + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
+    "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
     "stream_state": "SELECT user_id, max(event_id) AS latest, count(*) AS n FROM events GROUP BY 1",
     "stream_append": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
     "stream_window": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",

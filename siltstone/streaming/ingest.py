@@ -31,16 +31,27 @@ def stream_into(stream: DataFrame, table: Table, checkpoint: str, query: str, av
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def windowed_counts(stream: DataFrame, folder: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+def _closed(rows: DataFrame, folder: str, schema: str) -> DataFrame:
+    """Runs a stream of groups that its watermark closes until its input is exhausted, and gives the written result."""
+    query = rows.writeStream.outputMode("append").option("checkpointLocation", folder + "-state").format("parquet").option("path", folder).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(schema).parquet(folder)
+
+
+def windowed_counts(stream: DataFrame, folder: str, size: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts per window and event type of what the stream has now: start, event_type, n, for windows the watermark has closed.
 
-    Runs until the input is exhausted and gives the written result.
+    Windows follow each other, or begin every ``slide``.
     """
-    counted = stream.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"))
-    rows = counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-    query = rows.writeStream.outputMode("append").option("checkpointLocation", folder + "-state").format("parquet").option("path", folder).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema("start timestamp_ntz, event_type string, n long").parquet(folder)
+    counted = stream.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return _closed(counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n"), folder, "start timestamp_ntz, event_type string, n long")
+
+
+def session_counts(stream: DataFrame, folder: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Sessions of a key, which end after a ``gap`` without rows, of what the stream has now: key, start, n, for those the watermark has closed."""
+    counted = stream.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    kind = stream.schema[key].dataType.simpleString()
+    return _closed(counted.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), "n"), folder, f"{key} {kind}, start timestamp_ntz, n long")
 
 
 def latest_per_key(stream: DataFrame, key: str, value: str, folder: str) -> DataFrame:
