@@ -13,6 +13,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.table import files as tf
+from siltstone.table.storage import open_storage
 from siltstone.table.types import Schema, arrow_records
 
 CODEC = "zstd"
@@ -121,21 +122,19 @@ class DataFileWriter:
 def write_data_file(spark: SparkSession, root: str, path: str, records: list[dict] | pd.DataFrame | DataFrame, schema: Schema, partition_values: dict | None = None, format: FileFormat | str = FileFormat.PARQUET) -> tf.DataFile:
     """Write records, a pandas frame or a DataFrame (as one file) below a table's folder; its entry, with bounds and checksum, for :meth:`Table.append_data`."""
     _parquet_only(format)
-    full = tf.safe_join(root, path)
-    with DataFileWriter(full, schema) as w:
-        if isinstance(records, pd.DataFrame):
-            w.write_pandas(records)
-        elif isinstance(records, DataFrame):
-            batch: list[dict] = []
-            for row in records.toLocalIterator(prefetchPartitions=True):
-                batch.append(row.asDict())
-                if len(batch) >= 50_000:
-                    w.write_records(batch)
-                    batch = []
-            w.write_records(batch)
-        else:
-            w.write_records(records)
-    return tf.describe(spark, root, [tf.relative_to(root, full)], schema, partition_values=partition_values)[0]
+    storage = open_storage(root, spark)
+    if isinstance(records, DataFrame):  # written by one task and moved under its name
+        aside = f"{path}.{uuid.uuid4().hex}"
+        records.select(*schema.names).coalesce(1).write.option("compression", CODEC).parquet(storage.uri(aside))
+        part = next(n for n in storage.names(aside) if n.endswith(".parquet"))
+        storage.move(f"{aside}/{part}", path)
+        storage.delete(aside)
+    else:
+        rows = pa.Table.from_pandas(records, schema=schema.arrow(), preserve_index=False) if isinstance(records, pd.DataFrame) else arrow_records(records, schema)
+        sink = pa.BufferOutputStream()
+        pq.write_table(rows, sink, compression=CODEC)
+        storage.write(path, sink.getvalue())
+    return tf.describe(spark, storage, [tf.relative_to(storage, path)], schema, partition_values=partition_values)[0]
 
 
 def read_data_file(path: str, columns: list[str] | None = None) -> list[dict]:
@@ -167,8 +166,9 @@ def is_pandas_compatible(frame: pd.DataFrame, schema: Schema) -> bool:
     return not set(frame.columns) - set(schema.names) and not any(table[f.name].null_count for f in schema.fields if f.required)
 
 
-def check_files(root: str, files: list[tf.DataFile]) -> None:
+def check_files(root: str, files: list[tf.DataFile], spark: SparkSession | None = None) -> None:
     """``FileNotFoundError`` naming the files that are not there."""
-    missing = [f.path for f in files if not os.path.exists(tf.safe_join(root, f.path))]
+    storage = open_storage(root, spark)
+    missing = [f.path for f in files if not storage.exists(f.path)]
     if missing:
         raise FileNotFoundError(f"missing data files: {missing}")

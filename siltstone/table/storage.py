@@ -22,8 +22,8 @@ class Storage(ABC):
         """A file's bytes, or ``length`` of them from ``offset``; ``FileNotFoundError`` if there is no such file."""
 
     @abstractmethod
-    def write(self, path: str, content: bytes) -> None:
-        """Write or replace a file, all or nothing."""
+    def write(self, path: str, content: bytes, sync: bool = True) -> None:
+        """Write or replace a file, all or nothing; with ``sync`` it is on disk afterwards."""
 
     @abstractmethod
     def create(self, path: str, content: bytes) -> None:
@@ -45,6 +45,10 @@ class Storage(ABC):
     def delete(self, path: str) -> bool:
         """Remove a file, or a folder with all below it; False if it wasn't there."""
 
+    @abstractmethod
+    def move(self, path: str, to: str) -> None:
+        """Give a file another name, replacing what has it."""
+
     @abstractmethod
     def info(self, path: str) -> tuple[int, float] | None:
         """Size and time of last change of a file; None if there is no such file."""
@@ -60,6 +64,9 @@ class Storage(ABC):
     def exists(self, path: str) -> bool:
         return self.info(path) is not None
 
+    def drop_empty(self, path: str, keep: set[str]) -> None:
+        """Remove empty folders below a folder, where there are such things, but those in ``keep``."""
+
 
 class _Ranged(io.RawIOBase):
     """A file of a storage, read range by range."""
@@ -93,7 +100,10 @@ class _Ranged(io.RawIOBase):
 
 def safe_join(root: str, relative: str) -> str:
     """The place of a relative path below ``root``; ``ValueError`` if it would be outside, links followed."""
-    base = os.path.realpath(local_path(root))
+    return _inside(os.path.realpath(local_path(root)), relative)
+
+
+def _inside(base: str, relative: str) -> str:
     full = os.path.realpath(os.path.join(base, relative.lstrip("/")))
     if full != base and not full.startswith(base.rstrip("/") + "/"):
         raise ValueError(f"path traversal: {relative!r} is outside the table")
@@ -105,9 +115,10 @@ class LocalStorage(Storage):
 
     def __init__(self, root: str):
         self.root = os.path.abspath(local_path(root))
+        self._base = os.path.realpath(self.root)
 
     def _at(self, path: str) -> str:
-        return safe_join(self.root, path)
+        return _inside(self._base, path)
 
     def read(self, path: str, offset: int = 0, length: int | None = None) -> bytes:
         with open(self._at(path), "rb") as f:
@@ -117,7 +128,7 @@ class LocalStorage(Storage):
     def open(self, path: str) -> BinaryIO:
         return open(self._at(path), "rb")
 
-    def _temporary(self, path: str, content: bytes) -> tuple[str, str]:
+    def _temporary(self, path: str, content: bytes, sync: bool = True) -> tuple[str, str]:
         final = self._at(path)
         temporary = os.path.join(os.path.dirname(final), f".{uuid.uuid4().hex}.tmp")
         try:
@@ -127,12 +138,13 @@ class LocalStorage(Storage):
             f = open(temporary, "wb")
         with f:
             f.write(content)
-            f.flush()
-            os.fsync(f.fileno())
+            if sync:
+                f.flush()
+                os.fsync(f.fileno())
         return final, temporary
 
-    def write(self, path: str, content: bytes) -> None:
-        final, temporary = self._temporary(path, content)
+    def write(self, path: str, content: bytes, sync: bool = True) -> None:
+        final, temporary = self._temporary(path, content, sync)
         os.replace(temporary, final)
 
     def create(self, path: str, content: bytes) -> None:
@@ -169,8 +181,7 @@ class LocalStorage(Storage):
             return []
 
     def list(self, path: str = "") -> list[str]:
-        base = os.path.realpath(self.root)
-        return sorted(os.path.relpath(os.path.join(at, n), base) for at, _, names in os.walk(self._at(path)) for n in names)
+        return sorted(os.path.relpath(os.path.join(at, n), self._base) for at, _, names in os.walk(self._at(path)) for n in names)
 
     def delete(self, path: str) -> bool:
         at = self._at(path)
@@ -185,6 +196,17 @@ class LocalStorage(Storage):
             return False
         return True
 
+    def move(self, path: str, to: str) -> None:
+        os.replace(self._at(path), self._at(to))
+
+    def drop_empty(self, path: str, keep: set[str]) -> None:
+        for at, folders, names in os.walk(self._at(path), topdown=False):
+            if not folders and not names and os.path.relpath(at, self._base) not in {path, *keep}:
+                try:
+                    os.rmdir(at)
+                except OSError:
+                    pass
+
     def info(self, path: str) -> tuple[int, float] | None:
         at = self._at(path)
         return (os.path.getsize(at), os.path.getmtime(at)) if os.path.isfile(at) else None
@@ -248,11 +270,18 @@ class HadoopStorage(Storage):
         stream.close()
         return final, temporary
 
-    def write(self, path: str, content: bytes) -> None:
+    def write(self, path: str, content: bytes, sync: bool = True) -> None:
         final, temporary = self._temporary(path, content)
+        self._replace(temporary, final)
+
+    def _replace(self, one, final) -> None:
         if self._fs.exists(final):
             self._fs.delete(final, False)
-        self._fs.rename(temporary, final)
+        if not self._fs.rename(one, final):
+            raise OSError(f"could not rename {one}")
+
+    def move(self, path: str, to: str) -> None:
+        self._replace(self._at(path), self._at(to))
 
     def create(self, path: str, content: bytes) -> None:
         if self._files is None:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -16,13 +19,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.session import local_path
 from siltstone.table import files as tf
 from siltstone.table import maintenance
 from siltstone.table import snapshots as sn
 from siltstone.table.errors import CommitConflict, ConcurrentModificationException, CorruptDataError, TableExistsError
 from siltstone.table.log import CommitLog
 from siltstone.table.predicates import FilterExpression, check_types, may_match, parse_filter_dict, to_arrow, to_column
+from siltstone.table.storage import Storage, open_storage
 from siltstone.table.transaction import Transaction
 from siltstone.table.types import PartitionSpec, Schema
 
@@ -47,8 +50,8 @@ class _Plan:
 class MetadataStore:
     """A table's versions of state in its commit log."""
 
-    def __init__(self, root: str):
-        self.log = CommitLog(root)
+    def __init__(self, storage: Storage | str):
+        self.log = CommitLog(storage)
 
     def latest(self) -> tuple[int, dict]:
         version, state = self.log.latest()
@@ -86,8 +89,9 @@ class Table:
     """A handle on a table folder. The state is read anew for every operation; nothing is cached."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, os.path.abspath(local_path(str(root)))
-        self.store = MetadataStore(self.root)
+        self.spark, self.storage = spark, open_storage(root, spark)
+        self.root = self.storage.root
+        self.store = MetadataStore(self.storage)
 
     # ---- state ----
 
@@ -197,7 +201,7 @@ class Table:
         schema = Schema(state["schema"], state["schema_id"])
         expressions = parse_filter_dict(filter)
         to_column(expressions, schema)
-        return [f for f in sn.files_of(self.root, self._snapshot(state, snapshot_id)) if may_match(expressions, schema, f)]
+        return sn.files_of(self.storage, self._snapshot(state, snapshot_id), wanted=lambda f: may_match(expressions, schema, f))
 
     def _plan(self, columns: list[str] | None, filter: dict | None, verify: bool | None, snapshot_id: int | None, default_verify: bool) -> _Plan:
         """What a scan reads, and whether checksums are to be verified."""
@@ -209,7 +213,8 @@ class Table:
         unknown = [c for c in names if c not in schema.by_name]
         if unknown:
             raise ValueError(f"unknown columns {unknown}")
-        files = [f for f in sn.files_of(self.root, self._snapshot(state, snapshot_id)) if may_match(expressions, schema, f)]
+        filtered = {schema.by_name[e.column].id for e in expressions}
+        files = sn.files_of(self.storage, self._snapshot(state, snapshot_id), filtered, lambda f: may_match(expressions, schema, f))
         if verify is None:
             verify = self.spark_conf(VERIFY_CONF, "true" if default_verify else "false").lower() == "true"
         return _Plan(schema, expressions, names, files, verify)
@@ -222,12 +227,12 @@ class Table:
         if any("time" in (f.type, f.type.removeprefix("list<").rstrip(">")) for f in plan.schema.fields):
             self.spark.conf.set("spark.sql.timeType.enabled", "true")
         if plan.verify:
-            tf.verify(self.spark, self.root, plan.files)
+            tf.verify(self.spark, self.storage, plan.files)
         quoted = [F.col(f"`{c}`") for c in plan.names]
         if not plan.files:
             empty = self.spark.createDataFrame([], plan.schema.struct())
             return empty.select(*quoted, *([F.lit("").alias("__file"), F.lit(0).cast("long").alias("__row")] if place else []))
-        rows = self.spark.read.schema(plan.schema.struct()).parquet(*[f"file://{tf.safe_join(self.root, f.path)}" for f in plan.files])
+        rows = self.spark.read.schema(plan.schema.struct()).parquet(*[self.storage.uri(f.path) for f in plan.files])
         condition = to_column(plan.expressions, plan.schema)
         if condition is not None:
             rows = rows.where(condition)
@@ -251,14 +256,17 @@ class Table:
         wanted = pa.schema([f for f in plan.schema.arrow() if f.name in plan.names])
         needed = list(dict.fromkeys([*plan.names, *(e.column for e in plan.expressions)]))
         for f in plan.files:
-            path = tf.safe_join(self.root, f.path)
-            source: pa.Buffer | str = path
+            source: pa.NativeFile | BinaryIO
             if plan.verify and f.checksum:
-                with open(path, "rb") as opened:
-                    content = opened.read()
+                try:
+                    content = self.storage.read(f.path)
+                except FileNotFoundError:
+                    raise CorruptDataError(f"{f.path} is gone") from None
                 if hashlib.sha256(content).hexdigest() != f.checksum:
                     raise CorruptDataError(f"{f.path} does not have its checksum")
                 source = pa.BufferReader(content)
+            else:
+                source = self.storage.open(f.path)
             rows = pq.read_table(source, columns=needed, partitioning=None)
             if condition is not None:
                 rows = rows.filter(condition)
@@ -271,9 +279,9 @@ class Table:
             tables = list(self._local_tables(plan))
             return pa.concat_tables(tables) if tables else pa.schema([plan.schema.arrow().field(n) for n in plan.names]).empty_table()
         found = self._spark_rows(plan, True).toArrow()
-        place = {os.path.realpath(tf.safe_join(self.root, f.path)): i for i, f in enumerate(plan.files)}
+        place = {_plain(self.storage.uri(f.path)): i for i, f in enumerate(plan.files)}
         paths = found["__file"].combine_chunks().dictionary_encode()
-        ranks = pa.array([place[os.path.realpath(_plain(p))] for p in paths.dictionary.to_pylist()], pa.int32())
+        ranks = pa.array([place[_plain(unquote(p))] for p in paths.dictionary.to_pylist()], pa.int32())
         ordered = found.append_column("__rank", pc.take(ranks, paths.indices)).sort_by([("__rank", "ascending"), ("__row", "ascending")])
         return ordered.select(plan.names)
 
@@ -319,17 +327,17 @@ class Table:
     def row_count(self, snapshot_id: int | None = None) -> int:
         """The number of rows by the manifests; no data is read."""
         state = self.state()
-        return sum(f.record_count for f in sn.files_of(self.root, self._snapshot(state, snapshot_id)))
+        return sum(f.record_count for f in sn.files_of(self.storage, self._snapshot(state, snapshot_id), set()))
 
     # ---- metadata as DataFrames ----
 
     def files_df(self, snapshot_id: int | None = None) -> DataFrame:
         """The entries of a snapshot's manifests, read by Spark."""
-        manifests = sn.manifests_of(self.root, self._snapshot(self.state(), snapshot_id))
+        manifests = sn.manifests_of(self.storage, self._snapshot(self.state(), snapshot_id))
         kind = "path string, format string, partition_values map<string,string>, record_count long, size long, lower map<string,string>, upper map<string,string>, null_counts map<string,long>, value_counts map<string,long>, checksum string, status int, snapshot_id long, sequence_number long, file_sequence_number long"
         if not manifests:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*[f"file://{tf.safe_join(self.root, m['path'])}" for m in manifests])
+        return self.spark.read.schema(kind).parquet(*[self.storage.uri(m["path"]) for m in manifests])
 
     def snapshots_df(self) -> DataFrame:
         rows = [(s["snapshot_id"], s["parent_snapshot_id"], s["timestamp_ms"], s["operation"], s["sequence_number"], s["schema_id"]) for s in self.state()["snapshots"]]
@@ -345,7 +353,7 @@ class Table:
 
     def verify_integrity(self, snapshot_id: int | None = None) -> dict:
         """Whether the files of a snapshot are there with their checksums; never raises for a bad file."""
-        return tf.integrity_report(self.spark, self.root, sn.files_of(self.root, self._snapshot(self.state(), snapshot_id)))
+        return tf.integrity_report(self.spark, self.storage, sn.files_of(self.storage, self._snapshot(self.state(), snapshot_id), set()))
 
     def cleanup_orphaned_files(self):
         raise NotImplementedError("use garbage_collect")
@@ -363,9 +371,8 @@ class Table:
 
 
 def _plain(uri: str) -> str:
-    from urllib.parse import unquote, urlparse
-
-    return unquote(urlparse(uri).path)
+    """The path of a URI, without scheme and host."""
+    return "/" + re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", uri).lstrip("/")
 
 
 def create_table(spark: SparkSession, path: str, schema: Schema | None = None, partition_spec: PartitionSpec | None = None, properties: dict | None = None) -> Table:
