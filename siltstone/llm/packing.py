@@ -10,6 +10,7 @@ while the fullest one exceeds the capacity.
 from __future__ import annotations
 
 import base64
+import bisect
 import heapq
 import os
 from collections.abc import Iterator
@@ -58,32 +59,34 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _differencing(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp differencing of items into k windows; the items' numbers by window."""
-    heap = []
-    for i, s in enumerate(sizes):
-        heap.append((-s, i, [0] * (k - 1) + [s], [None] * (k - 1) + [(i, None, None)]))
+    """Karmarkar-Karp differencing of items into k windows; the items' numbers by window.
+
+    A partial partition is kept as the sums of its windows that hold something, in order, with the trees of what they hold; the others are empty.
+    """
+    heap: list[tuple] = [(-s, i, [s], [i]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     order = len(sizes)
     while len(heap) > 1:
         _, _, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
-        merged = sorted(((p + q, j) for j, (p, q) in enumerate(zip(a, reversed(b), strict=True))))
-        trees = [(None, u, v) if u is not None and v is not None else u or v for u, v in zip(x, reversed(y), strict=True)]
-        sums = [s for s, _ in merged]
-        heapq.heappush(heap, (sums[0] - sums[-1], order, sums, [trees[j] for _, j in merged]))
+        both = max(0, len(a) + len(b) - k)  # windows that must be put together: the smallest of one with the largest of the other; the rest meet empty ones
+        sums = a[both:] + b[both:] + [p + q for p, q in zip(a[:both], reversed(b[:both]), strict=True)]
+        trees = x[both:] + y[both:] + list(zip(x[:both], reversed(y[:both]), strict=True))
+        by = sorted(range(len(sums)), key=sums.__getitem__)
+        sums = [sums[j] for j in by]
+        heapq.heappush(heap, ((sums[0] if len(sums) == k else 0) - sums[-1], order, sums, [trees[j] for j in by]))
         order += 1
     windows = []
     for tree in heap[0][3]:
         found, stack = [], [tree]
         while stack:
             t = stack.pop()
-            if t is not None:
-                if t[0] is not None:
-                    found.append(t[0])
-                else:
-                    stack += t[1:]
+            if isinstance(t, tuple):
+                stack += t
+            else:
+                found.append(t)
         windows.append(found)
-    return windows
+    return windows + [[] for _ in range(k - len(windows))]
 
 
 def _relieved(windows: list[list[int]], sizes: list[int], capacity: int, all_of_them: bool = True) -> list[list[int]] | None:
@@ -91,20 +94,25 @@ def _relieved(windows: list[list[int]], sizes: list[int], capacity: int, all_of_
 
     If one can't be relieved: None, or with ``all_of_them`` unset it stays as it is.
     """
-    windows = [list(w) for w in windows]
-    used = [sum(sizes[i] for i in w) for w in windows]
-    for over in sorted(range(len(windows)), key=lambda w: -used[w]):
+    held = [sorted((sizes[i], i) for i in w) for w in windows]
+    used = [sum(s for s, _ in w) for w in held]
+    for over in sorted(range(len(held)), key=lambda w: -used[w]):
         while used[over] > capacity:
             excess, best = used[over] - capacity, None
             for other, u in enumerate(used):
                 room = capacity - u
                 if other == over or room < excess:
                     continue
-                for a in windows[over]:
-                    for b in (None, *windows[other]):
-                        d = sizes[a] - (0 if b is None else sizes[b])
-                        if excess <= d <= room and (best is None or d < best[0]):
-                            best = (d, other, a, b)
+                there = held[other]
+                for a in held[over]:
+                    least = a[0] - excess  # what comes back may be so large at most
+                    if least < 0:
+                        continue
+                    j = bisect.bisect_right(there, (least, len(sizes))) - 1
+                    b = there[j] if j >= 0 else None
+                    d = a[0] - (b[0] if b else 0)
+                    if d <= room and (best is None or d < best[0]):
+                        best = (d, other, a, b)
                 if best and best[0] == excess:
                     break
             if best is None:
@@ -112,14 +120,14 @@ def _relieved(windows: list[list[int]], sizes: list[int], capacity: int, all_of_
                     return None
                 break
             d, other, a, b = best
-            windows[over].remove(a)
-            windows[other].append(a)
+            held[over].remove(a)
+            bisect.insort(held[other], a)
             if b is not None:
-                windows[other].remove(b)
-                windows[over].append(b)
+                held[other].remove(b)
+                bisect.insort(held[over], b)
             used[over] -= d
             used[other] += d
-    return [w for w in windows if w]
+    return [[i for _, i in w] for w in held if w]
 
 
 def _fitting(sizes: list[int], capacity: int) -> list[list[int]]:
