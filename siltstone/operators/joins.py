@@ -13,14 +13,16 @@ from siltstone.operators.scans import running_max
 from siltstone.session import BROADCAST_LIMIT, planned_bytes
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salt_by: Sequence[str] = (), salts: int = 8, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", salt_by: Sequence[str] = (), salts: int = 8, limit: int | None = None) -> DataFrame:
     """Join many ``rows`` with a smaller ``table`` on equal ``keys`` (inner, left, left_semi or left_anti).
 
     The table is broadcast if the size Spark plans for it is at most ``limit``
-    bytes. Beyond that both sides are shuffled; with ``salt_by``, columns that
+    bytes (without it the configuration ``spark.siltstone.broadcastLimit``, else :data:`~siltstone.session.BROADCAST_LIMIT`). Beyond that both sides are shuffled; with ``salt_by``, columns that
     vary within a key, hot keys are spread over ``salts`` tasks and the table is
     repeated once per salt. Null keys match nothing.
     """
+    if limit is None:
+        limit = int(rows.sparkSession.conf.get("spark.siltstone.broadcastLimit", None) or BROADCAST_LIMIT)
     if planned_bytes(table) <= limit:
         return rows.join(F.broadcast(table), list(keys), how)
     if not salt_by:

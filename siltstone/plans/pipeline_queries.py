@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.columns import epoch_millis
 from siltstone.operators import compaction, hierarchy, incremental, orphans, profile
+from siltstone.operators.joins import lookup_join
 from siltstone.session import materialize, new_path
 from siltstone.sources.catalogue import Catalogue
 
@@ -120,7 +121,7 @@ def p3_run(spark: SparkSession, folder: str) -> DataFrame:
 
 def _table_fields(catalogue: Catalogue) -> DataFrame:
     fields = catalogue.table("table_fields").select(F.col("schema_id").alias("current_schema_id"), "field_id", "field_name", "field_type", "required", "value_pattern")
-    return catalogue.table("table_metadata").select("table_uuid", "current_schema_id").join(F.broadcast(fields), "current_schema_id")  # the 22 persisted fields
+    return catalogue.table("table_metadata").select("table_uuid", "current_schema_id").transform(lambda tables: lookup_join(tables, fields, ["current_schema_id"]))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,13 +39,15 @@ def ship(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    tests on one machine, a folder of our own is made and removed at exit.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and everything runs on this machine, as in
+    tests, a folder of our own is made and removed at exit; on a cluster this raises ``RuntimeError``.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _local_roots:
         root = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)

@@ -17,7 +17,7 @@ from siltstone.table import ConcurrentModificationException, CorruptDataError, D
 from siltstone.table import files as tf
 
 PEOPLE = Schema([Field(1, "id", "long", True), Field(2, "name", "string"), Field(3, "age", "int"), Field(4, "score", "double")])
-ROWS = [{"id": 1, "name": "Alice", "age": 30, "score": 95.5}, {"id": 2, "name": "Bob", "age": 25, "score": 82.0}, {"id": 3, "name": None, "age": 35, "score": 88.5}]
+ROWS = [{"id": 1, "name": "Wren", "age": 41, "score": 12.25}, {"id": 2, "name": "Tarn", "age": 36, "score": 7.5}, {"id": 3, "name": None, "age": 46, "score": 9.75}]
 
 
 @pytest.fixture(autouse=True, params=["driver", "spark"])
@@ -108,7 +108,7 @@ def test_order_and_projection(table):
     for r in ROWS:
         table.append_records([r])
     assert [r["id"] for r in table.scan()] == [1, 2, 3]
-    assert table.scan(["age"], {"name": "Bob"}) == [{"age": 25}]
+    assert table.scan(["age"], {"name": "Tarn"}) == [{"age": 36}]
     assert table.to_pandas(["id"])["id"].tolist() == [1, 2, 3]
     assert all(len(b) == 1 for b in table.scan_batches(10))
 
@@ -418,3 +418,45 @@ def test_stream_batches_commit_once(spark, table):
     assert append_batch(table, df, "q", 0) and not append_batch(table, df, "q", 0)
     assert append_batch(table, df, "other", 0) and append_batch(table, df, "q", 1) and not append_batch(table, df, "q", 0)
     assert table.row_count() == 3
+
+
+def test_a_table_on_another_storage(spark, tmp_path, monkeypatch):
+    """Everything through the JVM's file systems, none of it through paths of this machine."""
+    from siltstone.table.storage import HadoopStorage
+
+    monkeypatch.setattr("siltstone.table.table.open_storage", lambda root, session: HadoopStorage(session, f"file://{root}"))
+    t = create_table(spark, str(tmp_path / "t"), PEOPLE)
+    assert t.root.startswith("file://") and isinstance(load_table(spark, str(tmp_path / "t")).storage, HadoopStorage)
+    t.append_records(ROWS)
+    t.append_df(spark.createDataFrame([(4, "d", 1, 0.5), (5, None, 2, 0.25)], "id long, name string, age int, score double"), files=2)
+    spark.createDataFrame([(6, "e", 3, 0.5)], "id long, name string, age int, score double").coalesce(1).write.parquet(t.storage.uri("data/mine"))
+    t.append_data([f"data/mine/{n}" for n in t.storage.names("data/mine") if n.endswith(".parquet")])
+    assert sorted(r["id"] for r in t.scan()) == list(range(1, 7)) and t.scan(["id"], {"age": (">", 40)}) == [{"id": 1}, {"id": 3}] and t.to_df().count() == 6
+    with t.new_transaction().begin() as tx:
+        tx.delete_files([f.path for f in t.data_files() if f.path.startswith("data/mine")])
+        tx.expire_snapshots(2**60)
+    assert t.garbage_collect(0)["data_files"] >= 1 and t.row_count() == 5 and t.verify_integrity()["existing_files"] == len(t.data_files())
+    tx = t.new_transaction().begin()
+    tx.append_records(ROWS)
+    before = len(t.storage.list("data"))
+    assert tx.rollback() and len(t.storage.list("data")) < before and t.row_count() == 5
+
+
+def test_unknown_schemes_are_refused(spark):
+    with pytest.raises(Exception, match="UnsupportedFileSystem|No FileSystem"):
+        create_table(spark, "nosuch://host/t", PEOPLE)
+
+
+def test_manifests_that_cannot_match_are_not_read(table, monkeypatch):
+    monkeypatch.setattr(tf, "MANIFEST_ENTRIES", 2)
+    with table.new_transaction().begin() as t:
+        for i in range(7):
+            t.append_records([{"id": 10 * i + j, "age": None if i == 3 else i} for j in range(3)])
+    reads = []
+    read = tf.read_manifest
+    monkeypatch.setattr(tf, "read_manifest", lambda storage, name, fields=None: reads.append(name) or read(storage, name, fields))
+    assert table.scan(["id"], {"id": ("between", (41, 42))}) == [{"id": 41}, {"id": 42}] and len(reads) == 1
+    reads.clear()
+    assert [r["id"] for r in table.scan(["id"], {"age": ("is_null",)})] == [30, 31, 32] and len(reads) == 1
+    reads.clear()
+    assert len(table.scan()) == 21 and len(reads) == 4
