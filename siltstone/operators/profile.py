@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -190,10 +191,40 @@ def _logits(w: np.ndarray, cells: list[np.ndarray], bins: int) -> np.ndarray:
     return z
 
 
+def _sample_blocks(pairs: Sequence[tuple[int, int, int]], columns: int, folds: int):
+    """A mapInArrow function: the bins of sampled rows by comparison and fold, packed for the rounds of fitting: i, f, x (bins by column), y (1: the later period)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows: Counter = Counter()
+
+        def block(key: tuple[int, int]) -> pa.RecordBatch:
+            x, y = (np.concatenate(parts, axis=-1) for parts in zip(*held.pop(key), strict=True))
+            rows.pop(key)
+            return pa.RecordBatch.from_pydict({"i": pa.array([key[0]], pa.int32()), "f": pa.array([key[1]], pa.int32()), "x": [x.tobytes()], "y": [y.tobytes()]})
+
+        for batch in batches:
+            cells, by = _arrays(batch, columns)
+            cells = np.stack(cells).astype(np.uint16)
+            for i, (old, new, below) in enumerate(pairs):
+                inside = ((by["period"] == old) | (by["period"] == new)) & (by["u"] < below)
+                for f in range(folds):
+                    at = np.flatnonzero(inside & (by["fold"] == f))
+                    if len(at):
+                        held.setdefault((i, f), []).append((cells[:, at], (by["period"][at] == new).astype(np.uint8)))
+                        rows[i, f] += len(at)
+                        if rows[i, f] >= 100_000:
+                            yield block((i, f))
+        for key in list(held):
+            yield block(key)
+
+    return pack
+
+
 def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], columns: int, folds: int, bins: int, ridge: float, rounds: int, refit_rounds: int) -> np.ndarray:
     """Logistic regressions of all comparisons, ablations and folds: weights by (pair, model, fold, bin), the intercept last.
 
-    ``pairs`` has the old and the new period and the bound of ``u`` below which a row is in the pair's sample. Model 0 has all columns, model i + 1 lacks
+    ``sample`` has the rows packed by :func:`_sample_blocks`. Model 0 has all columns, model i + 1 lacks
     column i; fold k is fitted on the rows of the other folds. Model 0 is fitted first; the others start from its weights, near their own, and are fitted together. Each round is one job: every task sums
     gradient and curvature of its rows for the models in hand, the
     driver adds these sums (their size depends on pairs, bins, columns and folds only) and takes a diagonal Newton step, scaled so that no round can overshoot.
@@ -212,27 +243,21 @@ def _fit_jointly(sample: DataFrame, pairs: Sequence[tuple[int, int, int]], colum
         def sums(batches: Iterator[pa.RecordBatch], w=w, fitted=fitted) -> Iterator[pa.RecordBatch]:
             gradient, curvature = np.zeros_like(w), np.zeros_like(w)
             for batch in batches:
-                cells, by = _arrays(batch, columns)
-                for i, (old, new, below) in enumerate(pairs):
-                    inside = ((by["period"] == old) | (by["period"] == new)) & (by["u"] < below)
-                    for f in range(folds):
-                        at = np.flatnonzero(inside & (by["fold"] == f))
-                        if not len(at):
-                            continue
-                        own, y = [x[at] for x in cells], by["period"][at] == new
-                        for m in fitted:
-                            for k in range(folds):
-                                if k == f and folds > 1:
-                                    continue
-                                p = 1 / (1 + np.exp(-_logits(w[i, m, k], own, bins)))
-                                r, h = p - y, p * (1 - p)
-                                g, v = gradient[i, m, k], curvature[i, m, k]
-                                for c, x in enumerate(own):
-                                    if c != m - 1:
-                                        g[c * bins : (c + 1) * bins] += np.bincount(x, r, bins)
-                                        v[c * bins : (c + 1) * bins] += np.bincount(x, h, bins)
-                                g[-1] += r.sum()
-                                v[-1] += h.sum()
+                for i, f, x, y in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                    own, later = np.frombuffer(x, np.uint16).reshape(columns, -1).astype(np.intp), np.frombuffer(y, np.uint8)
+                    for m in fitted:
+                        for k in range(folds):
+                            if k == f and folds > 1:
+                                continue
+                            p = 1 / (1 + np.exp(-_logits(w[i, m, k], own, bins)))
+                            r, h = p - later, p * (1 - p)
+                            g, v = gradient[i, m, k], curvature[i, m, k]
+                            for c, cell in enumerate(own):
+                                if c != m - 1:
+                                    g[c * bins : (c + 1) * bins] += np.bincount(cell, r, bins)
+                                    v[c * bins : (c + 1) * bins] += np.bincount(cell, h, bins)
+                            g[-1] += r.sum()
+                            v[-1] += h.sum()
             yield pa.RecordBatch.from_pydict({"g": [gradient.tobytes()], "h": [curvature.tobytes()]})
 
         parts = sample.mapInArrow(sums, "g binary, h binary").collect()  # a row per task, of a size fixed by the parameters
@@ -303,7 +328,8 @@ def period_drift(df: DataFrame, period: Column, columns: Sequence[str], key: Seq
     chosen = F.lit(False)
     for at, below in bound.items():
         chosen |= (F.col("period") == at) & (F.col("u") < below)
-    sample = materialize(rows.where(chosen).repartition(spark.sparkContext.defaultParallelism), "drift-sample")
+    packed = rows.where(chosen).repartition(spark.sparkContext.defaultParallelism).mapInArrow(_sample_blocks(pairs, len(columns), folds), "i int, f int, x binary, y binary")
+    sample = materialize(packed, "drift-sample")  # read in every round
     weights = _fit_jointly(sample, pairs, len(columns), folds, bins, ridge, rounds, refit_rounds).astype(np.float32)
     cells = 2000
 
