@@ -5,7 +5,8 @@ all documents it is counted how often each term stands in a slot of a protected
 entity (after a title, as judge, counsel, witness, before a verb of testimony) and
 how often at all; the logarithm of that rate over the base rate, in bits, is the term's
 disclosure. Terms above a threshold reveal a person wherever they stand; terms far below it
-never do, even in such a slot. E-mail addresses, phone and identity numbers and street
+never do, even in such a slot. In the same way it is counted which words follow a run that stands in such a slot by what is before it; words that
+disclose a person so put other runs before them into a protected slot as well. E-mail addresses, phone and identity numbers and street
 addresses are told by form and context, and checked. A second pass judges the runs of each document by the terms'
 disclosure, which the tasks read block by block from a shared table; no text and no run is shuffled.
 """
@@ -30,6 +31,8 @@ from siltstone.session import filesystem, materialize
 REVEALS, ORDINARY = 1.0, -1.5
 #: Strength of the prior: a term starts at the base rate as if seen so often.
 PRIOR = 4.0
+#: Bits from which on the words after a run put it into a protected slot, and the strength of the prior for them.
+CONTEXT_REVEALS, CONTEXT_PRIOR = 2.0, 20.0
 #: Terms a task holds at once while runs are judged.
 BLOCK_TERMS = 1_000_000
 #: What an occurrence as side of a case counts: companies and persons stand there, so it says little.
@@ -54,11 +57,11 @@ _PIECE = re.compile(rf"{_PART}(?=\s)|{_WORD}|[{_UP}]\.")
 
 #: What stands before a protected slot, as the last word before it, and what separates the sides of a case.
 _CUES = {"coram", "before", "presiding", "counsel", "vorsitz", "vorsitzende", "vorsitzender", "besetzung", "composition", "président", "présidente", "avocat", "avocate", "rechtsanwalt", "rechtsanwältin", "témoin", "zeuge", "zeugin", "witness", "selon", "angaben"}
+#: What stands after one: the usual words of testimony, residence and representation. The turns of the texts at hand are counted (see :func:`_contexts`).
 _AFTER = re.compile(
     r"\s*(?:,\s+(?:who|a\s+neighbour|advocate|wohnhaft|domicilié|demeurant)\b|\(instructed\b|\(counsel\b"
-    r"|(?:gave\s+(?:evidence|as)|did\s+not\s+attend|was\s+cross-examined|resides|appeared|testified|lives)\b|said\s+so\b"
-    r"|['’]s\s+reply\b|(?:hat\s+ausgesagt|ist\s+(?:nicht\s+)?erschienen|wurde\s+(?:angehört|vernommen)|wohnt|gehört|stand)\b"
-    r"|(?:demeure|a\s+(?:été\s+entendu|témoigné|comparu)|n['’]a\s+pas\s+comparu|l['’]a\s+confirmé)\b|[^\S\n]J\s*$)",
+    r"|(?:gave\s+evidence|resides|appeared|testified|lives)\b|(?:hat\s+ausgesagt|ist\s+erschienen|wurde\s+(?:angehört|vernommen)|wohnt)\b"
+    r"|(?:demeure|(?:n['’])?a\s+(?:été\s+entendu|témoigné|(?:pas\s+)?comparu))\b|[^\S\n]J\s*$)",
     re.MULTILINE,
 )
 _SIDE_AFTER = re.compile(r"\s+(?:[vV]\.?|\./\.|against|AGAINST|gegen|contre)\s")
@@ -279,8 +282,8 @@ def _is_side(text: str, a: int, b: int) -> bool:
     return len(line) < 100 and not _LABELLED.match(line) and not line.rstrip().endswith((".", ",")) and not _SIDE_AFTER.search(line.replace("V.", ""))
 
 
-def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Runs of capitalised words outside citations and other matches: (start, end, slot). Slots: p protected, s side of a case name, n none."""
+def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, bool]]:
+    """Runs of capitalised words outside citations and other matches: (start, end, slot, led; see :func:`_slot`). Slots: p protected, s side of a case name, n none."""
     text = _masked(text, taken)
     for m in _RUN.finditer(text):
         start, end = m.span()
@@ -326,8 +329,8 @@ def _after_words(run: str, n: int) -> int:
     return at
 
 
-def _slot(text: str, a: int, b: int) -> tuple[int, int, str] | None:
-    """The run at a .. b without titles and cue words, with the particles before it, and the slot it stands in: (start, end, slot)."""
+def _slot(text: str, a: int, b: int) -> tuple[int, int, str, bool] | None:
+    """The run at a .. b without titles and cue words, with the particles before it, and the slot it stands in: (start, end, slot, whether what is before it says so)."""
     run = text[a:b]
     if text[b : b + 1] == ":":  # a label, not a name
         parts = run.rsplit(None, 1)
@@ -365,6 +368,7 @@ def _slot(text: str, a: int, b: int) -> tuple[int, int, str] | None:
                     slot = "p"
             else:
                 side = last in _SEPARATORS_AFTER
+    led = slot == "p"
     if slot == "n":
         after = text[b : b + 64].split(None, 1)
         if after:
@@ -373,8 +377,20 @@ def _slot(text: str, a: int, b: int) -> tuple[int, int, str] | None:
             elif side or after[0] in _SEPARATORS_AFTER:
                 slot = "s"
     if text.startswith("M.", start) and (rest := _after_words(text[start:b], 1)) < b - start and text[start + 2].isspace() and not (last[-1:] == ":" or side or last in ("of", "Selon")) and _FRENCH.search(text):
-        start, slot = start + rest, "p"
-    return start, b, slot
+        start, slot, led = start + rest, "p", True
+    return start, b, slot, led
+
+
+_AFTER_WORDS = re.compile(r"(,|['’]s)?\s+([^\W\d_A-Z]['’\w]*)(?:\s+([^\W\d_]['’\w]*))?")
+
+
+def _contexts(text: str, b: int) -> list[str]:
+    """The word and the two words after a run that goes on in lower case, with a comma or possessive ending before them, as the terms they are counted as."""
+    m = _AFTER_WORDS.match(text, b)
+    if not m:
+        return []
+    one = f"\x01{(m[1] or '').replace('’', chr(39))} {m[2].replace('’', chr(39))}"
+    return [one, f"{one} {m[3].replace('’', chr(39)).lower()}"] if m[3] else [one]
 
 
 def _sides(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -405,10 +421,10 @@ _CUES_BEFORE = frozenset(_forms(_TITLES) | {f + "." for f in _forms(_TITLES)} |
 _SEPARATORS_AFTER = frozenset({"v", "v.", "V", "V.", "./.", "against", "AGAINST", "gegen", "GEGEN", "contre", "CONTRE"})
 _SIDES = re.compile(r"\s(?:V\.|AGAINST|GEGEN|CONTRE)\s")
 #: The first words of what _AFTER matches.
-_FIRST_AFTER = frozenset(", (instructed (counsel gave did was resides appeared testified lives said 's ’s hat ist wurde wohnt gehört stand demeure a n'a n’a l'a l’a J".split())
+_FIRST_AFTER = frozenset(", (instructed (counsel gave resides appeared testified lives hat ist wurde wohnt demeure a n'a n’a J".split())
 _FRENCH = re.compile(r"\b(?:Aux\s+termes|Attendu\s+que|Il\s+y\s+a\s+lieu|Le\s+tribunal|La\s+requête|La\s+partie|Le\s+moyen)\b")
-_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("surface", pa.string())]))
-_ROWS = "doc_id {key}, text string, term string, n double, protected long, found array<struct<kind: string, a: int, b: int, surface: string>>"
+_FOUND = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("surface", pa.string()), ("after", pa.string())]))
+_ROWS = "doc_id {key}, text string, term string, n double, protected long, found array<struct<kind: string, a: int, b: int, surface: string, after: string>>"
 
 
 def _terms_of(run: str) -> tuple[str, ...]:
@@ -423,7 +439,7 @@ def _scan(keep_text: bool):
         for batch in batches:
             total, protected = Counter(), Counter()
             total, protected = Counter(), Counter()
-            kinds, starts, ends, surfaces, offsets = [], [], [], [], [0]
+            kinds, starts, ends, surfaces, contexts, offsets = [], [], [], [], [], [0]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and (doc is not None or keep_text):
                     plain, taken = _plain_matches(text)
@@ -432,7 +448,8 @@ def _scan(keep_text: bool):
                         starts.append(a)
                         ends.append(b)
                         surfaces.append(_one_line(text[a:b]))
-                    for a, b, slot in _runs(text, taken):
+                        contexts.append(None)
+                    for a, b, slot, led in _runs(text, taken):
                         run = text[a:b]
                         words = terms.get(run)
                         if words is None:
@@ -444,13 +461,19 @@ def _scan(keep_text: bool):
                             starts.append(a)
                             ends.append(b)
                             surfaces.append(run)
+                            after = _contexts(text, b)
+                            contexts.append(after[-1] if after and slot == "n" else None)
+                            for w in after:
+                                total[w] += 1
+                                if led:
+                                    protected[w] += 1
                             for w in words:
                                 total[w] += SIDE_WEIGHT if slot == "s" else 1
                                 if slot == "p":
                                     protected[w] += 1
                 offsets.append(len(kinds))
             n, t = batch.num_rows, len(total)
-            found = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())], fields=list(_FOUND.value_type))
+            found = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string()), pa.array(contexts, pa.string())], fields=list(_FOUND.value_type))
             columns = {
                 "doc_id": (batch.column(0), pa.nulls(t, batch.column(0).type)), "text": (batch.column(1) if keep_text else pa.nulls(n, pa.string()), pa.nulls(t, pa.string())), "term": (pa.nulls(n, pa.string()), pa.array(list(total), pa.string())),
                 "n": (pa.nulls(n, pa.float64()), pa.array(list(total.values()), pa.float64())), "protected": (pa.nulls(n, pa.int64()), pa.array([protected[w] for w in total], pa.int64())),
@@ -462,11 +485,11 @@ def _scan(keep_text: bool):
     return scan
 
 
-def disclosure(counts: DataFrame) -> DataFrame:
+def disclosure(counts: DataFrame, prior: float = PRIOR) -> DataFrame:
     """term, bits of each term from its counts (term, n: occurrences, protected: in protected slots)."""
     terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("protected").alias("a"))
     base = counts.agg((F.sum("protected") / F.sum("n")).alias("r")).first()["r"] or 1e-9
-    rate = (F.col("a") + PRIOR * base) / (F.col("n") + PRIOR)
+    rate = (F.col("a") + prior * base) / (F.col("n") + prior)
     return terms.select("term", F.log2(rate / base).alias("bits"))
 
 
@@ -521,6 +544,20 @@ class _Judge:
     def __init__(self, blocks: list[str]):
         self.blocks = blocks
         self.known: dict[tuple[str, str], list[tuple[int, int, str]]] = {}
+        self.contexts: dict[str, bool] = {}
+
+    def _opens(self, contexts: list[str | None]) -> np.ndarray:
+        """Which of the words after a run put it into a protected slot."""
+        if len(self.contexts) > 500_000:
+            self.contexts = {}
+        parts = {c: [c, " ".join(c.split(" ")[:2])] for c in contexts if c is not None and c not in self.contexts}
+        wanted = {x for own in parts.values() for x in own}
+        said: dict[str, str] = {}
+        for path in self.blocks if wanted else ():
+            block = _block(path)
+            said |= {x: block[x] for x in wanted if x in block}
+        self.contexts |= {c: any(said.get(x) == "+" for x in own) for c, own in parts.items()}
+        return np.array([c is not None and self.contexts[c] for c in contexts], bool)
 
     def _learn(self, runs: list[tuple[str, str]]) -> None:
         """The names within each (slot, run) not judged yet."""
@@ -542,8 +579,15 @@ class _Judge:
         kinds, surfaces = (cells.field(f).dictionary_encode() for f in (0, 3))
         start, end = (cells.field(f).to_numpy() for f in (1, 2))
         names, words = kinds.dictionary.to_pylist(), surfaces.dictionary.to_pylist()
+        slots = kinds.indices.to_numpy().astype(np.int64)
+        after = cells.field(4).dictionary_encode()
+        opens = np.append(self._opens(after.dictionary.to_pylist()), False)[pc.fill_null(after.indices, -1).to_numpy()]
+        if opens.any():
+            if "p" not in names:
+                names.append("p")
+            slots = np.where(opens, names.index("p"), slots)
         # each combination of kind and surface once
-        code, place = np.unique(kinds.indices.to_numpy().astype(np.int64) * max(1, len(words)) + surfaces.indices.to_numpy(), return_inverse=True)
+        code, place = np.unique(slots * max(1, len(words)) + surfaces.indices.to_numpy(), return_inverse=True)
         each = [(names[c // len(words)], words[c % len(words)]) for c in code.tolist()]
         self._learn([x for x in each if len(x[0]) == 1])
         inside = [self.known[x] if len(x[0]) == 1 else [(0, -1, x[1])] for x in each]
@@ -577,8 +621,10 @@ def _scanned(documents: DataFrame, keep_text: bool) -> tuple[DataFrame, list[str
     """The documents with what was found in them, written down, and the files of judged terms."""
     key = documents.schema["doc_id"].dataType.simpleString()
     rows = materialize(documents.select("doc_id", "text").mapInArrow(_scan(keep_text), _ROWS.format(key=key)), "personal")
-    bits = disclosure(rows.where("term is not null"))
-    judged = materialize(bits.select("term", F.when(F.col("bits") >= REVEALS, "+").when(F.col("bits") < ORDINARY, "-").alias("sign")).where("sign is not null"), "disclosure")
+    counts, context = rows.where("term is not null"), F.col("term").startswith("\x01")
+    terms = disclosure(counts.where(~context)).select("term", F.when(F.col("bits") >= REVEALS, "+").when(F.col("bits") < ORDINARY, "-").alias("sign"))
+    contexts = disclosure(counts.where(context), CONTEXT_PRIOR).select("term", F.when(F.col("bits") >= CONTEXT_REVEALS, "+").alias("sign"))
+    judged = materialize(terms.unionByName(contexts).where("sign is not null"), "disclosure")
     blocks = -(-judged.count() // BLOCK_TERMS)
     if blocks:
         judged = materialize(judged.repartition(blocks, "term"), "terms")

@@ -126,3 +126,12 @@ def test_other_numbers(text):
 )
 def test_phones_by_form_and_sentence(text, phones):
     assert {" ".join(text[a:b].split()) for kind, a, b in privacy._plain_matches(text)[0] if kind == "phone"} == phones
+
+
+def test_words_after_names_are_learned(spark):
+    """What follows people who are told by their titles tells of others; what follows statutes does not."""
+    names = [f"{a}{b}" for a in ("Jor", "Kar", "Lin", "Tos", "Ulm", "Ves", "Yar") for b in ("linano", "holt", "manova", "berg", "stone", "inko")]
+    taught = [(i, f"{BODY * 3}Mr {name} waved back at once. The Harbour Act provides otherwise. {BODY * 3}") for i, name in enumerate(names)]
+    docs = spark.createDataFrame([*taught, (100, "Quellandro waved back at once."), (101, "Marshby provides otherwise."), (102, "Quellandro stood there.")], "doc_id long, text string")
+    found = {(r["doc_id"], r["surface"]) for r in privacy.find_personal(docs).collect() if r["doc_id"] >= 100}
+    assert found == {(100, "Quellandro")}
