@@ -212,28 +212,33 @@ def hierarchy_paths(df: DataFrame, node: str, parent: str, locality: Sequence[st
     return lookup_join(ways, ends, ["ext"], "left", salt_by=["id"]).select("id", F.when(F.col("before").isNotNull(), F.concat("before", "way")).otherwise(F.col("way")).alias("path"))
 
 
-#: Hash buckets of one parent's children; a parent of most nodes is spread over so many tasks.
+#: Ranges of ids that children are cut into; a parent of most nodes is spread over so many tasks.
 _SIBLING_BUCKETS = 16
 
 
-def nested_intervals(df: DataFrame, node: str, parent: str, locality: Sequence[str] = (), rows_per_task: int = 500_000) -> DataFrame:
+def nested_intervals(df: DataFrame, node: str, parent: str, locality: Sequence[str] = (), rows_per_task: int = 500_000, circles: bool = False) -> DataFrame:
     """Every node that reaches a root with the interval of its tree that holds its descendants: id, root, enter, leave, descendants.
 
-    A walk around each tree enters and leaves every node once, in steps from 0; a node lies below another one of the same root if its interval lies within the
+    A walk around each tree enters and leaves every node once, in steps from 0, siblings by id; a node lies below another one of the same root if its interval lies within the
     other's. So all descendants are there in a row per node, however deep the trees, where pairs would grow with the square of a chain. The walk is a chain
-    of links itself and is numbered by :func:`resolve_hierarchy`'s method. Nodes that lead into a circle are left out; see there for the rest. The order of siblings is arbitrary.
+    of links itself and is numbered by :func:`resolve_hierarchy`'s method. Nodes that lead into a circle are left out; see there for the rest.
+
+    With ``circles`` they come too, and a column on_circle. Their root is the smallest id on the circle, and the walk is that of the tree without its
+    link. Below a node on the circle lie all others of its root; below one that only leads into it those within its interval, as in any tree.
     """
-    solved = materialize(resolve_hierarchy(df, node, parent, locality, rows_per_task).where("depth >= 0"), "solved")
+    solved = materialize(resolve_hierarchy(df, node, parent, locality, rows_per_task).where("depth >= 0" if not circles else "true"), "solved")
     links, _, _ = _laid_out(df, node, parent, locality, rows_per_task)
     sound = lookup_join(links.select("id", "parent"), solved, ["id"])
-    nodes = materialize(sound.select("id", "root", F.when(F.col("depth") > 0, F.col("parent")).alias("parent"), F.monotonically_increasing_id().alias("n")), "nodes")
+    nodes = materialize(sound.select("id", "root", F.when(F.col("id") != F.col("root"), F.col("parent")).alias("parent"), F.when((F.col("id") == F.col("root")) & (F.col("depth") < 0), F.col("parent")).alias("last"), F.monotonically_increasing_id().alias("n")), "nodes")
     above = nodes.select(F.col("id").alias("parent"), F.col("n").alias("p"))
-    kids = lookup_join(nodes.where("parent is not null").select("n", "parent"), above, ["parent"], salt_by=["n"])
-    kids = materialize(kids.select("n", "p", F.pmod(F.xxhash64("n"), F.lit(_SIBLING_BUCKETS)).cast("int").alias("b")), "children")
-    heads = kids.groupBy("p", "b").agg(F.min("n").alias("head"), F.max("n").alias("tail"))
+    kids = lookup_join(nodes.where("parent is not null").select("id", "n", "parent"), above, ["parent"], salt_by=["n"])
+    cuts = nodes.where("parent is not null").agg(F.percentile_approx("id", [i / _SIBLING_BUCKETS for i in range(1, _SIBLING_BUCKETS)], 1000).alias("c")).first()["c"] or []
+    bucket = sum((F.when(F.col("id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    kids = materialize(kids.select("id", "n", "p", bucket.alias("b")), "children")
+    heads = kids.groupBy("p", "b").agg(F.min_by("n", "id").alias("head"), F.max_by("n", "id").alias("tail"))
     by_bucket = Window.partitionBy("p").orderBy("b")  # at most _SIBLING_BUCKETS rows
     heads = heads.select("p", "head", "tail", F.lead("head").over(by_bucket).alias("next_head"), F.row_number().over(by_bucket).alias("i"))
-    within = kids.select("n", "p", F.lead("n").over(Window.partitionBy("p", "b").orderBy("n")).alias("next"))
+    within = kids.select("n", "p", F.lead("n").over(Window.partitionBy("p", "b").orderBy("id")).alias("next"))
     after = lookup_join(within, heads.select(F.col("tail").alias("n"), "next_head"), ["n"], "left").select("n", "p", F.coalesce("next", "next_head").alias("next"))
     first = heads.where("i = 1").select(F.col("p").alias("n"), F.col("head").alias("first"))
     enter, leave = F.col("n") * 2, F.col("n") * 2 + 1
@@ -245,4 +250,14 @@ def nested_intervals(df: DataFrame, node: str, parent: str, locality: Sequence[s
     ends = materialize(ends, "intervals")
     length = ends.where("n = top").select("top", F.col("e").alias("total"))
     placed = lookup_join(ends, length, ["top"], salt_by=["n"]).select("n", (F.col("total") - F.col("e")).alias("enter"), (F.col("total") - F.col("l")).alias("leave"))
-    return lookup_join(nodes.select("n", "id", "root"), placed, ["n"]).select("id", "root", "enter", "leave", F.expr("(leave - enter - 1) div 2").alias("descendants"))
+    intervals = lookup_join(nodes.select("n", "id", "root", "last"), placed, ["n"])
+    below = F.expr("(leave - enter - 1) div 2")
+    if not circles:
+        return intervals.select("id", "root", "enter", "leave", below.alias("descendants"))
+    # the circle is the way from its smallest id down to that one's parent
+    intervals = materialize(intervals, "intervals")
+    closed = intervals.where("last is not null").select("root", F.col("last").alias("id"), below.alias("others"))
+    closed = lookup_join(closed, intervals.select("id", F.col("enter").alias("last_enter"), F.col("leave").alias("last_leave")), ["id"]).drop("id")
+    found = lookup_join(intervals, closed, ["root"], "left", salt_by=["n"])
+    on = F.coalesce((F.col("enter") <= F.col("last_enter")) & (F.col("last_leave") <= F.col("leave")), F.lit(False))
+    return found.select("id", "root", "enter", "leave", F.when(on, F.col("others")).otherwise(below).alias("descendants"), on.alias("on_circle"))

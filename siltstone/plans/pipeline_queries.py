@@ -180,4 +180,13 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("descendants > 0").select(F.col("id").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "descendants")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_files, p2_found, p2_report, p3_found, p3_run, p4_found, p4_statistics, p4_profile, p4_shares, p4_drift, p5_found, p5_paths, p5_descendants)}
+def p5_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Each snapshot, those without any below it and those that lead into a circle too, with the interval that holds its descendants, how many they are, and whether its link runs in a circle.
+
+    Below a snapshot lie those of the same root whose interval lies within its own; below one on a circle all others of its root.
+    """
+    found = hierarchy.nested_intervals(Catalogue(spark, folder).table("snapshots"), "snapshot_id", "parent_snapshot_id", ["table_uuid", "timestamp_ms"], circles=True)
+    return found.select(F.col("id").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "enter", "leave", "descendants", "on_circle")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_records, p1_files, p2_found, p2_report, p3_found, p3_run, p4_found, p4_statistics, p4_profile, p4_shares, p4_drift, p5_found, p5_paths, p5_descendants, p5_intervals)}

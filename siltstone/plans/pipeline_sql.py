@@ -97,3 +97,12 @@ SELECT id AS snapshot_id, root AS root_snapshot_id, depth AS link_depth FROM dow
     + """, pairs AS (SELECT id, parent AS above FROM link WHERE parent IS NOT NULL AND id IN (SELECT id FROM down) UNION ALL SELECT p.id, l.parent FROM pairs p JOIN link l ON l.id = p.above WHERE l.parent IS NOT NULL)
 SELECT above AS snapshot_id, any_value(root) AS root_snapshot_id, count(*) AS descendants FROM pairs JOIN down ON down.id = above GROUP BY 1""",
 }
+
+#: Siblings by id: the list of ids from the root down gives the order in which a walk around the tree enters the snapshots.
+SQL["p5_intervals"] = f"""WITH RECURSIVE found AS ({SQL['p5_found']}),
+cut AS (SELECT f.snapshot_id AS id, f.root_snapshot_id AS root, n.parent, f.link_depth < 0 AS lost FROM found f JOIN (SELECT snapshot_id, min(parent_snapshot_id) AS parent FROM snapshots GROUP BY 1) n USING (snapshot_id)),
+tree AS (SELECT id, root, [id] AS way FROM cut WHERE id = root UNION ALL SELECT c.id, c.root, list_append(t.way, c.id) FROM cut c JOIN tree t ON c.parent = t.id WHERE c.id <> c.root),
+below AS (SELECT id, count(*) - 1 AS n FROM (SELECT unnest(way) AS id FROM tree) GROUP BY 1),
+placed AS (SELECT id, root, 2 * (row_number() OVER (PARTITION BY root ORDER BY way) - 1) - (len(way) - 1) AS enter, count(*) OVER (PARTITION BY root) - 1 AS others FROM tree),
+ring AS (SELECT unnest(t.way) AS id FROM cut c JOIN tree t ON t.id = c.parent WHERE c.id = c.root AND c.lost)
+SELECT id AS snapshot_id, root AS root_snapshot_id, enter, enter + 2 * n + 1 AS leave, CASE WHEN id IN (FROM ring) THEN others ELSE n END AS descendants, id IN (FROM ring) AS on_circle FROM placed JOIN below USING (id)"""

@@ -434,6 +434,31 @@ def test_hierarchy(spark, kind, n, per_task):
     assert all(x["descendants"] == sum(a == k for a, _ in below) and 0 <= x["enter"] < x["leave"] for k, x in nested.items())
 
 
+@pytest.mark.parametrize(("kind", "per_task"), [("circle", 7), ("dense", 7), ("dense", 1000), ("random", 1000), ("tree", 1000)])
+def test_descendants_of_every_node(spark, kind, per_task):
+    """Nodes on and before circles and those without descendants included."""
+    links = graph(kind, 40, 40) | {90: 90, 91: 90, 92: None, 93: 12345}
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(links.items())], "node long, parent long, near long").repartition(3)
+    got = {r["id"]: r for r in hierarchy.nested_intervals(df, "node", "parent", ["near"], per_task, circles=True).collect()}
+    below = {k: set() for k in links}
+    rings = set()
+    for n in links:
+        at, seen = links[n], set()
+        while at in links and at not in seen:
+            seen.add(at)
+            below[at].add(n)
+            at = links[at]
+        rings |= {n} & seen
+    assert got.keys() == links.keys() and {k for k, x in got.items() if x["on_circle"]} == rings >= {90}
+    assert {k: x["root"] for k, x in got.items()} == {k: v[0] for k, v in brute(links).items()}
+    for k, x in got.items():
+        assert {j for j, y in got.items() if y["root"] == x["root"] and j != k and (x["on_circle"] or x["enter"] < y["enter"] and y["leave"] < x["leave"])} == below[k] - {k}
+        assert x["descendants"] == len(below[k] - {k})
+    for root in {x["root"] for x in got.values()}:
+        own = [x for x in got.values() if x["root"] == root]
+        assert sorted(s for x in own for s in (x["enter"], x["leave"])) == list(range(2 * len(own)))
+
+
 def test_a_chain_is_merged_over_levels(spark, monkeypatch):
     labels = []
     monkeypatch.setattr(hierarchy, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
