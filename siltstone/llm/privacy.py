@@ -71,8 +71,10 @@ _CASE_NAME = re.compile(r".*\s(?:[vV]\.?|\./\.|against|AGAINST|gegen|contre)\s")
 _CITED = re.compile(r"\[\d{4}\]\s")
 _CITED_NAMES = re.compile(rf"(?:\b(?:In\s+)?Re\s+)?{_WORD}(?:\s+{_WORD})*(?:\s+v\.?\s+{_WORD}(?:\s+{_WORD})*)?(?:\s+\(No\s+\d+\))?\s+$")
 
-_AT = re.compile(r"@|[\[(]at[\])]")
+_AT = re.compile(r"[@\[(](?:(?<=@)|at[\])])")
 _MAIL = re.compile(r"[A-Za-z0-9][\w.+-]*\s?(?:@|\[at\]|\(at\))\s?[A-Za-z0-9][\w-]*(?:(?:\.|\s?(?:\(dot\)|\[dot\])\s?)[A-Za-z0-9][\w-]*)+")
+#: Where any number of five digits or more can be, with all that a phone or identity number consists of; what is looked for in numbers is looked for only there.
+_NUMERIC = re.compile(r"\d(?:[A-Z\s()./+-]*+\d){4}[\dA-Z\s()./+-]*+")
 #: Where a phone or identity number can be: at least seven signs of digits and what separates them.
 _DIGITS = re.compile(r"\d[\d\s()./+-]{5,}\d")
 #: Identity numbers by form, then by the label before them.
@@ -189,20 +191,21 @@ def _plain_matches(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[in
             local = re.split(r"\s?(?:@|\[at\]|\(at\))", m[0])[0].lower()
             if local not in _ROLES:
                 found.append(("email", *m.span()))
-    numbers = [(max(0, m.start() - 1), m.end()) for m in _DIGITS.finditer(text)]  # with a plus sign or bracket before it
+    numeric = [m.span() for m in _NUMERIC.finditer(text)]
+    numbers = [(max(0, m.start() - 1), m.end()) for a, b in numeric for m in _DIGITS.finditer(text, a, b)]  # with a plus sign or bracket before it
     for a, b in numbers:
         for m in _ID_FORMS[0].finditer(text, a, b):
             if not text[m.start() - 1 : m.start()].isalnum() and _ID_LABEL.search(text, _back(text, m.start(), 6), m.start()):
                 taken.append(m.span())
                 found.append(("id_number", *m.span()))
-    for m in _ID_FORMS[1].finditer(text):
+    for m in (m for a, b in numeric for m in _ID_FORMS[1].finditer(text, a, b + 1)):  # with the sign behind, for the word's end
         a = m.start()
         while a and "A" <= text[a - 1] <= "Z":
             a -= 1
         if 1 <= m.start() - a <= 5 and not text[a - 1 : a].isalnum() and _ID_LABEL.search(text, _back(text, a, 6), a):
             taken.append((a, m.end()))
             found.append(("id_number", a, m.end()))
-    for m in _MANY_DIGITS.finditer(text):
+    for m in (m for a, b in numeric for m in _MANY_DIGITS.finditer(text, a, b)):
         a = m.start()
         while a and (text[a - 1] in "./-" or text[a - 1].isalnum()):
             a -= 1
@@ -290,7 +293,7 @@ def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, s
         run = m[0]
         if run in _SKIPPED or text[end : end + 1] in _CODE or (start and ((c := text[start - 1]) in _JOINED or c.isalnum())):
             continue
-        if "\n" not in run and "V." not in run and "A" not in run:
+        if "\n" not in run and "V." not in run and ("A" not in run or "AGAINST" not in run and "GEGEN" not in run and "CONTRE" not in run):
             found = _slot(text, start, end)
             if found:
                 yield found
@@ -349,8 +352,11 @@ def _slot(text: str, a: int, b: int) -> tuple[int, int, str, bool] | None:
         return None
     last, side = "", False
     if not cut:
-        before = text[max(0, a - 64) : a].split()
-        if len(before) < 5 and a > 64:
+        near = text[max(0, a - 64) : a].rsplit(None, 1)
+        if len(near) == 2 and near[1] not in _PARTICLES and near[1] not in _CUES_BEFORE:
+            before, last = [], near[1]
+            side = last in _SEPARATORS_AFTER
+        else:
             before = text[_back(text, a, 5) : a].split()
         if before:
             last = before[-1]
@@ -384,13 +390,21 @@ def _slot(text: str, a: int, b: int) -> tuple[int, int, str, bool] | None:
 _AFTER_WORDS = re.compile(r"(,|['’]s)?\s+([^\W\d_A-Z]['’\w]*)(?:\s+([^\W\d_]['’\w]*))?")
 
 
-def _contexts(text: str, b: int) -> list[str]:
+_after: dict[str, tuple[str, ...]] = {}
+
+
+def _contexts(text: str, b: int) -> tuple[str, ...]:
     """The word and the two words after a run that goes on in lower case, with a comma or possessive ending before them, as the terms they are counted as."""
     m = _AFTER_WORDS.match(text, b)
     if not m:
-        return []
-    one = f"\x01{(m[1] or '').replace('’', chr(39))} {m[2].replace('’', chr(39))}"
-    return [one, f"{one} {m[3].replace('’', chr(39)).lower()}"] if m[3] else [one]
+        return ()
+    found = _after.get(m[0])
+    if found is None:
+        one = f"\x01{(m[1] or '').replace('’', chr(39))} {m[2].replace('’', chr(39))}"
+        found = (one, f"{one} {m[3].replace('’', chr(39)).lower()}") if m[3] else (one,)
+        if len(_after) < 500_000:
+            _after[m[0]] = found
+    return found
 
 
 def _sides(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -407,8 +421,8 @@ def _sides(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     yield at, b
 
 
-_CODE = tuple("-0123456789_@")
-_JOINED = tuple("@.+’'-_")
+_CODE = frozenset("-0123456789_@")
+_JOINED = frozenset("@.+’'-_")
 
 def _forms(words: set[str]) -> set[str]:
     return {f for w in words for f in (w.capitalize(), w.upper(), w)}
@@ -437,18 +451,11 @@ def _scan(keep_text: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms: dict[str, tuple[str, ...]] = {}
         for batch in batches:
-            total, protected = Counter(), Counter()
-            total, protected = Counter(), Counter()
-            kinds, starts, ends, surfaces, contexts, offsets = [], [], [], [], [], [0]
+            rows, said, offsets = [], [], [0]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and (doc is not None or keep_text):
                     plain, taken = _plain_matches(text)
-                    for kind, a, b in plain:
-                        kinds.append(kind)
-                        starts.append(a)
-                        ends.append(b)
-                        surfaces.append(_one_line(text[a:b]))
-                        contexts.append(None)
+                    rows += [(kind, a, b, _one_line(text[a:b]), None) for kind, a, b in plain]
                     for a, b, slot, led in _runs(text, taken):
                         run = text[a:b]
                         words = terms.get(run)
@@ -457,22 +464,24 @@ def _scan(keep_text: bool):
                             if len(terms) < 500_000:
                                 terms[run] = words
                         if words:
-                            kinds.append(slot)
-                            starts.append(a)
-                            ends.append(b)
-                            surfaces.append(run)
                             after = _contexts(text, b)
-                            contexts.append(after[-1] if after and slot == "n" else None)
-                            for w in after:
-                                total[w] += 1
-                                if led:
-                                    protected[w] += 1
-                            for w in words:
-                                total[w] += SIDE_WEIGHT if slot == "s" else 1
-                                if slot == "p":
-                                    protected[w] += 1
-                offsets.append(len(kinds))
+                            rows.append((slot, a, b, run, after[-1] if after and slot == "n" else None))
+                            said.append((words, slot))
+                            if after:
+                                said.append((after, led))
+                offsets.append(len(rows))
+            # each combination of words and slot once; slots are letters for runs, and whether what is before them says so for the words after them
+            total, sides, protected = Counter(), Counter(), Counter()
+            for (words, slot), times in Counter(said).items():
+                counted = sides if slot == "s" else total
+                for w in words:
+                    counted[w] += times
+                    if slot is True or slot == "p":
+                        protected[w] += times
+            for w, times in sides.items():
+                total[w] += SIDE_WEIGHT * times
             n, t = batch.num_rows, len(total)
+            kinds, starts, ends, surfaces, contexts = zip(*rows, strict=True) if rows else ((),) * 5
             found = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string()), pa.array(contexts, pa.string())], fields=list(_FOUND.value_type))
             columns = {
                 "doc_id": (batch.column(0), pa.nulls(t, batch.column(0).type)), "text": (batch.column(1) if keep_text else pa.nulls(n, pa.string()), pa.nulls(t, pa.string())), "term": (pa.nulls(n, pa.string()), pa.array(list(total), pa.string())),

@@ -107,6 +107,28 @@ def test_other_numbers(text):
     assert privacy._plain_matches(text)[0] == []
 
 
+class Recorded:
+    """A pattern that writes down the texts it is searched in."""
+
+    def __init__(self, pattern, searched):
+        self.pattern, self.searched = pattern, searched
+
+    def finditer(self, text, a=0, b=2**31):
+        self.searched.append(text[a:b])
+        return self.pattern.finditer(text, a, b)
+
+
+def test_numbers_are_looked_for_only_where_there_are_some(monkeypatch):
+    searched = []
+    for name in ("_DIGITS", "_MANY_DIGITS"):
+        monkeypatch.setattr(privacy, name, Recorded(getattr(privacy, name), searched))
+    monkeypatch.setattr(privacy, "_ID_FORMS", tuple(Recorded(p, searched) for p in privacy._ID_FORMS))
+    assert privacy._plain_matches(BODY * 20) == ([], []) and sum(map(len, searched)) == 0
+    text = BODY * 20 + "Passport number: X4825836x and passport number: X4825836, tel. 555-0101. " + BODY
+    found, _ = privacy._plain_matches(text)
+    assert [(kind, text[a:b]) for kind, a, b in found] == [("id_number", "X4825836"), ("phone", "555-0101")] and 0 < sum(map(len, searched)) < 200
+
+
 @pytest.mark.parametrize(
     ("text", "phones"),
     [
